@@ -92,3 +92,18 @@ def twice_filter(slices: DataFrame, bits: int) -> np.ndarray:
         part = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
         out[row["slice"] * SLICE_BYTES : row["slice"] * SLICE_BYTES + len(part)] = part
     return out
+
+
+def member_filter(df: DataFrame, column: str, rows: int) -> np.ndarray:
+    """A filter of the xxhash64 values in a long column (null-free)."""
+    bits = bits_for(rows)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = OnceTwice(bits)
+        for b in batches:
+            hashes = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            add(filters.twice, hashes)
+        filters.once = filters.twice
+        yield from as_batches(filters)
+
+    return twice_filter(df.select(column).mapInArrow(fill, SLICES), bits)
