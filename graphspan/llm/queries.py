@@ -59,11 +59,18 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2(read(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import op5
+
+    return op5(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_vector_search": op2_vector_search,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
