@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +67,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import op7
+
+    return op7(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_vector_search": op2_vector_search,
@@ -72,12 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": url_filter.oracle_sql(),
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
