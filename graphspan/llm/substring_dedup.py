@@ -111,9 +111,11 @@ def _packed(p: np.ndarray, far: np.ndarray, near: np.ndarray, side: int) -> np.n
     return ((p * 1024 + far) * 1024 + near) * 2 + side
 
 
-def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int = GRAM, first: int = FIRST) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(digit, id, place) of all anchors of (id, text) pairs. A place is packed: anchor,
-    its greatest and least distance from the starts of its windows, side."""
+def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int = GRAM, first: int = FIRST) -> tuple[np.ndarray, list[bytes], np.ndarray, list[tuple[bytes, int, int]]]:
+    """(digit, id, place) of the anchors of (id, text) pairs, and spans found within a text.
+    A place is packed: anchor, its greatest and least distance from the starts of its
+    windows, side. Where all bytes around several anchors of a text are the same, as in
+    periodic passages, they are repeated, and only the first of these anchors goes on."""
     parts, at = [], 0
     owner, shift = [], []
     for key, text in texts:
@@ -127,6 +129,16 @@ def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int
     text_no = np.searchsorted(ends, p, side="right")
     local = p + np.array(shift, np.int64)[text_no] if len(p) else p
     far, near = p - lo, p - hi
+    around = mixed((h.sums[hi + depth] - h.sums[lo]) * h.down[lo])
+    around = mixed(around + far.astype(np.uint64) * np.uint64(1024) + near.astype(np.uint64)) ^ mixed(text_no.astype(np.uint64))
+    _, once, back, times = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
+    twin = np.flatnonzero(times[back] > 1)
+    spans: dict[bytes, list[tuple[int, int]]] = {}
+    for t, a, b in zip(text_no[twin].tolist(), lo[twin].tolist(), (hi[twin] + depth).tolist(), strict=True):
+        spans.setdefault(owner[t], []).append((a + shift[t], b + shift[t]))
+    own = [(key, a, b) for key, found in spans.items() for a, b in merged(found)]
+    once = np.sort(once)
+    p, text_no, local, far, near = p[once], text_no[once], local[once], far[once], near[once]
     out = []
     right = near <= depth - first
     out.append((h.at(p[right], first), text_no[right], _packed(local[right], np.minimum(far[right], depth - first), near[right], 0)))
@@ -134,7 +146,7 @@ def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int
     q = p[to_left]
     out.append((~h.at(q - first, first), text_no[to_left], _packed(local[to_left], far[to_left], np.maximum(near[to_left], depth - first + 1), 1)))
     digits, numbers, places = (np.concatenate(x) for x in zip(*out, strict=True))
-    return digits, [owner[i] for i in numbers.tolist()], places
+    return digits, [owner[i] for i in numbers.tolist()], places, own
 
 
 def contexts(text: bytes, places: list[int], depth: int = DEPTH) -> Iterator[tuple[int, int, bytes]]:
@@ -263,8 +275,10 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIG
         held, size = [], 0
 
         def done() -> pa.RecordBatch:
-            digits, ids, places = first_digits(held, depth)
-            return pa.RecordBatch.from_arrays([pa.array(digits.view(np.int64)), pa.array(ids, pa.binary()), pa.array(places, pa.int64())], ["digit", "td", "place"])
+            digits, ids, places, own = first_digits(held, depth)
+            n = len(own)
+            cols = [pa.array([*digits.view(np.int64).tolist(), *[None] * n], pa.int64()), pa.array([*ids, *[x[0] for x in own]], pa.binary()), pa.array([*places.tolist(), *[x[1] for x in own]], pa.int64()), pa.array([*[None] * len(ids), *[x[2] for x in own]], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["digit", "td", "place", "end"])
 
         for b in batches:
             for td, text in zip(b.column(0), b.column(1), strict=True):
@@ -303,7 +317,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIG
             yield out
             before, n = (int(digit[last]), b.column(1)[last].as_py(), b.column(2)[last].as_py()), int(place[last])
 
-    found = one.mapInArrow(pass_one, "digit long, td binary, place long")
+    found = table(one.mapInArrow(pass_one, "digit long, td binary, place long, end long"), "digits")
+    own = found.filter("end IS NOT NULL").select("td", F.col("place").alias("start"), "end")
+    found = found.filter("end IS NULL").select("digit", "td", "place")
     kept = table(found.repartition("digit").sortWithinPartitions("digit").mapInArrow(twice, "digit long, td binary, place long, n long"), "anchors")
     # a digit's rows are numbered in its run, so one row tells that it is too frequent
     hot = table(kept.filter(F.col("n") == hot_digit).select("digit").distinct(), "hot")
@@ -340,10 +356,9 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIG
         spans = spans.unionByName(_spans_of_hot(shipped.join(maybe_broadcast(hot, any_hot), "digit", "left_semi"), depth))
     else:
         spans = _spans_of_cold(shipped, depth)
-    spans = table(spans, "spans")
-    whole = copied.select("td", F.lit(True).alias("whole"))
-    parts = spans.groupBy("td").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(maybe_broadcast(copied, copied.count()), "td", "left_anti")
-    cover = table(parts.withColumn("whole", F.lit(False)).unionByName(whole, allowMissingColumns=True), "cover")
+    spans = spans.unionByName(own).select("td", F.struct("start", "end").alias("span"), F.lit(False).alias("whole"))
+    whole = copied.select("td", F.lit(None).cast("struct<start:bigint,end:bigint>").alias("span"), F.lit(True).alias("whole"))
+    cover = table(spans.unionByName(whole).groupBy("td").agg(F.collect_list("span").alias("spans"), F.max("whole").alias("whole")), "cover")
     return marked, cover
 
 
