@@ -5,6 +5,281 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import hashing as h
+from .functions.hashing import sql
+from .operators import analytics, attribution, features, selection, structure, vectors
+from .plans import oracle
+from .sources.tables import EMBEDDING_SQL, ORDER_SQL, SESSION_SQL, embedding_graphs, order_graphs, read, session_graphs
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, text: str):
+    def add(f: Query) -> Query:
+        QUERIES[name], ORACLE_SQL[name] = f, text
+        return f
+
+    return add
+
+
+def _importance(df: DataFrame) -> DataFrame:
+    """A fixed importance for each feature, in place of a fitted one."""
+    return df.select("feature_id").distinct().select("feature_id", (F.pmod(F.col("feature_id").cast("long") * 7919, F.lit(1000)) / 1024.0).alias("importance"))
+
+
+_IMPORTANCE_SQL = "(CAST(feature_id AS BIGINT) * 7919 % 1000) / 1000.0"
+_GRAPH = {"radius": 1, "distance": 2, "nbits": 10}
+_NODE = {"radius": 1, "distance": 1, "nbits": 10}
+
+# --- scalar hashes ---
+
+
+@register("hash_scalars", f"""SELECT p_partkey, {sql.code('p_brand')} AS code, {sql.code('p_brand')} & 1048575 AS masked, {sql.feature_id('p_brand', 8)} AS feature_id,
+    {sql.sequence_code('p_brand')} AS one, {sql.sequence_code('p_partkey', 'p_size')} AS sequence, {sql.set_code('[p_partkey, CAST(p_size AS BIGINT), p_partkey]')} AS multiset, {sql.set_code('CAST([] AS BIGINT[])')} AS empty FROM part""")
+def hash_scalars(spark, d):
+    p = read(spark, d, "part")
+    b = F.col("p_brand")
+    return p.select("p_partkey", h.code(b).alias("code"), h.masked(b).alias("masked"), h.feature_id(b, 8).alias("feature_id"), h.sequence_code(b).alias("one"), h.sequence_code(F.col("p_partkey"), F.col("p_size")).alias("sequence"),
+                    h.set_code(F.array(F.col("p_partkey"), F.col("p_size").cast("long"), F.col("p_partkey"))).alias("multiset"), h.set_code(F.array().cast("array<bigint>")).alias("empty"))
+
+
+# --- structure ---
+
+_BASE = f"WITH {ORDER_SQL}, {oracle.CODES}"
+
+
+@register("degrees", f"{_BASE} SELECT graph_id, node_id, CAST(degree AS BIGINT) AS degree, neighbours FROM dg")
+def degrees(spark, d):
+    return structure.degrees(order_graphs(spark, d).together())
+
+
+@register("node_codes", f"{_BASE} SELECT * FROM nc")
+def node_codes(spark, d):
+    return structure.node_codes(order_graphs(spark, d).together())
+
+
+@register("edge_triplets", f"{_BASE} SELECT * FROM tr")
+def edge_triplets(spark, d):
+    return structure.triplet_codes(order_graphs(spark, d).together())
+
+
+@register("bfs_distances", f"WITH {ORDER_SQL}, {oracle.distances(3)} SELECT * FROM dist")
+def bfs_distances(spark, d):
+    return structure.distances(order_graphs(spark, d).together(), 3)
+
+
+@register("node_balls", f"WITH {SESSION_SQL}, {oracle.distances(2)} SELECT graph_id, root AS center, node FROM dist")
+def node_balls(spark, d):
+    return structure.ball(structure.distances(session_graphs(spark, d).together(), 2), 2)
+
+
+@register("induced_edges", f"""WITH {SESSION_SQL}, {oracle.distances(2)} SELECT a.graph_id, a.root AS center, e.u, e.v FROM dist a
+    JOIN edges e ON a.graph_id = e.graph_id AND a.node = e.u JOIN dist b ON b.graph_id = e.graph_id AND b.root = a.root AND b.node = e.v""")
+def induced_edges(spark, d):
+    g = session_graphs(spark, d).together()
+    return structure.induced_edges(g, structure.ball(structure.distances(g, 2), 2))
+
+
+@register("path_union_nodes", f"WITH {ORDER_SQL}, {oracle.distances(2)}, {oracle.PATHS} SELECT * FROM pn")
+def path_union_nodes(spark, d):
+    return structure.path_nodes(structure.distances(order_graphs(spark, d).together(), 2))
+
+
+@register("path_union_edges", f"""WITH {ORDER_SQL}, {oracle.distances(2)} SELECT a.graph_id, a.root, st.node AS target, least(j.src, j.dst) AS u, greatest(j.src, j.dst) AS v FROM dist a
+    JOIN adj j ON a.graph_id = j.graph_id AND a.node = j.src JOIN dist b ON b.graph_id = j.graph_id AND b.root = j.dst
+    JOIN dist st ON st.graph_id = a.graph_id AND st.root = a.root AND st.node = b.node AND a.d + 1 + b.d = st.d""")
+def path_union_edges(spark, d):
+    g = order_graphs(spark, d).together()
+    return structure.path_edges(g, structure.distances(g, 2))
+
+
+@register("rooted_codes", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(2)} SELECT * FROM rc")
+def rooted_codes(spark, d):
+    g = order_graphs(spark, d).together()
+    return structure.rooted_codes(g, structure.distances(g, 2), 2)
+
+
+@register("rooted_codes_threshold", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(2, 3)} SELECT * FROM rc")
+def rooted_codes_threshold(spark, d):
+    g = order_graphs(spark, d).together()
+    return structure.rooted_codes(g, structure.distances(g, 2), 2, 3)
+
+
+@register("connector_codes", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(1)}, {oracle.connectors(1)} SELECT * FROM uc1")
+def connector_codes(spark, d):
+    g = order_graphs(spark, d).together()
+    dist = structure.distances(g, 2)
+    return structure.connector_codes(dist, structure.rooted_codes(g, dist, 1), 1)
+
+
+# --- features ---
+
+
+@register("graph_features", oracle.features(ORDER_SQL, **_GRAPH, per_graph=True))
+def graph_features(spark, d):
+    return features.graph_features(order_graphs(spark, d), **_GRAPH)
+
+
+@register("node_features", oracle.features(ORDER_SQL, **_NODE))
+def node_features(spark, d):
+    return features.node_features(order_graphs(spark, d), **_NODE)
+
+
+@register("graph_features_connector", oracle.features(ORDER_SQL, 1, 2, connector=1, nbits=12, per_graph=True))
+def graph_features_connector(spark, d):
+    return features.graph_features(order_graphs(spark, d), radius=1, distance=2, connector=1, nbits=12)
+
+
+@register("graph_features_threshold", oracle.features(ORDER_SQL, 1, 1, nbits=10, degree_threshold=3, use_edges=False, per_graph=True))
+def graph_features_threshold(spark, d):
+    return features.graph_features(order_graphs(spark, d), radius=1, distance=1, degree_threshold=3, use_edges=False)
+
+
+@register("node_features_sigma", oracle.features(SESSION_SQL, 1, 2, nbits=10, sigma=2.0))
+def node_features_sigma(spark, d):
+    return features.node_features(session_graphs(spark, d), radius=1, distance=2, sigma=2.0).withColumn("value", F.round("value", 6))
+
+
+# --- matrices ---
+
+
+@register("weighted_features", f"SELECT f.graph_id, f.node_id, f.feature_id, round(f.value * e.value, 6) AS value FROM ({oracle.features(SESSION_SQL, 1, 1)}) f JOIN events e ON f.node_id = e.event_id")
+def weighted_features(spark, d):
+    g = session_graphs(spark, d)
+    return vectors.reweighted(features.node_features(g, radius=1, distance=1), g.nodes).withColumn("value", F.round("value", 6))
+
+
+_EMB = oracle.features(EMBEDDING_SQL, 1, 1, nbits=6)
+_ATTR = "(SELECT CAST(label AS BIGINT) AS graph_id, vec_id AS node_id, unnest(embedding)::DOUBLE AS a, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)"
+
+
+@register("attribute_graph_vectors", f"SELECT f.graph_id, CAST(a.dim * 64 + f.feature_id AS INTEGER) AS feature_id, round(sum(a.a * f.value), 6) AS value FROM ({_EMB}) f JOIN {_ATTR} a USING (graph_id, node_id) GROUP BY f.graph_id, a.dim, f.feature_id")
+def attribute_graph_vectors(spark, d):
+    g = embedding_graphs(spark, d)
+    return vectors.attribute_graph_vectors(features.node_features(g, radius=1, distance=1, nbits=6), g.nodes, 6).withColumn("value", F.round("value", 6))
+
+
+@register("attribute_node_vectors", f"""WITH f AS ({_EMB}), a AS {_ATTR}, y AS (SELECT graph_id, dim, feature_id, sum(a.a * f.value) AS y FROM f JOIN a USING (graph_id, node_id) GROUP BY ALL),
+    z AS (SELECT f.graph_id, f.node_id, y.dim, sum(f.value * y.y) AS z FROM f JOIN y USING (graph_id, feature_id) GROUP BY ALL)
+    SELECT graph_id, node_id, CAST(dim AS INTEGER) AS feature_id, round(a, 4) AS value FROM a UNION ALL SELECT graph_id, node_id, CAST(dim + 64 AS INTEGER), round(pow(abs(z), 1.0 / 3), 4) FROM z UNION ALL SELECT graph_id, node_id, CAST(feature_id + 128 AS INTEGER), CAST(value AS DOUBLE) FROM f""")
+def attribute_node_vectors(spark, d):
+    g = embedding_graphs(spark, d)
+    return vectors.attribute_node_vectors(features.node_features(g, radius=1, distance=1, nbits=6), g.nodes, 64).withColumn("value", F.round("value", 4))
+
+
+@register("node_kernel", f"""WITH f AS ({oracle.features(SESSION_SQL, 1, 1, nbits=6)}) SELECT a.graph_id, CAST(b.feature_id AS BIGINT) * 64 + a.feature_id AS feature_id, round(sqrt(abs(sum(a.value * b.value))), 6) AS value
+    FROM f a JOIN f b USING (graph_id, node_id) GROUP BY a.graph_id, b.feature_id, a.feature_id""")
+def node_kernel(spark, d):
+    return vectors.node_kernel(features.node_features(session_graphs(spark, d), radius=1, distance=1, nbits=6), 6).withColumn("value", F.round("value", 6))
+
+
+@register("cosine_kernel", f"""WITH f AS ({oracle.features(EMBEDDING_SQL, 1, 2, per_graph=True)}), n AS (SELECT graph_id, sqrt(sum(value * value)) AS norm FROM f GROUP BY graph_id)
+    SELECT a.graph_id AS g1, b.graph_id AS g2, round(sum(a.value / na.norm * (b.value / nb.norm)), 6) AS cosine FROM f a JOIN f b ON a.feature_id = b.feature_id AND a.graph_id < b.graph_id
+    JOIN n na ON na.graph_id = a.graph_id JOIN n nb ON nb.graph_id = b.graph_id GROUP BY ALL""")
+def cosine_kernel(spark, d):
+    return vectors.cosine(features.graph_features(embedding_graphs(spark, d), radius=1, distance=2)).withColumn("cosine", F.round("cosine", 6))
+
+
+# --- selection ---
+
+
+@register("offset_limit", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 37")
+def offset_limit(spark, d):
+    return selection.offset_limit(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 37, 100)
+
+
+@register("bernoulli", f"SELECT o_orderkey FROM orders WHERE {sql.code(chr(39) + 'sample:7:' + chr(39) + ' || o_orderkey')} % 1000000 < 250000")
+def bernoulli(spark, d):
+    return selection.bernoulli(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.25, 7)
+
+
+@register("class_weights", "SELECT o_orderstatus AS label, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM orders GROUP BY o_orderstatus")
+def class_weights(spark, d):
+    return selection.class_weights(read(spark, d, "orders"), "o_orderstatus")
+
+
+_DRAW = sql.code("'balance:3:' || o_orderkey")
+
+
+@register("balanced", f"""WITH c AS (SELECT count(*) AS k, min(n) AS least FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)),
+    r AS (SELECT o_orderkey, o_orderstatus, {_DRAW} AS x, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_DRAW}, o_orderkey) AS rank FROM orders),
+    p AS (SELECT r.*, least(c.least, 1000 // c.k) AS per, c.k FROM r, c),
+    o AS (SELECT *, row_number() OVER (ORDER BY x, o_orderkey) AS over_rank FROM p WHERE rank > per)
+    SELECT o_orderkey, o_orderstatus FROM p WHERE rank <= per UNION ALL SELECT o_orderkey, o_orderstatus FROM o WHERE over_rank <= 1000 - per * k""")
+def balanced(spark, d):
+    return selection.balanced(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 1000, 3)
+
+
+@register("batches", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 128 AS BIGINT) AS batch_id FROM orders")
+def batches(spark, d):
+    return selection.batches(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 128)
+
+
+@register("chunks", "SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS chunk FROM orders")
+def chunks(spark, d):
+    return selection.chunks(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+# --- archive and importance ---
+
+_OCC = f"{_BASE}, {oracle.distances(1)}, {oracle.rooted(1)}, {oracle.raw(1)}, oc AS (SELECT {sql.feature_id('raw', 8)} AS feature_id, raw FROM rw)"
+
+
+@register("archive_summary", f"{_OCC} SELECT feature_id, count(*) AS occurrence_count, count(DISTINCT raw) AS raw_signature_count FROM oc GROUP BY feature_id")
+def archive_summary(spark, d):
+    return attribution.archive_summary(attribution.occurrences(order_graphs(spark, d), radius=1, distance=1, nbits=8))
+
+
+@register("top_features", f"{_OCC} SELECT feature_id, {_IMPORTANCE_SQL} AS importance, count(*) AS occurrence_count, count(DISTINCT raw) AS raw_signature_count FROM oc GROUP BY feature_id HAVING {_IMPORTANCE_SQL} > 0 ORDER BY importance DESC, feature_id LIMIT 10")
+def top_features(spark, d):
+    occ = attribution.occurrences(order_graphs(spark, d), radius=1, distance=1, nbits=8)
+    return attribution.top_features(_importance(occ), occ).select("feature_id", "importance", "occurrence_count", "raw_signature_count")
+
+
+_SCORE = f"""WITH f AS ({oracle.features(ORDER_SQL, **_NODE)}), s AS (SELECT graph_id, node_id, sum(value * {_IMPORTANCE_SQL}) AS score FROM f GROUP BY graph_id, node_id),
+    n AS (SELECT graph_id, node_id, score / CASE WHEN max(score) OVER (PARTITION BY graph_id) > 0 THEN max(score) OVER (PARTITION BY graph_id) ELSE 1 END AS score FROM s)"""
+
+
+def _scores(spark, d):
+    f = features.node_features(order_graphs(spark, d), **_NODE)
+    return attribution.node_importance(f, _importance(f))
+
+
+@register("node_importance", f"{_SCORE} SELECT graph_id, node_id, score FROM n")
+def node_importance(spark, d):
+    return _scores(spark, d)
+
+
+@register("edge_importance", f"""SELECT x.graph_id, x.u, x.v, a.score * b.score AS score FROM (WITH {ORDER_SQL} SELECT * FROM edges) x
+    JOIN ({_SCORE} SELECT * FROM n) a ON x.graph_id = a.graph_id AND x.u = a.node_id JOIN ({_SCORE} SELECT * FROM n) b ON x.graph_id = b.graph_id AND x.v = b.node_id""")
+def edge_importance(spark, d):
+    return attribution.edge_importance(order_graphs(spark, d).edges, _scores(spark, d))
+
+
+@register("importance_postprocess", """WITH r AS (SELECT l_suppkey AS feature_id, l_linenumber AS run, avg(l_discount) AS importance FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT feature_id, greatest(avg(importance) - stddev_pop(importance), 0) AS w FROM r GROUP BY feature_id),
+    q AS (SELECT quantile_cont(w, 0.5) AS q, max(w) AS m FROM s)
+    SELECT feature_id, round(CASE WHEN w < q THEN 0 ELSE w END / CASE WHEN m > 0 THEN m ELSE 1 END, 6) AS importance FROM s, q""")
+def importance_postprocess(spark, d):
+    runs = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("feature_id"), F.col("l_linenumber").alias("run")).agg(F.avg("l_discount").alias("importance"))
+    return attribution.postprocess(runs, 0.5).withColumn("importance", F.round("importance", 6))
+
+
+# --- analytics ---
+
+
+@register("graph_stats", f"""{_BASE}, n AS (SELECT graph_id, count(*) AS n_nodes, count(DISTINCT label) AS n_labels FROM nodes GROUP BY graph_id), e AS (SELECT graph_id, count(*) AS n_edges FROM edges GROUP BY graph_id),
+    d AS (SELECT graph_id, CAST(min(degree) AS BIGINT) AS min_degree, CAST(max(degree) AS BIGINT) AS max_degree FROM dg GROUP BY graph_id)
+    SELECT graph_id, n_nodes, coalesce(n_edges, 0) AS n_edges, round(CASE WHEN n_nodes > 1 THEN 2 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END, 6) AS density, n_labels, min_degree, max_degree
+    FROM n LEFT JOIN e USING (graph_id) JOIN d USING (graph_id)""")
+def graph_stats(spark, d):
+    return analytics.graph_stats(order_graphs(spark, d))
+
+
+@register("feature_nonzeros", f"""WITH f AS ({oracle.features(ORDER_SQL, **_GRAPH, per_graph=True)}) SELECT graph_id, count(*) AS nnz, CAST(sum(value) FILTER (WHERE feature_id = 0) AS BIGINT) AS n_nodes, CAST(sum(value) FILTER (WHERE feature_id = 1) AS BIGINT) AS degree_sum FROM f GROUP BY graph_id""")
+def feature_nonzeros(spark, d):
+    return analytics.nonzeros(features.graph_features(order_graphs(spark, d), **_GRAPH))
