@@ -27,9 +27,8 @@ class Graphs:
         return Graphs(self.nodes.withColumn("label", fill), self.edges.withColumn("label", fill))
 
     def together(self) -> Graphs:
-        """Both tables dealt by graph, once: joins and aggregations whose keys hold graph_id
-        then need no further shuffle."""
-        self.nodes.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        """Both tables dealt by graph, once. Aggregations whose keys hold graph_id need no
+        further shuffle; joins keep Spark's rule that all keys must match."""
         return Graphs(self.nodes.repartition("graph_id"), self.edges.repartition("graph_id"))
 
     def adjacency(self) -> DataFrame:
