@@ -111,26 +111,25 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], pairs: list[tuple[list[int],
     if not pos or pos == len(labels):  # one class only: its share, smoothed
         p = (pos + 1) / (len(labels) + 2) if len(labels) else 1e-9
         return Model({}, float(np.log(p / (1 - p))))
-    size = 4 << BITS
-    counts = [np.zeros(size), np.zeros(size)]
+    seen = np.unique(np.concatenate(rows))
+    counts = [np.zeros(len(seen)), np.zeros(len(seen))]
     for y, r in zip(labels, rows, strict=True):
-        counts[int(y)][r] += 1
+        counts[int(y)][np.searchsorted(seen, r)] += 1
     n = [len(labels) - pos, pos]
     odds = [np.log((c + 0.5) / (m - c + 0.5)) for c, m in zip(counts, n, strict=True)]
     error = np.sqrt(sum(1 / (c + 0.5) + 1 / (m - c + 0.5) for c, m in zip(counts, n, strict=True)))
     z = np.abs(odds[1] - odds[0]) / error
     z[counts[0] + counts[1] < 3] = 0
-    chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
-    number = np.full(size, -1)
-    number[chosen] = np.arange(len(chosen))
-    cols = [number[r][number[r] >= 0] for r in rows]
+    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(seen[best[z[best] >= LEAST_Z]])
+    number = {f: i for i, f in enumerate(chosen.tolist())}
+    cols = [np.flatnonzero(np.isin(chosen, r)) for r in rows]
     of_row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate([*cols, np.empty(0, int)]).astype(int)
     d_row, d_col, d_val = [], [], []
     for k, (only, other) in enumerate(pairs):
         for value, feats in ((1.0, only), (-1.0, other)):
             for f in feats:
-                if number[f] >= 0:
+                if f in number:
                     d_row.append(k), d_col.append(number[f]), d_val.append(value)
     d_row, d_col, d_val = np.array(d_row, int), np.array(d_col, int), np.array(d_val)
     w, b = np.zeros(len(chosen)), float(np.log(pos / n[0]))
