@@ -26,12 +26,13 @@ def register(name: str, text: str):
     return add
 
 
-def _importance(df: DataFrame) -> DataFrame:
-    """A fixed importance for each feature, in place of a fitted one."""
-    return df.select("feature_id").distinct().select("feature_id", (F.pmod(F.col("feature_id").cast("long") * 7919, F.lit(1000)) / 1024.0).alias("importance"))
+def _importance(spark: SparkSession, nbits: int) -> DataFrame:
+    """A fixed importance for each possible feature, in place of a fitted one."""
+    f = spark.range(1 << nbits).select(F.col("id").cast("int").alias("feature_id"))
+    return f.select("feature_id", (F.pmod(F.col("feature_id").cast("long") * 7919, F.lit(1000)) / 1024.0).alias("importance"))
 
 
-_IMPORTANCE_SQL = "(CAST(feature_id AS BIGINT) * 7919 % 1000) / 1000.0"
+_IMPORTANCE_SQL = "(CAST(feature_id AS BIGINT) * 7919 % 1000) / 1024.0"
 _GRAPH = {"radius": 1, "distance": 2, "nbits": 10}
 _NODE = {"radius": 1, "distance": 1, "nbits": 10}
 
@@ -237,7 +238,7 @@ def archive_summary(spark, d):
 @register("top_features", f"{_OCC} SELECT feature_id, {_IMPORTANCE_SQL} AS importance, count(*) AS occurrence_count, count(DISTINCT raw) AS raw_signature_count FROM oc GROUP BY feature_id HAVING {_IMPORTANCE_SQL} > 0 ORDER BY importance DESC, feature_id LIMIT 10")
 def top_features(spark, d):
     occ = attribution.occurrences(order_graphs(spark, d), radius=1, distance=1, nbits=8)
-    return attribution.top_features(_importance(occ), occ).select("feature_id", "importance", "occurrence_count", "raw_signature_count")
+    return attribution.top_features(_importance(spark, 8), occ).select("feature_id", "importance", "occurrence_count", "raw_signature_count")
 
 
 _SCORE = f"""WITH f AS ({oracle.features(ORDER_SQL, **_NODE)}), s AS (SELECT graph_id, node_id, sum(value * {_IMPORTANCE_SQL}) AS score FROM f GROUP BY graph_id, node_id),
@@ -246,7 +247,7 @@ _SCORE = f"""WITH f AS ({oracle.features(ORDER_SQL, **_NODE)}), s AS (SELECT gra
 
 def _scores(spark, d):
     f = features.node_features(order_graphs(spark, d), **_NODE)
-    return attribution.node_importance(f, _importance(f))
+    return attribution.node_importance(f, _importance(spark, 10))
 
 
 @register("node_importance", f"{_SCORE} SELECT graph_id, node_id, score FROM n")

@@ -56,8 +56,8 @@ def top_features(importance: DataFrame, found: DataFrame, top_k: int = 10, min_i
 
 def node_importance(features: DataFrame, importance: DataFrame, normalize: bool = True) -> DataFrame:
     """(graph_id, node_id, score): values times importances, by each graph's maximum."""
-    s = features.join(importance, "feature_id").groupBy("graph_id", "node_id").agg(F.sum(F.col("value") * F.col("importance")).alias("score"))
-    every = features.select("graph_id", "node_id").distinct().join(s, ["graph_id", "node_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    part = F.coalesce(F.col("value") * F.col("importance"), F.lit(0.0))
+    every = features.join(importance, "feature_id", "left").groupBy("graph_id", "node_id").agg(F.sum(part).alias("score"))
     if not normalize:
         return every
     most = F.max("score").over(Window.partitionBy("graph_id"))
