@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import hashing as h
 from .functions.hashing import sql
-from .operators import analytics, attribution, features, selection, structure, vectors
+from .operators import analytics, attribution, features, selection, smoothing, structure, vectors
+from .operators.encoders import GraphEncoder, NodeEncoder
 from .plans import oracle
+from .sources import readers
 from .sources.tables import EMBEDDING_SQL, ORDER_SQL, SESSION_SQL, embedding_graphs, order_graphs, read, session_graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,3 +286,62 @@ def graph_stats(spark, d):
 @register("feature_nonzeros", f"""WITH f AS ({oracle.features(ORDER_SQL, **_GRAPH, per_graph=True)}) SELECT graph_id, count(*) AS nnz, CAST(sum(value) FILTER (WHERE feature_id = 0) AS BIGINT) AS n_nodes, CAST(sum(value) FILTER (WHERE feature_id = 1) AS BIGINT) AS degree_sum FROM f GROUP BY graph_id""")
 def feature_nonzeros(spark, d):
     return analytics.nonzeros(features.graph_features(order_graphs(spark, d), **_GRAPH))
+
+
+@register("graph_components", f"""WITH RECURSIVE {ORDER_SQL.strip()}, reach AS (SELECT graph_id, node_id AS root, node_id FROM nodes UNION SELECT r.graph_id, r.root, a.dst FROM reach r JOIN adj a ON r.graph_id = a.graph_id AND r.node_id = a.src),
+    c AS (SELECT graph_id, root, min(node_id) AS component FROM reach GROUP BY graph_id, root), z AS (SELECT graph_id, component, count(*) AS size FROM c GROUP BY graph_id, component)
+    SELECT graph_id, count(*) AS n_components, max(size) AS largest, count(*) = 1 AS connected FROM z GROUP BY graph_id""")
+def graph_components(spark, d):
+    return analytics.component_stats(order_graphs(spark, d))
+
+
+@register("class_degrees", f"""{_BASE}, m AS (SELECT graph_id, max(degree) AS most FROM dg GROUP BY graph_id)
+    SELECT o_orderstatus, round(avg(most), 6) AS mean, median(most) AS median, round(stddev_pop(most), 6) AS std, CAST(min(most) AS BIGINT) AS least, CAST(max(most) AS BIGINT) AS most FROM m JOIN orders ON graph_id = o_orderkey GROUP BY o_orderstatus""")
+def class_degrees(spark, d):
+    g = order_graphs(spark, d).together()
+    deg = structure.degrees(g).groupBy("graph_id").agg(F.max("degree").alias("max_degree"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), "o_orderstatus")
+    return analytics.by_class(deg.join(o, "graph_id"), ["o_orderstatus"], "max_degree").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+_SPLIT = sql.code("'split:5:' || o_orderkey")
+
+
+@register("stratified_split", f"""SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_SPLIT}, o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.7::DOUBLE) AS in_train FROM orders""")
+def stratified_split(spark, d):
+    return selection.stratified_split(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 0.7, 5)
+
+
+@register("learning_prefixes", """WITH RECURSIVE s(size) AS (SELECT count(*) FROM customer UNION ALL SELECT size // 2 FROM s WHERE size // 2 >= 100), p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer)
+    SELECT c_custkey, size FROM p JOIN s ON n <= size WHERE size >= 100""")
+def learning_prefixes(spark, d):
+    return selection.learning_prefixes(read(spark, d, "customer").select("c_custkey"), "c_custkey", 100)
+
+
+@register("parse_lines", """SELECT 'part' AS source_uri, p_partkey AS source_line, p_brand AS smiles, p_name AS name FROM part WHERE p_partkey % 5 = 1
+    UNION ALL SELECT 'part', p_partkey, regexp_extract(p_name, '^\\S+'), nullif(regexp_extract(p_name, '^\\S+\\s+(\\S+)', 1), '') FROM part WHERE p_partkey % 5 NOT IN (0, 1)""")
+def parse_lines(spark, d):
+    p = read(spark, d, "part")
+    text = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" # "), "p_name")).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit(" "), "p_brand", F.lit(", "), "p_name", F.lit(",x"))).otherwise(F.concat("p_name", F.lit("  ")))
+    return readers.parse_lines(p.select(F.lit("part").alias("source_uri"), F.col("p_partkey").alias("source_line"), text.alias("value"))).drop("props")
+
+
+def quadratic_loess(spark, d):
+    days = read(spark, d, "events").groupBy(F.dayofyear("ts").alias("x")).agg(F.avg("value").alias("y"))
+    return smoothing.quadratic_loess(days, 0.5)
+
+
+def reduced_graph_vectors(spark, d):
+    """Attributes reduced to 4 dimensions, labels by 5 clusters of them."""
+    return GraphEncoder(distance=1, nbits=6, node_attribute_key="attr", attribute_dim=4, attribute_alphabet_size=5).fit_transform(embedding_graphs(spark, d))
+
+
+@register("stream_batches", f"""WITH f AS ({oracle.features(ORDER_SQL, 1, 1, nbits=8)}), b AS (SELECT o_orderkey AS graph_id, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS BIGINT) AS batch_id FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 10))
+    SELECT f.*, batch_id FROM f JOIN b USING (graph_id)""")
+def stream_batches(spark, d):
+    index = read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_orderkey").alias("seq"))
+    return NodeEncoder(r=1, d=1, nbits=8).stream_from(order_graphs(spark, d), index, "seq", batch_size=64, limit=500, start_after_instance=10)
+
+
+#: Fitted or numeric: tested against NumPy instead of SQL.
+QUERIES |= {"quadratic_loess": quadratic_loess, "reduced_graph_vectors": reduced_graph_vectors}

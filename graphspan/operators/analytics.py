@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
 from ..sources.tables import Graphs
 from .structure import degrees
 
@@ -22,3 +23,32 @@ def graph_stats(g: Graphs) -> DataFrame:
 
 def nonzeros(features: DataFrame) -> DataFrame:
     return features.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nnz"), F.sum(F.when(F.col("feature_id") == 0, F.col("value"))).alias("n_nodes"), F.sum(F.when(F.col("feature_id") == 1, F.col("value"))).alias("degree_sum"))
+
+
+def components(g: Graphs) -> DataFrame:
+    """(graph_id, node_id, component): the smallest node of each node's component. Each round
+    takes the smallest component among neighbours, then that of the component itself; the
+    sum of components falls until none changes."""
+    adj = cut(g.adjacency().select("graph_id", "src", F.col("dst").alias("node_id")))
+    now, was = cut(g.nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))), None
+    while True:
+        near = adj.join(now, ["graph_id", "node_id"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
+        low = now.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("component", "near").alias("component"))
+        up = low.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("above"))
+        now = cut(low.join(up, ["graph_id", "component"]).select("graph_id", "node_id", F.least("component", "above").alias("component")))
+        total = now.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == was:
+            return now
+        was = total
+
+
+def component_stats(g: Graphs) -> DataFrame:
+    """(graph_id, n_components, connected)."""
+    roots = components(g).groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("size"))
+    return roots.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest")).withColumn("connected", F.col("n_components") == 1)
+
+
+def by_class(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean, exact median, population deviation, least and largest of a column by class."""
+    v = F.col(value)
+    return values.groupBy(*keys).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import code
+from ..plans.storage import cut
 
 
 def check_limit(limit) -> None:
@@ -23,13 +24,24 @@ def check_count(name: str, n, least: int = 0) -> None:
 
 
 def numbered(df: DataFrame, seq: str, out: str = "pos") -> DataFrame:
-    """df with each row's place (from 0) in the order of seq, without sorting all rows in one
-    task: rows are counted by range, and places start at the counts before."""
-    parts = df.repartitionByRange(F.col(seq)).withColumn("__p", F.spark_partition_id())
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__p").orderBy(seq)
-    return parts.join(F.broadcast(starts), "__p").withColumn(out, F.col("__before") + F.row_number().over(own) - 1).drop("__p", "__before")
+    """df with each row's place (from 0) in the order of seq."""
+    return ranked(df, [], [seq], out)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """df with each row's place (from 0) among the rows of its keys, by order; neither all
+    rows nor those of one key need fit one task. Rows are dealt by range, once: the dealing
+    is kept, as its bounds are sampled anew each time it is computed. Ranges are counted,
+    and places start at the counts of the ranges before."""
+    parts = cut(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()))
+    by = [*keys, "__p"]
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    on = F.col("__p") == F.col("__q")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    own = Window.partitionBy(*by).orderBy(*order)
+    return parts.join(starts, on).withColumn(out, F.col("__before") + F.row_number().over(own) - 1).drop("__p", "__q", "__before", *[f"__{k}" for k in keys])
 
 
 def offset_limit(df: DataFrame, seq: str, start_after: int = 0, limit: int | float | None = None, seed: int = 0) -> DataFrame:
@@ -70,12 +82,11 @@ def balanced(df: DataFrame, seq: str, label: str, target: int | None = None, see
     if target is not None:
         check_count("limit", target)
     per_class = least if target is None else min(least, target // k)
-    w = Window.partitionBy(label).orderBy("__draw", seq)
-    ranked = df.withColumn("__draw", draw(F.col(seq), seed, "balance")).withColumn("__rank", F.row_number().over(w))
-    chosen = ranked.filter(F.col("__rank") <= per_class)
+    placed = ranked(df.withColumn("__draw", draw(F.col(seq), seed, "balance")), [label], ["__draw", seq], "__rank")
+    chosen = placed.filter(F.col("__rank") < per_class)
     rest = (per_class * k if target is None else min(target, total)) - per_class * k
     if rest > 0:
-        chosen = chosen.unionByName(ranked.filter(F.col("__rank") > per_class).orderBy("__draw", seq).limit(rest))
+        chosen = chosen.unionByName(placed.filter(F.col("__rank") >= per_class).orderBy("__draw", seq).limit(rest))
     return chosen.drop("__draw", "__rank")
 
 
@@ -94,3 +105,24 @@ def chunks(df: DataFrame, seq: str, n: int) -> DataFrame:
     cut = big * (size + 1)
     chunk = F.when(pos < cut, F.floor(pos / (size + 1))).otherwise(big + F.floor((pos - cut) / max(1, size)))
     return numbered(df, seq, "__pos").withColumn("chunk", chunk).drop("__pos")
+
+
+def stratified_split(df: DataFrame, seq: str, label: str, share: float = 0.7, seed: int = 0) -> DataFrame:
+    """df with in_train: of each class, the share (rounded down) that a repeatable draw puts first."""
+    if not 0 < share < 1:
+        raise ValueError("the share lies between 0 and 1")
+    n = df.groupBy(F.col(label).alias("__label")).agg(F.floor(F.count(F.lit(1)) * share).alias("__take"))
+    placed = ranked(df.withColumn("__draw", draw(F.col(seq), seed, "split")), [label], ["__draw", seq], "__rank")
+    return placed.join(n, F.col(label).eqNullSafe(F.col("__label"))).withColumn("in_train", F.col("__rank") < F.col("__take")).drop("__draw", "__rank", "__label", "__take")
+
+
+def learning_prefixes(df: DataFrame, seq: str, least: int = 100) -> DataFrame:
+    """(size, *columns): nested prefixes in the order of seq, of all rows, half of them and so
+    on down to `least`. Each row is repeated as often as it lies in a prefix."""
+    check_count("least", least, 1)
+    sizes, n = [], df.count()
+    while n >= least:
+        sizes.append(n)
+        n //= 2
+    fits = F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]).cast("array<bigint>"), lambda s: s > F.col("__pos"))
+    return numbered(df, seq, "__pos").withColumn("size", F.explode(fits)).drop("__pos")
