@@ -164,3 +164,43 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", most
 def op4(docs: DataFrame) -> DataFrame:
     d = near_dedup(docs)
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_hashes(text: str, size: int) -> set[int]:
+    """XXH64 of the distinct shingles, as words and shingles are for fingerprint()."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return set()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))}
+
+
+def confirmed_copies(docs: DataFrame, most: int = 6, size: int = 2, words: int = 5, similarity: float = 0.8, per_task: int = 500) -> DataFrame:
+    """(doc_id, keep_id): documents whose set of `words`-word shingles has a Jaccard similarity
+    of at least `similarity` with that of keep_id, the smallest doc_id of their component at
+    `most` differing bits of fingerprints over `size` words, which is never itself listed.
+
+    Fingerprints of shorter shingles in a wider ring of bits find looser copies, and the exact
+    check keeps other documents. A copy is missed if only other members resemble it.
+    Members are compared with one document, never with each other, and a keeper's text is
+    repeated once for each `per_task` members, so that large groups are dealt to many tasks.
+    Texts without words equal each other. Rows with a null id are left out."""
+    found = near_dedup(docs.filter(F.col("doc_id").isNotNull()), most=most, size=size).filter("doc_id > component_id").select("doc_id", F.col("component_id").alias("keep_id")).distinct()
+    sizes = found.groupBy("keep_id").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
+    members = table(found.join(sizes, "keep_id").select("doc_id", "keep_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    keepers = texts.join(sizes, texts["doc_id"] == sizes["keep_id"]).select("keep_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("keep_text"))
+    pairs = texts.join(members, "doc_id").join(keepers.hint("merge"), ["keep_id", "salt"]).select("doc_id", "keep_id", "text", "keep_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, set()
+        for b in batches:
+            same = []
+            for t, k in zip(b.column(2), b.column(3), strict=True):
+                if (k := k.as_py()) != last:
+                    last, kept = k, shingle_hashes(k, words)
+                own = shingle_hashes(t.as_py(), words)
+                both = len(own & kept)
+                same.append(both >= similarity * (len(own) + len(kept) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "keep_id"]).filter(pa.array(same, pa.bool_()))
+
+    return pairs.mapInArrow(run, "doc_id long, keep_id long")

@@ -255,3 +255,18 @@ def test_pipeline_on_a_small_table(spark):
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
     assert 904 in ids and 903 not in ids and len(ids & {900, 901, 902}) == 1
     assert not any(i % 4 == 0 for i in ids if i < 200) and sum(i < 200 for i in ids) == 150
+
+
+def test_confirmed_copies_keep_other_documents(spark):
+    """Copies of a similarity of 0.8 or more go, others stay; so do rows without an id."""
+    from graphspan.llm import simhash
+
+    base = [f"w{i * 37 % 211}" for i in range(200)]
+    loose = base[:100] + ["other"] + base[101:]  # 196 shingles, 5 changed
+    far = base[:40] + [f"z{i}" for i in range(160)]
+    rows = [(1, " ".join(base)), (2, " ".join(loose)), (3, " ".join(far)), (4, None), (5, ""), (None, " ".join(base)), (2, " ".join(loose))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", simhash.F.lit("x"))
+    assert set(map(tuple, simhash.confirmed_copies(docs, most=10).collect())) == {(2, 1), (5, 4)}
+    assert simhash.confirmed_copies(docs.filter("false")).count() == 0
+    sets = [simhash.shingle_hashes(t or "", 5) for _, t in rows[:3]]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8 > len(sets[0] & sets[2]) / len(sets[0] | sets[2])
