@@ -27,10 +27,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Rows with
-    a null id, which cannot be told apart, all stay."""
+    """One document of each group of near-duplicates: that with the smallest id. First by
+    fingerprints as op4 links them; then, of those left, copies in a wider ring of bits
+    whose five-word shingles confirm a similarity of 0.8. Rows with a null id, which cannot be
+    told apart, all stay."""
     found = simhash.near_dedup(docs)
-    gone = table(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = table(_without(docs, found.filter("doc_id > component_id").select("doc_id")), "near")
+    return _without(left, simhash.confirmed_copies(left).select("doc_id"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    gone = table(ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
 
 
