@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
+#: Arrow batches hold at most so many rows and bytes (one row at least): whole texts of
+#: 10,000 rows, Spark's own limit, take some 100 MB on both sides of each worker.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _shipped: dict[str, bool] = {}
 _own_dir: str | None = None
 _tables: dict[str, list[str]] = {}
@@ -22,8 +25,13 @@ _tables: dict[str, list[str]] = {}
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python
-    workers import it whatever their working directory is."""
+    workers import it whatever their working directory is, and bound the session's
+    Arrow batches by ARROW_LIMITS (lower limits stay)."""
     sc = spark.sparkContext
+    for key, most in ARROW_LIMITS.items():
+        now = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
     if _shipped.get(sc.applicationId):
         return
     with contextlib.suppress(OSError):

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import ship, table, text_or_empty
 from .components import components
 from .gray_index import gray_rank, run_links
@@ -58,6 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])

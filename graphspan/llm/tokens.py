@@ -16,7 +16,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Pieces in one generation of a worker process's tables.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
+#: A piece is kept from its second time on, as far as a table of so many hashes tells.
+SEEN_HASHES = 1 << 21
 #: Pieces longer than this are encoded afresh.
 KEPT_CHARS = 64
 
@@ -73,20 +75,28 @@ def _packed(ids: list[int]) -> bytes:
 
 class _Pieces(dict):
     """Ids of pieces, each behind `prefix`. Two generations of at most `kept` pieces: a
-    full table becomes the old one, from which pieces in use are taken over."""
+    full table becomes the old one, from which pieces in use are taken over. Pieces that
+    occur once, most of a large corpus's, take no place in it."""
 
     def __init__(self, ids_of: Callable[[str], bytes], prefix: str, kept: int):
         super().__init__()
         self.ids_of, self.prefix, self.kept, self.old = ids_of, prefix, kept, {}
+        self.seen = bytearray(SEEN_HASHES // 8)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.ids_of(self.prefix + piece)
+            h = hash(piece) % SEEN_HASHES
+            bit = 1 << (h & 7)
+            if not self.seen[h >> 3] & bit:
+                self.seen[h >> 3] |= bit
+                return ids
         if len(piece) <= KEPT_CHARS:
             if len(self) >= self.kept:
                 self.old = dict(self)
                 self.clear()
+                self.seen = bytearray(SEEN_HASHES // 8)
             self[piece] = ids
         return ids
 
@@ -166,3 +176,8 @@ def encoder(path: str, pattern: str) -> Encoder:
         made = tokenizer_of_file(path) if path.endswith(".json") else tokenizer_of_ranks(read_ranks(path), pattern)
         _encoders[key] = Encoder(made, pattern)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Free a worker process's tables, before another operator fills its own."""
+    _encoders.clear()

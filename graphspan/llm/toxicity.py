@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import ship, table, text_or_empty
 
 #: Labelled texts used for training at most (those with the smallest hashed ids).
@@ -194,6 +195,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         of = held.value.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([of(t.as_py()) for t in b.column(len(names))], pa.float64())], [*names, out])
