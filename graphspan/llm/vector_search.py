@@ -3,9 +3,9 @@
 Candidates are dealt and sorted by descending length. An orthogonal rotation (the
 eigenvectors of the Gram matrix, i.e. the right singular vectors) moves most of the
 length into the first components, so partial sums over those plus a Cauchy-Schwarz bound
-of the rest rule out most candidates; and since lengths descend, a worker stops as soon
-as no later vector can reach any query's k-th best. What passes is scored in exact
-integers. The bounds are widened by the rounding error of the rotated sums.
+of the rest rule out most candidates; chunks whose longest vector cannot reach any
+query's k-th best are passed over. A task may read several files in any order, so each
+chunk is judged by its own lengths. What passes is scored in exact integers. The bounds are widened by the rounding error of the rotated sums.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ class TopK:
 
 
 def search_chunk(best: TopK, floor: np.ndarray, q: dict, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, partial: int) -> bool:
-    """Hold candidates, in descending length, against all queries. False if none can matter."""
+    """Hold candidates against all queries. False if none can matter."""
     norm = np.sqrt((c * c).sum(axis=1))
     need = np.maximum(best.least(), floor)
     slack = 1e-9 * q["norm"] * norm.max(initial=0) + 1e-6
@@ -178,11 +178,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, query_block: int = QU
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             q, floor, rotation = held.value
-            best, go = TopK(len(q["id"]), k), True
+            best = TopK(len(q["id"]), k)
             for b in batches:
                 ids, c = b.column(0).to_numpy(), _matrix(b.column(1), dim)
                 for i in range(0, len(ids), _CHUNK):
-                    go = go and search_chunk(best, floor, q, ids[i : i + _CHUNK], c[i : i + _CHUNK], rotation, partial)
+                    search_chunk(best, floor, q, ids[i : i + _CHUNK], c[i : i + _CHUNK], rotation, partial)
             at = np.nonzero(best.full)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q["id"][at[0]], best.id[at], best.score[at])], ["query_id", "vec_id", "score"])
 

@@ -72,6 +72,31 @@ def test_vector_search_against_brute_force(spark):
     assert vector_search.op2(df.limit(0)).count() == 0
 
 
+def test_vector_search_over_files_in_any_order(spark):
+    """A task reads files by size: the long vectors here compress well and come last."""
+    r = np.random.default_rng(5)
+    v = (r.normal(size=(10_000, 16)) * r.uniform(0.1, 1, (10_000, 1))).astype("f4")
+    v[6000:] = r.choice([-1, 1], (4000, 16)) * r.choice([50, 100, 400], (4000, 1))
+    v = v[r.permutation(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in vector_search.op2(df).collect()}
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x) if x is not None else spark.conf.unset(k)
+    c = np.floor(1024.0 * v.astype(float)).astype(np.int64)
+    want = {}
+    for q in range(0, len(c), 100):
+        score = c @ c[q]
+        best = [i for i in np.lexsort((np.arange(len(c)), -score))[:11].tolist() if i != q][:10]
+        want |= {(q, k): (i, int(score[i])) for k, i in enumerate(best, 1)}
+    assert got == want
+
+
 def test_bpe_equals_tiktoken_and_comes_back(spark, rows):
     import tiktoken
 
