@@ -37,7 +37,7 @@ HOT_DIGIT = 10_000
 
 _SEGMENT = 1 << 22  # longer texts are read in segments that overlap by depth - 1 bytes
 _BUFFER = 1 << 20
-_POSITION = np.uint64((1 << 24) - 1)
+_POSITION = np.uint64((1 << 24) - 1)  # low bits of an anchor's hash: its place in a buffer no longer than this
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -116,15 +116,32 @@ def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int
     A place is packed: anchor, its greatest and least distance from the starts of its
     windows, side. Where all bytes around several anchors of a text are the same, as in
     periodic passages, they are repeated, and only the first of these anchors goes on."""
-    parts, at = [], 0
-    owner, shift = [], []
+    buffers: list[list[tuple[bytes, int, bytes]]] = [[]]  # of (id, place in the text, segment)
+    size = 0
     for key, text in texts:
         for a in range(0, max(1, len(text) - depth + 1), _SEGMENT - depth + 1):
-            parts.append(text[a : a + _SEGMENT])
-            owner.append(key), shift.append(a - at)
-            at += len(parts[-1])
+            part = text[a : a + _SEGMENT]
+            if size + len(part) > int(_POSITION) and buffers[-1]:
+                buffers.append([])
+                size = 0
+            buffers[-1].append((key, a, part))
+            size += len(part)
+    found = [_buffer_digits(x, depth, gram, first) for x in buffers]
+    spans: dict[bytes, list[tuple[int, int]]] = {}
+    for *_, own in found:
+        for key, a, b in own:
+            spans.setdefault(key, []).append((a, b))
+    own = [(key, a, b) for key, x in spans.items() for a, b in merged(x)]
+    return np.concatenate([x[0] for x in found]), [key for x in found for key in x[1]], np.concatenate([x[2] for x in found]), own
+
+
+def _buffer_digits(segments: list[tuple[bytes, int, bytes]], depth: int, gram: int, first: int) -> tuple[np.ndarray, list[bytes], np.ndarray, list[tuple[bytes, int, int]]]:
+    """The same of (id, place in the text, segment) that fit one buffer."""
+    owner, parts = [x[0] for x in segments], [x[2] for x in segments]
+    lengths = np.array([len(x) for x in parts], np.int64)
+    shift = (np.array([x[1] for x in segments], np.int64) - (np.cumsum(lengths) - lengths)).tolist()
     data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([len(x) for x in parts])
+    ends = np.cumsum(lengths)
     p, lo, hi, h = anchors(data, ends, depth, gram)
     text_no = np.searchsorted(ends, p, side="right")
     local = p + np.array(shift, np.int64)[text_no] if len(p) else p
@@ -133,10 +150,9 @@ def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int
     around = mixed(around + far.astype(np.uint64) * np.uint64(1024) + near.astype(np.uint64)) ^ mixed(text_no.astype(np.uint64))
     _, once, back, times = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
     twin = np.flatnonzero(times[back] > 1)
-    spans: dict[bytes, list[tuple[int, int]]] = {}
+    own = []
     for t, a, b in zip(text_no[twin].tolist(), lo[twin].tolist(), (hi[twin] + depth).tolist(), strict=True):
-        spans.setdefault(owner[t], []).append((a + shift[t], b + shift[t]))
-    own = [(key, a, b) for key, found in spans.items() for a, b in merged(found)]
+        own.append((owner[t], a + shift[t], b + shift[t]))
     once = np.sort(once)
     p, text_no, local, far, near = p[once], text_no[once], local[once], far[once], near[once]
     out = []

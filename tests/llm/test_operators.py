@@ -253,6 +253,25 @@ def test_suffix_dedup(spark, rows, hot):
     assert substring_dedup.remove_repeated(docs_of(spark, [])).count() == 0
 
 
+def test_anchors_of_texts_longer_than_their_position_bits(monkeypatch):
+    a, shared, b = (prose(n, k).encode() for n, k in ((9000, 11), (200, 12), (3000, 13)))
+    texts = [(b"a", a + shared), (b"b", b + shared + b[:50]), (b"c", b"")]
+    whole = substring_dedup.first_digits(texts)
+    monkeypatch.setattr(substring_dedup, "_SEGMENT", 3000)
+    monkeypatch.setattr(substring_dedup, "_POSITION", np.uint64((1 << 12) - 1))
+    digits, ids, places, own = substring_dedup.first_digits(texts)
+    of = dict(texts)
+
+    def windows(ids, places):
+        return Counter((i, s + k) for i, p in zip(ids, places.tolist(), strict=True) for s, _, part in substring_dedup.contexts(of[i], [p]) for k in range(len(part) - 399))
+
+    assert windows(ids, places) == windows(whole[1], whole[2]) == Counter((i, k) for i, t in texts for k in range(len(t) - 399))
+    assert own == whole[3] == []
+    n = Counter(digits.tolist())
+    again = {(i, k) for d, i, p in zip(digits.tolist(), ids, places.tolist(), strict=True) if n[d] > 1 for (_, k) in windows([i], np.array([p]))}
+    assert {(b"a", len(a)), (b"b", len(b)), (b"a", len(a) + len(shared) - 400)} <= again
+
+
 def test_chat(spark):
     data = [(1, 1, "assistant", "a###b</turn>\\"), (1, 0, "user", None), (2, 0, None, ""), (2, 1, "assistant", "x"), (2, 1, "assistant", "#"), (3, None, "assistant", "é😀</" + "#" * 9), (None, 0, "sys: \\x", "q")]
     df = spark.createDataFrame([(*r, "z") for r in data], "conv_id long, turn long, role string, text string, ids string")
