@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import ship, table, text_or_empty
+from .common import maybe_broadcast, ship, table, text_or_empty
 from .components import components
 from .gray_index import gray_rank, run_links
+from .substring_dedup import mixed
 
 SEED = 42
 MOST = 4
@@ -176,33 +177,112 @@ def shingle_hashes(text: str, size: int) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))}
 
 
-def confirmed_copies(docs: DataFrame, most: int = 6, size: int = 2, words: int = 5, similarity: float = 0.8, per_task: int = 500) -> DataFrame:
-    """(doc_id, keep_id): documents whose set of `words`-word shingles has a Jaccard similarity
-    of at least `similarity` with that of keep_id, the smallest doc_id of their component at
-    `most` differing bits of fingerprints over `size` words, which is never itself listed.
+#: Bands of min-hashes by which possible copies meet, and min-hashes in each: texts of a
+#: similarity of 0.8 share no band with a chance of (1 - 0.8 ** 4) ** 16 = 0.02 %.
+BANDS, BAND_ROWS = 16, 4
 
-    Fingerprints of shorter shingles in a wider ring of bits find looser copies, and the exact
-    check keeps other documents. A copy is missed if only other members resemble it.
-    Members are compared with one document, never with each other, and a keeper's text is
-    repeated once for each `per_task` members, so that large groups are dealt to many tasks.
-    Texts without words equal each other. Rows with a null id are left out."""
-    found = near_dedup(docs.filter(F.col("doc_id").isNotNull()), most=most, size=size).filter("doc_id > component_id").select("doc_id", F.col("component_id").alias("keep_id")).distinct()
-    sizes = found.groupBy("keep_id").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
-    members = table(found.join(sizes, "keep_id").select("doc_id", "keep_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    keepers = texts.join(sizes, texts["doc_id"] == sizes["keep_id"]).select("keep_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("keep_text"))
-    pairs = texts.join(members, "doc_id").join(keepers.hint("merge"), ["keep_id", "salt"]).select("doc_id", "keep_id", "text", "keep_text")
+
+def _shingle_array(text: str, words: int) -> np.ndarray:
+    found = shingle_hashes(text, words)
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One long for each band of min-hashes of a set."""
+    n = BANDS * BAND_ROWS
+    seeds = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    flip, factor = seeds[:n], seeds[n:] | np.uint64(1)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[i : i + 1024, None] ^ flip) * factor).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = mixed(key * factor[0] + mixed(row))
+    return key.view(np.int64)
+
+
+def buckets(docs: DataFrame, words: int) -> DataFrame:
+    """(bucket, doc_id) of the bands of each row's set of `words`-word shingles."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [bands(_shingle_array(t.as_py(), words)) for t in b.column(1)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, doc_id long")
+
+
+def _compared(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(bucket, doc_id, keep_id) of texts sorted by bucket, salt and id: each is held against
+    those of its bucket and salt that resemble none before them. keep_id is the first that
+    it resembles, or null if it is such a one itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, set()
+        at, kept = None, []
         for b in batches:
-            same = []
-            for t, k in zip(b.column(2), b.column(3), strict=True):
-                if (k := k.as_py()) != last:
-                    last, kept = k, shingle_hashes(k, words)
-                own = shingle_hashes(t.as_py(), words)
-                both = len(own & kept)
-                same.append(both >= similarity * (len(own) + len(kept) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "keep_id"]).filter(pa.array(same, pa.bool_()))
-
-    return pairs.mapInArrow(run, "doc_id long, keep_id long")
+            keeps = []
+            for bucket, salt, doc_id, text in zip(*b.columns, strict=True):
+                if (now := (bucket.as_py(), salt.as_py())) != at:
+                    at, kept = now, []
+                own, doc_id, keep = _shingle_array(text.as_py(), words), doc_id.as_py(), None
+                for other_id, other in kept:
+                    small, large = sorted((own, other), key=len)
+                    if other_id == doc_id or len(small) < similarity * len(large):
+                        continue
+                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
+                    if both >= similarity * (len(small) + len(large) - both):
+                        keep = other_id
+                        break
+                else:
+                    kept.append((doc_id, own))
+                keeps.append(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keeps, pa.int64())], ["bucket", "doc_id", "keep_id"])
+
+    return dealt.select("bucket", "salt", "doc_id", "text").mapInArrow(run, "bucket long, doc_id long, keep_id long")
+
+
+def confirmed_links(docs: DataFrame, most: int = MOST, size: int = 4, words: int = 5, similarity: float = 0.8, per_task: int = 500) -> DataFrame:
+    """(doc_id, keep_id): links between documents whose sets of `words`-word shingles have a
+    Jaccard similarity of at least `similarity`, computed exactly; see confirmed_copies()."""
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    linked = near_dedup(texts, most=most, size=size).select(F.xxhash64(F.lit("fingerprint"), "component_id").alias("bucket"), "doc_id")
+    placed = table(buckets(texts, words).unionByName(linked), "bands")
+    # buckets with the same members are compared once
+    mark = F.xxhash64("doc_id")
+    of = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+    met = table(of.filter("a < z").groupBy("n", "a", "z", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "met")
+    left = table(placed.join(maybe_broadcast(met, met.count()), "bucket", "left_semi").distinct(), "members")
+    links, before = None, None
+    while True:
+        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_task)
+        sizes = table(sizes, "large")
+        n_large, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+        if before is not None and n_large and largest > 0.9 * before:
+            per_task, n_large = largest, 0  # too few are alike to shrink further: whole buckets
+        before = largest
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(largest or 0)), F.ceil(F.col("n") / per_task)), F.lit(0)).cast("int")
+        salted = left.join(maybe_broadcast(sizes, sizes.count()), "bucket", "left").select("bucket", "doc_id", salt.alias("salt"))
+        dealt = texts.join(salted.hint("merge"), "doc_id").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "doc_id")
+        got = table(_compared(dealt, words, similarity), "compared")
+        found = got.filter("keep_id IS NOT NULL").select("doc_id", "keep_id")
+        links = found if links is None else links.unionByName(found)
+        if not n_large:
+            return links.distinct()
+        left = table(got.filter("keep_id IS NULL").join(maybe_broadcast(sizes.select("bucket"), n_large), "bucket", "left_semi").select("bucket", "doc_id").distinct(), "members")
+
+
+def confirmed_copies(docs: DataFrame, most: int = MOST, size: int = 4, words: int = 5, similarity: float = 0.8, per_task: int = 500) -> DataFrame:
+    """(doc_id, keep_id): documents of a group of near-copies with the smallest doc_id of
+    the group, which is never itself listed. Groups are joined by confirmed links only.
+
+    Documents meet in buckets: components at `most` differing bits of fingerprints over `size`
+    words, and bands of min-hashes of their `words`-word shingles. In a bucket each is held
+    exactly against those before it that are no copies. Buckets of more than `per_task`
+    documents are dealt to several tasks, whose documents that are no copies meet again
+    until one task holds them. Missed are pairs of which neither shares a bucket, and links
+    between two documents that are both copies of others. Texts without words equal each
+    other. Rows with a null id are left out."""
+    linked = components(confirmed_links(docs, most, size, words, similarity, per_task).select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b")))
+    return linked.filter("node > root").select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))

@@ -314,3 +314,21 @@ def test_confirmed_copies_keep_other_documents(spark):
     assert simhash.confirmed_copies(docs.filter("false")).count() == 0
     sets = [simhash.shingle_hashes(t or "", 5) for _, t in rows[:3]]
     assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8 > len(sets[0] & sets[2]) / len(sets[0] | sets[2])
+
+
+def test_copies_led_by_a_looser_relative_are_found(spark):
+    """8 is like 9 but neither is like 1, the smallest id of their family; and 9 variants of
+    one text are found over several tasks."""
+    from graphspan.llm import simhash
+
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(*at):
+        return " ".join("x" + str(i) if i in at else w for i, w in enumerate(base))
+
+    far = tuple(range(0, 200, 20))
+    rows = [(1, " ".join(base)), (8, changed(*far)), (9, changed(*far, 5, 105))]
+    rows += [(20 + k, prose(150, 40) + f" tail {k}") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(map(tuple, simhash.confirmed_copies(docs, most=10, size=2).collect())) == {(9, 8)} | {(20 + k, 20) for k in range(1, 9)}
+    assert set(map(tuple, simhash.confirmed_copies(docs, per_task=3).collect())) == {(9, 8)} | {(20 + k, 20) for k in range(1, 9)}
