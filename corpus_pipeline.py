@@ -27,13 +27,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. First by
-    fingerprints as op4 links them; then, of those left, copies whose five-word shingles
-    confirm a similarity of 0.8. Rows with a null id, which cannot be
-    told apart, all stay."""
-    found = simhash.near_dedup(docs)
-    left = table(_without(docs, found.filter("doc_id > component_id").select("doc_id")), "near")
-    return _without(left, simhash.confirmed_copies(left).select("doc_id"))
+    """One document of each group of near-duplicates: that with the smallest id. Groups
+    are joined by links whose five-word shingles confirm a similarity of 0.8; fingerprints as
+    op4 links them, and bands of min-hashes, only propose them. Rows with a null id, which
+    cannot be told apart, all stay."""
+    return _without(docs, simhash.confirmed_copies(docs).select("doc_id"))
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

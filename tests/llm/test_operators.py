@@ -332,3 +332,19 @@ def test_copies_led_by_a_looser_relative_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert set(map(tuple, simhash.confirmed_copies(docs, most=10, size=2).collect())) == {(9, 8)} | {(20 + k, 20) for k in range(1, 9)}
     assert set(map(tuple, simhash.confirmed_copies(docs, per_task=3).collect())) == {(9, 8)} | {(20 + k, 20) for k in range(1, 9)}
+
+
+def test_near_stage_keeps_what_only_fingerprints_link(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(300)]
+    for seed in range(5000):
+        at = set(random.Random(seed).sample(range(300), 9))
+        other = " ".join("x" if i in at else w for i, w in enumerate(base))
+        a, b = (simhash.shingle_hashes(t, 5) for t in (" ".join(base), other))
+        bits = simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(other)
+        if len(a & b) < 0.78 * len(a | b) and bits.bit_count() <= 4:
+            break
+    else:
+        pytest.fail("no such pair")
+    docs = docs_of(spark, [(1, " ".join(base)), (2, other), (3, other + " more")])
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {1, 2}
