@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from graphspan.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
 from graphspan.llm.common import maybe_broadcast, table
 
+#: Words of the shortest passage that may not be repeated: more than 50.
+PASSAGE = 51
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the classifier, trained on the labels, rejects."""
@@ -40,10 +43,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without bytes of strings that occur elsewhere too. Characters of which only a part
+    """Without strings of 400 bytes and passages of PASSAGE words, in however few bytes, that
+    occur elsewhere too. Characters of which only a part
     would stay go as a whole; documents of which nothing stays go."""
     names = docs.columns
-    cut = substring_dedup.remove_repeated(docs)
+    cut = substring_dedup.remove_repeated(docs, words=PASSAGE)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_clean(F.col("kept")))
     out = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumn("text", text)
     if "n_chars" in names:

@@ -73,6 +73,11 @@ def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
             known.remove(path)
 
 
+def tables_made(spark: SparkSession) -> list[str]:
+    """Tables of this application that are still there, oldest first."""
+    return list(_tables.get(spark.sparkContext.applicationId, []))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 

@@ -13,20 +13,25 @@ alone after each pass:
 3. Digits too frequent for one task are counted by window instead, with map-side sums.
 
 Texts that are equal as a whole take part once: all their bytes are repeated.
+
+Repeated passages of a number of words are found by the same passes over 8-byte codes in
+place of the words; only windows that start at a word's code count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import maybe_broadcast, ship, table, text_or_empty
+from .common import drop_tables, maybe_broadcast, ship, table, tables_made, text_or_empty
 from .exact_dedup import exact_dedup
 
 DEPTH = 400
@@ -216,6 +221,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: Bytes of a word's code.
+WORD = 8
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+_EDGES = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+
+
+def word_codes(text: bytes) -> bytes:
+    """XXH64 of each word, a run outside [\\x20\\x09-\\x0D], without ASCII punctuation at its
+    ends unless it is nothing else."""
+    h = [xxhash.xxh64_intdigest(w.strip(_EDGES) or w) for w in _WORDS.findall(text)]
+    return np.array(h, np.uint64).tobytes()
+
+
+def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of word codes as spans of the text, from the first word's start to the last
+    one's end; at the text's ends with the blanks there."""
+    if not spans:
+        return []
+    at = [m.span() for m in _WORDS.finditer(text)]
+    return [(at[a // WORD][0] if a else 0, at[b // WORD - 1][1] if b < len(at) * WORD else len(text)) for a, b in spans]
+
+
 _SPAN = "td binary, start long, end long"
 
 
@@ -223,7 +250,7 @@ def _span_batch(ids: list[bytes], a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["td", "start", "end"])
 
 
-def _spans_of_cold(shipped: DataFrame, depth: int) -> DataFrame:
+def _spans_of_cold(shipped: DataFrame, depth: int, step: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # digit, td, start, far, bytes
         size = 0
@@ -233,7 +260,9 @@ def _spans_of_cold(shipped: DataFrame, depth: int) -> DataFrame:
                 return _span_batch([], [], [])
             groups = np.cumsum([0] + [x[0] != y[0] for x, y in zip(part, part[1:], strict=False)])
             # a digit found once here has lost its twin nowhere: it was alone in step 1's hash
-            who, a, b = _spans(*repeated_windows(groups, np.array([x[3] for x in part]), [x[4] for x in part], depth), depth)
+            who, j = repeated_windows(groups, np.array([x[3] for x in part]), [x[4] for x in part], depth)
+            whole = (np.array([x[2] for x in part], np.int64)[who] + j) % step == 0
+            who, a, b = _spans(who[whole], j[whole], depth)
             return _span_batch([part[i][1] for i in who.tolist()], [part[i][2] + x for i, x in zip(who.tolist(), a.tolist(), strict=True)], [part[i][2] + x for i, x in zip(who.tolist(), b.tolist(), strict=True)])
 
         for batch in batches:
@@ -249,17 +278,17 @@ def _spans_of_cold(shipped: DataFrame, depth: int) -> DataFrame:
     return dealt.select("digit", "td", "start", "far", "part").mapInArrow(run, _SPAN)
 
 
-def _spans_of_hot(shipped: DataFrame, depth: int) -> DataFrame:
+def _spans_of_hot(shipped: DataFrame, depth: int, step: int = 1) -> DataFrame:
     """The same for digits with too many anchors for one task: windows are counted by
     their hash with map-side sums, and joined back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digit, td, start, far, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(part) - depth + 1
-                h = Hashes(np.frombuffer(part, np.uint8)).at(np.arange(n), depth)
-                h = mixed(h + mixed(np.uint64(digit & (1 << 64) - 1) + (far - np.arange(n)).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([td] * n, pa.binary()), pa.array(start + np.arange(n), pa.int64())], ["h", "td", "start"])
+                j = np.arange(-start % step, len(part) - depth + 1, step)
+                h = Hashes(np.frombuffer(part, np.uint8)).at(j, depth)
+                h = mixed(h + mixed(np.uint64(digit & (1 << 64) - 1) + (far - j).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([td] * len(j), pa.binary()), pa.array(start + j, pa.int64())], ["h", "td", "start"])
 
     windows = table(shipped.select("digit", "td", "start", "far", "part").mapInArrow(run, "h long, td binary, start long"), "windows")
     twice = table(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
@@ -276,29 +305,52 @@ def _in(column: Column, filt: np.ndarray, spark) -> Column:
     return might(F.xxhash64(column))
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT) -> tuple[DataFrame, DataFrame]:
-    """(docs with their text's digest td, cover). cover has for each td with repeated bytes
-    its merged spans (array of start and end) or, if several rows have that text, `whole`."""
+def _same(text: bytes) -> bytes:
+    return text
+
+
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT, words: int | None = None) -> DataFrame:
+    """cover: for each text's digest td with repeated bytes its spans (array of start and
+    end), those of `words` word codes (word_spans), or, if several rows have that text, `whole`."""
     spark = docs.sparkSession
     ship(spark)
     marked = docs.withColumn("td", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     copied = table(exact_dedup(docs).filter("group_size > 1").groupBy(F.substring("digest", 1, 16).alias("td")).agg(F.min("keep_id").alias("keep_id")), "copied")
     # of equal texts one row takes part: that of the kept id, and if ids repeat, any number
     # of them do no harm, since copied texts are decided as a whole
-    one = marked.join(maybe_broadcast(copied.withColumnRenamed("td", "ctd"), copied.count()), F.col("td") == F.col("ctd"), "left").filter(F.col("ctd").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("td", "text").filter(F.octet_length("text") >= depth)
+    one = marked.join(maybe_broadcast(copied.withColumnRenamed("td", "ctd"), copied.count()), F.col("td") == F.col("ctd"), "left").filter(F.col("ctd").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("td", "text")
+    before = len(tables_made(spark))
+    spans = _found_spans(one.filter(F.octet_length("text") >= depth), depth, hot_digit, _same, 1).withColumn("of_words", F.lit(False))
+    if words:
+        # tables of one search go before the next makes its own
+        spans = table(spans, "spans")
+        drop_tables(spark, tables_made(spark)[before:-1])
+        spans = spans.unionByName(_found_spans(one.filter(F.octet_length("text") >= 2 * words - 1), words * WORD, hot_digit, word_codes, WORD).withColumn("of_words", F.lit(True)))
+    span = F.struct("start", "end")
+    spans = spans.select("td", F.when(~F.col("of_words"), span).alias("span"), F.when(F.col("of_words"), span).alias("word_span"), F.lit(False).alias("whole"))
+    none = F.lit(None).cast("struct<start:bigint,end:bigint>")
+    whole = copied.select("td", none.alias("span"), none.alias("word_span"), F.lit(True).alias("whole"))
+    return table(spans.unionByName(whole).groupBy("td").agg(F.collect_list("span").alias("spans"), F.collect_list("word_span").alias("word_spans"), F.max("whole").alias("whole")), "cover")
+
+
+def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[bytes], bytes], step: int) -> DataFrame:
+    """(td, start, end) of the strings of `depth` bytes of coded texts (td, text) that start
+    twice or more at multiples of `step`."""
+    spark = one.sparkSession
 
     def pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def done() -> pa.RecordBatch:
             digits, ids, places, own = first_digits(held, depth)
+            own = [(td, a + -a % step, b - (b - depth) % step) for td, a, b in own if a + -a % step + depth <= b - (b - depth) % step]
             n = len(own)
             cols = [pa.array([*digits.view(np.int64).tolist(), *[None] * n], pa.int64()), pa.array([*ids, *[x[0] for x in own]], pa.binary()), pa.array([*places.tolist(), *[x[1] for x in own]], pa.int64()), pa.array([*[None] * len(ids), *[x[2] for x in own]], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, ["digit", "td", "place", "end"])
 
         for b in batches:
             for td, text in zip(b.column(0), b.column(1), strict=True):
-                held.append((td.as_py(), text.as_py().encode()))
+                held.append((td.as_py(), code(text.as_py().encode())))
                 size += len(held[-1][1])
                 if size > _BUFFER:
                     yield done()
@@ -355,7 +407,7 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIG
 
         for b in batches:
             for td, text, places in zip(*b.columns, strict=True):
-                td, text, places = td.as_py(), text.as_py().encode(), places.as_py()
+                td, text, places = td.as_py(), code(text.as_py().encode()), places.as_py()
                 for x, (start, far, part) in zip(places, contexts(text, [x["place"] for x in places], depth), strict=True):
                     out.append((x["digit"], td, start, far, part))
                     size += len(part)
@@ -368,20 +420,17 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIG
     shipped = one.filter(has_places).join(by_text.hint("merge"), "td").select("td", "text", "places").mapInArrow(pass_two, "digit long, td binary, start long, far long, part binary")
     if any_hot:
         shipped = table(shipped, "shipped")
-        spans = _spans_of_cold(shipped.join(F.broadcast(hot), "digit", "left_anti") if any_hot <= 100_000 else shipped.join(hot, "digit", "left_anti"), depth)
-        spans = spans.unionByName(_spans_of_hot(shipped.join(maybe_broadcast(hot, any_hot), "digit", "left_semi"), depth))
+        spans = _spans_of_cold(shipped.join(F.broadcast(hot), "digit", "left_anti") if any_hot <= 100_000 else shipped.join(hot, "digit", "left_anti"), depth, step)
+        spans = spans.unionByName(_spans_of_hot(shipped.join(maybe_broadcast(hot, any_hot), "digit", "left_semi"), depth, step))
     else:
-        spans = _spans_of_cold(shipped, depth)
-    spans = spans.unionByName(own).select("td", F.struct("start", "end").alias("span"), F.lit(False).alias("whole"))
-    whole = copied.select("td", F.lit(None).cast("struct<start:bigint,end:bigint>").alias("span"), F.lit(True).alias("whole"))
-    cover = table(spans.unionByName(whole).groupBy("td").agg(F.collect_list("span").alias("spans"), F.max("whole").alias("whole")), "cover")
-    return marked, cover
+        spans = _spans_of_cold(shipped, depth, step)
+    return spans.unionByName(own)
 
 
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeated(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT) -> DataFrame:
+def remove_repeated(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT, words: int | None = None) -> DataFrame:
     """All columns of docs (with doc_id and text, null: empty), and n_bytes, n_removed,
     n_spans (maximal removed runs) and kept (binary: the remaining bytes).
 
@@ -389,23 +438,30 @@ def remove_repeated(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DI
     the texts' UTF-8 bytes, in the same text too (overlaps count). Every occurrence goes, the
     first too; matches never cross texts and are judged on the input. Rows with a null or
     repeated doc_id are texts of their own, so repeated rows are copies. Shorter texts
-    stay as they are. Columns of docs named like the new ones are replaced."""
+    stay as they are. Columns of docs named like the new ones are replaced.
+
+    With `words`, passages of so many words that occur elsewhere go too, however short; their
+    blanks and the ASCII punctuation at words' ends may differ."""
     new = ("n_bytes", "n_removed", "n_spans", "kept")
-    names = [c for c in docs.columns if c not in (*new, "td", "spans", "whole")]
+    names = [c for c in docs.columns if c not in (*new, "td", "spans", "word_spans", "whole")]
     docs = docs.select(*[text_or_empty().alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
-    marked, cover = repeated_spans(docs.select("doc_id", "text"), depth, hot_digit)
+    cover = repeated_spans(docs.select("doc_id", "text"), depth, hot_digit, words)
     marked = docs.withColumn("td", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     spark = docs.sparkSession
     touched = _in(F.col("td"), bloom.member_filter(cover.select(F.xxhash64("td").alias("x")), "x", cover.count()), spark)
-    marked = marked.withColumn("__in", touched & (F.octet_length("text") >= depth))
+    marked = marked.withColumn("__in", touched & (F.octet_length("text") >= (min(depth, 2 * words - 1) if words else depth)))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, runs, kept = [], [], [], []
-            for text, spans, whole in zip(b.column("text"), b.column("spans"), b.column("whole"), strict=True):
+            for text, spans, by_word, whole in zip(*(b.column(c) for c in ("text", "spans", "word_spans", "whole")), strict=True):
                 text = text.as_py().encode()
-                gone = [(0, len(text))] if whole.as_py() else merged([(x["start"], x["end"]) for x in spans.as_py() or ()])
+                if whole.as_py():
+                    gone = [(0, len(text))] if len(text) >= depth or words and len(_WORDS.findall(text)) >= words else []
+                else:
+                    found = [[(x["start"], x["end"]) for x in s.as_py() or ()] for s in (spans, by_word)]
+                    gone = merged(found[0] + word_spans(text, found[1]))
                 at, parts = 0, []
                 for a, e in gone:
                     parts.append(text[at:a])
@@ -416,7 +472,7 @@ def remove_repeated(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DI
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(x, pa.int64()) for x in (n, removed, runs)], pa.array(kept, pa.binary())], [*names, *new])
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in names]) + ", " + _RESULT
-    changed = marked.filter("__in").join(cover.hint("merge"), "td", "left").select(*[f"`{c}`" for c in names], "spans", "whole").mapInArrow(cut, schema)
+    changed = marked.filter("__in").join(cover.hint("merge"), "td", "left").select(*[f"`{c}`" for c in names], "spans", "word_spans", "whole").mapInArrow(cut, schema)
     same = marked.filter("NOT __in").select(*[f"`{c}`" for c in names], F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return changed.unionByName(same)
 

@@ -348,3 +348,22 @@ def test_near_stage_keeps_what_only_fingerprints_link(spark):
         pytest.fail("no such pair")
     docs = docs_of(spark, [(1, " ".join(base)), (2, other), (3, other + " more")])
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_repeated_passages_of_short_words(spark, hot):
+    """51 words of some 150 bytes go from both texts, 50 words between the same blanks stay;
+    the query with its 400 bytes alone touches neither."""
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice("abcdefgh") + r.choice("ijklmn") for _ in range(n))
+    long, short, only = words(51), words(50), words(52)
+    texts = [(1, f"{words(70)}Q {long} Q{words(9)}"), (2, f"{words(30)}R ({long.replace(' ', '  ')}), R{words(60)}"), (3, f"{words(20)}S {short} S{words(80)}"), (4, f"{words(45)}T {short} T{words(7)}"), (5, only), (6, only.replace(" ", "\n")), (7, "é" * 450), (8, "x" * 460 + " " + "é" * 300)]
+    docs = docs_of(spark, texts)
+    kept = {i: bytes(k).decode() for i, k in substring_dedup.remove_repeated(docs, hot_digit=hot, words=51).select("doc_id", "kept").collect()}
+    of = dict(texts)
+    assert kept == {1: of[1].replace(long, ""), 2: of[2].replace(f"({long.replace(' ', '  ')}),", ""), 3: of[3], 4: of[4], 5: "", 6: "", 7: "", 8: " "}
+    if hot > 2:
+        corpus_pipeline = pytest.importorskip("corpus_pipeline")
+        staged = {r.doc_id: r.text for r in corpus_pipeline.substring_stage(spark, docs.drop("td", "digest", "kept"), "").collect()}
+        assert staged == {i: k for i, k in kept.items() if k}
+        assert {r.doc_id for r in substring_dedup.remove_repeated(docs).filter("n_removed > 0").collect()} == {7, 8}
