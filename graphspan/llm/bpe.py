@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import ship, text_or_empty
+from .common import free_name, ship, text_or_empty
 from .tokens import Encoder, decode_bytes, encoder, token_bytes
 
 _tables: dict[int, tuple[list[bytes], np.ndarray]] = {}
@@ -30,18 +31,19 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     ship(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name not in (out, starts)]
     names = [f.name for f in fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` array<int>"] + ([f"`{starts}` array<long>"] if starts else []))
+    source = free_name(df, "text")
+    schema = StructType([*fields, StructField(out, ArrayType(IntegerType())), *([StructField(starts, ArrayType(LongType()))] if starts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for b in batches:
-            found = [enc.encode_with_offsets(t) if starts else (enc.encode(t),) for t in b.column("__text").to_pylist()]
-            cols = [b.column(n) for n in names] + [pa.array([x[0].astype("i4") for x in found], pa.list_(pa.int32()))]
+            found = list(enc.encode_all(b.column(len(names)).to_pylist()))
+            cols = [b.column(i) for i in range(len(names))] + [pa.array([x.astype("i4") for x in found], pa.list_(pa.int32()))]
             if starts:
-                cols.append(pa.array([x[1] for x in found], pa.list_(pa.int64())))
+                cols.append(pa.array([enc.starts(x) for x in found], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, names + [out] + ([starts] if starts else []))
 
-    return df.select(*[f"`{n}`" for n in names], text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[f"`{n}`" for n in names], text_or_empty(text).alias(source)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -49,15 +51,16 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     ship(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name != out]
     names = [f.name for f in fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` binary"])
+    schema = StructType([*fields, StructField(out, BinaryType())])
+    at = free_name(df, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _of(encoder(ranks_path, pattern))
         for b in batches:
-            done = [None if x is None else decode_bytes(x, table) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(done, pa.binary())], [*names, out])
+            done = [None if x is None else decode_bytes(x, table) for x in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(done, pa.binary())], [*names, out])
 
-    return df.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return df.select(*[f"`{n}`" for n in names], F.col(f"`{ids}`").alias(at)).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -71,8 +74,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         table, shown = _of(enc), [str(i) for i in range(len(_of(enc)))]
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in b.column(1):
-                ids = enc.encode(text.as_py()).tolist()
+            for found in enc.encode_all(b.column(1).to_pylist()):
+                ids = found.tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decode_bytes(ids, table)).hexdigest())

@@ -40,12 +40,12 @@ def unescape(text: str) -> str:
     return _UNESCAPED.sub(r"\1", text)
 
 
-def assemble(role: str, content: str, enc, base: int, loss_role: str = "assistant") -> tuple[np.ndarray, np.ndarray]:
+def assemble(role_ids: np.ndarray, content_ids: np.ndarray, base: int, learned: bool) -> tuple[np.ndarray, np.ndarray]:
     """(ids, loss mask) of one turn."""
-    parts = [[base + TURN], enc.encode(escape(role, True)), [base + TEXT], enc.encode(escape(content)), [base + END]]
+    parts = [[base + TURN], role_ids, [base + TEXT], content_ids, [base + END]]
     ends = np.cumsum([len(p) for p in parts])
     mask = np.zeros(ends[-1] + 1, dtype=np.int8)
-    if role == loss_role:  # +1 where the content starts, -1 where it ends; the sums are the mask
+    if learned:  # +1 where the content starts, -1 where it ends; the sums are the mask
         mask[ends[2]] += 1
         mask[ends[3]] -= 1
     return np.concatenate([np.asarray(p, dtype="i4") for p in parts]), np.cumsum(mask[:-1], dtype=np.int8)
@@ -62,7 +62,9 @@ def format_turns(conversations: DataFrame, vocabulary: str, pattern: str, loss_r
         enc = encoder(vocabulary, pattern)
         base = len(token_bytes(enc.tokenizer))
         for b in batches:
-            made = [assemble(r, t, enc, base, loss_role) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            roles, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
+            parts = enc.encode_all(escape(r, True) for r in roles), enc.encode_all(map(escape, texts))
+            made = [assemble(x, y, base, r == loss_role) for r, x, y in zip(roles, *parts, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int8()))], ["conv_id", "turn", "role", "text", "ids", "loss_mask"])
 
     plain = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])

@@ -10,7 +10,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +103,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, wish: str, *others: str) -> str:
+    """A column name that begins with two underscores and clashes with no column of df (in
+    any case) or of `others`."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    name = f"__{wish}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

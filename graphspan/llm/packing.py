@@ -56,8 +56,8 @@ def pieces(n: int, capacity: int, cuts: int, slots: list[int]) -> Iterator[tuple
 
 
 class Harmonic:
-    """Bins of one worker. `place` returns the pieces that have got their place:
-    (document, start, length, sequence, offset)."""
+    """Bins of one worker. `place` returns the pieces that have got their place: (document,
+    ids, start, length, sequence, offset). An open bin holds its pieces' own ids only."""
 
     def __init__(self, first_id: int, capacity: int = CAPACITY, cuts: int = CUTS):
         self.next, self.capacity, self.cuts, self.slots = first_id, capacity, cuts, cut_lengths(capacity)
@@ -65,26 +65,30 @@ class Harmonic:
 
     def _close(self, items: list[tuple]) -> list[tuple]:
         at, out = 0, []
-        for doc, start, length in items:
-            out.append((doc, start, length, self.next, at))
+        for doc, ids, start, length in items:
+            out.append((doc, ids, start, length, self.next, at))
             at += length
         self.next += 1
         return out
 
-    def place(self, doc, n: int) -> list[tuple]:
+    def place(self, doc, ids: np.ndarray) -> list[tuple]:
         out, start = [], 0
-        for length, k in pieces(n, self.capacity, self.cuts, self.slots):
-            items = self.open.setdefault(k, [])
-            items.append((doc, start, length))
+        for length, k in pieces(len(ids), self.capacity, self.cuts, self.slots):
+            part = ids[start : start + length]
+            if k == 1:
+                out += self._close([(doc, part, start, length)])
+            else:
+                items = self.open.setdefault(k, [])
+                items.append((doc, part.copy(), start, length))
+                if len(items) == k:
+                    out += self._close(self.open.pop(k))
             start += length
-            if len(items) == k:
-                out += self._close(self.open.pop(k))
         return out
 
     def finish(self) -> list[tuple]:
         rest = [x for k in sorted(self.open) for x in self.open[k]]
         self.open = {}
-        left, out = sum(x[2] for x in rest), []
+        left, out = sum(x[3] for x in rest), []
         sizes = [self.capacity] * (left // self.capacity)
         left %= self.capacity
         sizes += [1 << b for b in reversed(range(left.bit_length())) if left >> b & 1]
@@ -92,12 +96,12 @@ class Harmonic:
         for size in sizes:
             items = []
             while size:
-                doc, start, length = rest.pop()
+                doc, ids, start, length = rest.pop()
                 take = min(size, length)
-                items.append((doc, start, take))
+                items.append((doc, ids[:take], start, take))
                 size -= take
                 if take < length:
-                    rest.append((doc, start + take, length - take))
+                    rest.append((doc, ids[take:], start + take, length - take))
             out += self._close(items)
         return out
 
@@ -119,10 +123,9 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
 
         def rows(placed: Iterable[tuple]) -> pa.RecordBatch:
             d, start, length, crc, total, seq, offset, ids = [], [], [], [], [], [], [], []
-            for (doc_id, tokens), s, n, q, o in placed:
-                part = tokens[s : s + n]
+            for (doc_id, n_tokens), part, s, n, q, o in placed:
                 d.append(doc_id), start.append(s), length.append(n), crc.append(zlib.crc32(part.tobytes()))
-                total.append(len(tokens)), seq.append(q), offset.append(o)
+                total.append(n_tokens), seq.append(q), offset.append(o)
                 if with_ids:
                     ids.append(part.astype("i4"))
             cols = [pa.array(x, pa.int64()) for x in (d, start, length, crc, total, seq, offset)]
@@ -131,9 +134,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
 
         for b in batches:
             placed: list[tuple] = []
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                tokens = np.concatenate([enc.encode(text.as_py()), end])
-                placed += bins.place((doc_id.as_py(), tokens), len(tokens))
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+                placed += bins.place((doc_id, len(ids) + 1), np.append(ids, end))
                 if len(placed) > 20_000:
                     yield rows(placed)
                     placed = []

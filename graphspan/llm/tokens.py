@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with the tokenizers library.
 
-A text is cut before every space that stands in front of a non-space character. With
-the byte-level pattern a match always begins there, so encoding the pieces one by one
-gives the ids of the whole text, and each distinct piece needs encoding only once: a
-bounded table keeps the ids of pieces already seen.
+Arrow batches are cut into the pattern's matches, which are encoded one by one, so each
+distinct match of a batch needs encoding only once: Arrow's dictionary encoding finds
+the distinct ones, and a bounded table keeps the ids of matches already seen. Cutting
+looks at the classes of characters below U+0250. Around others the library cuts itself:
+the text between two spaces that each stand in front of a non-space character, where a
+match always begins, is given to it whole.
 """
 
 from __future__ import annotations
@@ -11,19 +13,23 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces in one generation of a worker process's tables.
+#: Matches in one generation of a worker process's table.
 KEPT_PIECES = 200_000
-#: A piece is kept from its second time on, as far as a table of so many hashes tells.
+#: A match is kept from its second batch on, as far as a table of so many hashes tells.
 SEEN_HASHES = 1 << 21
-#: Pieces longer than this are encoded afresh.
+#: Longer matches are encoded afresh.
 KEPT_CHARS = 64
-
-_SPACE_RUN = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
+#: Bytes of text cut at once; longer texts are parted in front of words.
+CUT_BYTES = 2 << 20
+#: From this character on only the library tells classes.
+_FOREIGN = 0x250
+_LETTER, _NUMBER, _OTHER, _WHITE, _UNKNOWN = range(5)
+_PART = re.compile(rb" (?=[A-Za-z])")
 
 
 def byte_to_char() -> dict[int, str]:
@@ -69,72 +75,185 @@ def tokenizer_of_file(path: str):
     return out
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-class _Pieces(dict):
-    """Ids of pieces, each behind `prefix`. Two generations of at most `kept` pieces: a
-    full table becomes the old one, from which pieces in use are taken over. Pieces that
-    occur once, most of a large corpus's, take no place in it."""
+class _Kept(dict):
+    """Ids of matches. Two generations of at most `kept` matches: a full table becomes the
+    old one, from which matches in use are taken over. Matches that occur in one batch only,
+    most of a large corpus's, take no place in it."""
 
-    def __init__(self, ids_of: Callable[[str], bytes], prefix: str, kept: int):
+    def __init__(self, ids_of: Callable[[bytes], bytes], kept: int):
         super().__init__()
-        self.ids_of, self.prefix, self.kept, self.old = ids_of, prefix, kept, {}
+        self.ids_of, self.kept, self.old = ids_of, kept, {}
         self.seen = bytearray(SEEN_HASHES // 8)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+    def __missing__(self, match: bytes) -> bytes:
+        ids = self.old.get(match)
         if ids is None:
-            ids = self.ids_of(self.prefix + piece)
-            h = hash(piece) % SEEN_HASHES
+            ids = self.ids_of(match)
+            h = hash(match) % SEEN_HASHES
             bit = 1 << (h & 7)
             if not self.seen[h >> 3] & bit:
                 self.seen[h >> 3] |= bit
                 return ids
-        if len(piece) <= KEPT_CHARS:
+        if len(match) <= KEPT_CHARS:
             if len(self) >= self.kept:
                 self.old = dict(self)
                 self.clear()
                 self.seen = bytearray(SEEN_HASHES // 8)
-            self[piece] = ids
+            self[match] = ids
         return ids
 
 
-class Encoder:
-    """Texts to ids (numpy uint32), through bounded tables of pieces."""
+def character_classes() -> np.ndarray:
+    """Class of each character below U+0250 as the pattern knows them."""
+    import regex
+
+    kinds = [(regex.compile(p), k) for p, k in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _WHITE), (r"[^\s\p{L}\p{N}]", _OTHER))]
+    return np.array([next(k for p, k in kinds if p.match(chr(c))) for c in range(_FOREIGN)], np.uint8)
+
+
+def match_starts(data: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sorted bytes at which matches of the byte-level pattern begin in UTF-8 texts put one
+    behind the other (starts: the first byte of each that is not empty). Between two spaces in front
+    of known non-spaces, text that holds a character from U+0250 on is one match."""
+    wide = bool((data >= 0x80).any())
+    at = np.flatnonzero((data & 0xC0) != 0x80) if wide else None
+    lead = data[at] if wide else data
+    if wide:
+        cls = classes[np.minimum(lead, 0x7F)]
+        two = np.flatnonzero(lead >= 0x80)
+        # C2 80 to C9 8F are the characters from U+0080 to U+024F
+        code = ((lead[two].astype(np.int32) & 0x1F) << 6) | (data[at[two] + 1] & 0x3F)
+        known = (lead[two] < 0xE0) & (code < _FOREIGN)
+        cls[two] = np.where(known, classes[np.where(known, code, 0)], _UNKNOWN)
+    else:
+        cls = classes[lead]
+    n = len(cls)
+    first = np.zeros(n + 1, bool)  # of a text
+    first[np.searchsorted(at, starts) if wide else starts] = True
+    first[n] = True
+    white = cls == _WHITE
+    new = np.empty(n, bool)  # a run of one class begins
+    new[1:] = cls[1:] != cls[:-1]
+    new |= first[:n]
+    space = lead == 0x20
+    begins = new.copy()
+    # the last of several white characters is no part of the match before, unless the text ends
+    stands = np.zeros(n, bool)  # white in front of a non-white character of the same text
+    stands[:-1] = white[:-1] & ~white[1:] & ~first[1:n]
+    begins |= stands
+    glued = np.flatnonzero(stands & space) + 1  # a space belongs to the run behind it
+    begins[glued] = False
+    # 's 't 'm 'd 're 've 'll behind anything but a space
+    q = np.flatnonzero((lead == 0x27) & begins)
+    q = q[q + 1 < n]
+    q = q[~first[q + 1]]
+    if len(q):
+        one = lead[q + 1]
+        after = np.minimum(q + 2, n - 1)
+        two = np.where((q + 2 < n) & ~first[np.minimum(q + 2, n)], lead[after], 0)
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+        for chosen, length in ((q[short], 2), (q[long & ~short], 3)):
+            begins[chosen + 1] = False
+            rest = chosen + length
+            rest = rest[rest < n]
+            begins[rest[(cls[rest] == _LETTER) & ~first[rest]]] = True
+    if wide and (odd := np.flatnonzero(cls == _UNKNOWN)).size:
+        safe = first[:n].copy()
+        safe[:-1] |= stands[:-1] & space[:-1] & (cls[1:] != _UNKNOWN)
+        number = np.cumsum(safe)
+        foreign = np.zeros(int(number[-1]) + 1, bool)
+        foreign[number[odd]] = True
+        begins &= ~foreign[number] | safe
+    out = np.flatnonzero(begins)
+    return at[out] if wide else out
+
 
-    def __init__(self, tokenizer, pattern: str, kept: int = KEPT_PIECES):
-        import regex
+class Encoder:
+    """Texts to ids (numpy uint32), through a bounded table of matches."""
 
+    def __init__(self, tokenizer, kept: int = KEPT_PIECES):
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.matches = regex.compile(pattern).findall
         self.chars = byte_to_char()
-        self.spaced = _Pieces(self._ids, " ", kept)
-        self.plain = _Pieces(self._ids, "", kept)
-
-    def _ids(self, piece: str) -> bytes:
-        if piece and max(piece) >= "\u0250":  # beyond Latin letters only the library tells classes
-            return _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        parts = self.matches(piece)
-        if len(parts) > 1:
-            return b"".join(self.spaced[p[1:]] if p[0] == " " else self.plain[p] for p in parts)
-        shown = piece.encode().decode("latin-1").translate(self.chars)
-        return _packed([t.id for t in self.model.tokenize(shown)])
+        self.classes = character_classes()
+        self.packed = [struct.pack("<I", i) for i in range(max(tokenizer.get_vocab().values()) + 1)]
+        self.known = _Kept(self._ids, kept)
+        self.lengths: np.ndarray | None = None
+
+    def _ids(self, match: bytes) -> bytes:
+        if max(match) >= 0xC9 and max(text := match.decode()) >= chr(_FOREIGN):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = match[match[0] == 0x20 :]
+        shown = self.chars[0x20] * (match[0] == 0x20) + (plain.decode() if plain.isalnum() else plain.decode("latin-1").translate(self.chars))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+
+    def _cut(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and the number of ids of each."""
+        lengths = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(lengths)
+        buffer = b"".join(parts)
+        if not buffer:
+            return np.empty(0, "<u4"), np.zeros(len(parts), np.int64)
+        starts = match_starts(np.frombuffer(buffer, np.uint8), (ends - lengths)[lengths > 0], self.classes)
+        offsets = np.append(starts, len(buffer)).astype(np.int32)
+        matches = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]).dictionary_encode()
+        found = list(map(self.known.__getitem__, matches.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        which = matches.indices.to_numpy()
+        n = sizes[which]
+        behind = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (behind - n), n) + np.arange(int(behind[-1]))
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        upto = np.append(0, behind)[np.searchsorted(starts, ends)]
+        return ids, np.diff(upto, prepend=0)
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text. Null counts as empty; an empty text has no ids."""
+        held: list[bytes] = []
+        owners: list[int] = []  # parts of each text held
+        size = 0
+
+        def done() -> Iterator[np.ndarray]:
+            ids, n = self._cut(held)
+            ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(owners))]
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield ids[a:b]
+
+        for text in texts:
+            own = (text or "").encode()
+            if len(own) > CUT_BYTES:
+                yield from done() if held else ()
+                held, owners, size = [], [], 0
+                yield self._long(own)
+                continue
+            held.append(own)
+            owners.append(1)
+            size += len(own)
+            if size > CUT_BYTES:
+                yield from done()
+                held, owners, size = [], [], 0
+        if held:
+            yield from done()
+
+    def _long(self, text: bytes) -> np.ndarray:
+        """Ids of a text that is cut in front of words, part by part."""
+        out, a = [], 0
+        while a < len(text):
+            m = _PART.search(text, a + CUT_BYTES)
+            b = m.start() if m else len(text)
+            out.append(self._cut([text[a:b]])[0])
+            a = b
+        return np.concatenate(out)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Null counts as empty; an empty text has no ids."""
-        if not text:
-            return np.empty(0, dtype="<u4")
-        pieces = _CUT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
-        head = self.plain[pieces[0]] if pieces[0] else b""
-        return np.frombuffer(head + b"".join(map(self.spaced.__getitem__, pieces[1:])), dtype="<u4")
+        return next(self.encode_all([text]))
 
-    def encode_with_offsets(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and the byte in the UTF-8 text at which each id starts."""
-        ids = self.encode(text)
-        lengths = np.array([len(b) for b in token_bytes(self.tokenizer)], dtype=np.int64)[ids]
-        return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[: len(ids)]
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """The byte in the UTF-8 text at which each id starts."""
+        if self.lengths is None:
+            self.lengths = np.array([len(b) for b in token_bytes(self.tokenizer)], dtype=np.int64)
+        n = self.lengths[ids]
+        return np.cumsum(n) - n
 
 
 def token_bytes(tokenizer) -> list[bytes]:
@@ -174,7 +293,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     if key not in _encoders:
         _encoders.clear()
         made = tokenizer_of_file(path) if path.endswith(".json") else tokenizer_of_ranks(read_ranks(path), pattern)
-        _encoders[key] = Encoder(made, pattern)
+        _encoders[key] = Encoder(made)
     return _encoders[key]
 
 
