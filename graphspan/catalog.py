@@ -243,6 +243,24 @@ def top_features(spark, d):
     return attribution.top_features(_importance(spark, 8), occ).select("feature_id", "importance", "occurrence_count", "raw_signature_count")
 
 
+_PROVENANCE = {"radius": 1, "distance": 1, "nbits": 10}
+
+
+@register("archive_provenance", f"""SELECT feature_id, raw_signature, feature_kind, graph_id, root_node, target_node, array_to_string(source_node_ids, ',') AS nodes,
+    array_to_string([e.u || '-' || e.v FOR e IN source_edge_ids], ',') AS edges FROM ({oracle.provenance(SESSION_SQL, connector=1, **_PROVENANCE)})""")
+def archive_provenance(spark, d):
+    occ = attribution.occurrences(session_graphs(spark, d), connector=1, provenance=True, **_PROVENANCE)
+    edges = F.transform("source_edge_ids", lambda e: F.concat_ws("-", e["u"], e["v"]))
+    return occ.select(*attribution.OCCURRENCE, F.array_join("source_node_ids", ",").alias("nodes"), F.array_join(edges, ",").alias("edges"))
+
+
+@register("archive_subgraph_edges", f"""SELECT o.* EXCLUDE (source_node_ids, source_edge_ids, e), o.e.u AS u, o.e.v AS v, x.label FROM (SELECT *, unnest(source_edge_ids) AS e FROM ({oracle.provenance(SESSION_SQL, **_PROVENANCE)})) o
+    JOIN (WITH {SESSION_SQL} SELECT * FROM edges) x ON x.graph_id = o.graph_id AND x.u = o.e.u AND x.v = o.e.v""")
+def archive_subgraph_edges(spark, d):
+    g = session_graphs(spark, d)
+    return attribution.subgraph_edges(g, attribution.occurrences(g, provenance=True, **_PROVENANCE))
+
+
 _SCORE = f"""WITH f AS ({oracle.features(ORDER_SQL, **_NODE)}), s AS (SELECT graph_id, node_id, sum(value * {_IMPORTANCE_SQL}) AS score FROM f GROUP BY graph_id, node_id),
     n AS (SELECT graph_id, node_id, score / CASE WHEN max(score) OVER (PARTITION BY graph_id) > 0 THEN max(score) OVER (PARTITION BY graph_id) ELSE 1 END AS score FROM s)"""
 
@@ -263,6 +281,22 @@ def edge_importance(spark, d):
     return attribution.edge_importance(order_graphs(spark, d).edges, _scores(spark, d))
 
 
+@register("edge_feature_sums", f"""SELECT e.graph_id, e.u, e.v, f.feature_id, CAST(sum(f.value) AS BIGINT) AS value FROM (SELECT graph_id, u, v, unnest([u, v]) AS node_id FROM (WITH {SESSION_SQL} SELECT * FROM edges)) e
+    JOIN ({oracle.features(SESSION_SQL, **_NODE)}) f USING (graph_id, node_id) GROUP BY e.graph_id, e.u, e.v, f.feature_id""")
+def edge_feature_sums(spark, d):
+    g = session_graphs(spark, d)
+    return attribution.edge_features(g.edges, features.node_features(g, **_NODE))
+
+
+@register("importance_by_class_part", f"""{_SCORE} SELECT o_orderstatus, part, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(stddev_pop(score), 6) AS std, round(min(score), 6) AS least, round(max(score), 6) AS most
+    FROM (SELECT *, CASE WHEN node_id = 0 THEN 'order' WHEN node_id % 2 = 1 THEN 'part' ELSE 'supplier' END AS part FROM n) JOIN orders ON graph_id = o_orderkey GROUP BY o_orderstatus, part""")
+def importance_by_class_part(spark, d):
+    part = F.when(F.col("node_id") == 0, "order").when(F.col("node_id") % 2 == 1, "part").otherwise("supplier")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), "o_orderstatus")
+    found = analytics.by_class(_scores(spark, d).withColumn("part", part).join(o, "graph_id"), ["o_orderstatus", "part"], "score")
+    return found.select("o_orderstatus", "part", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "least", "most")])
+
+
 @register("importance_postprocess", """WITH r AS (SELECT l_suppkey AS feature_id, l_linenumber AS run, avg(l_discount) AS importance FROM lineitem GROUP BY 1, 2),
     s AS (SELECT feature_id, greatest(avg(importance) - stddev_pop(importance), 0) AS w FROM r GROUP BY feature_id),
     q AS (SELECT quantile_cont(w, 0.5) AS q, max(w) AS m FROM s)
@@ -295,13 +329,34 @@ def graph_components(spark, d):
     return analytics.component_stats(order_graphs(spark, d))
 
 
-@register("class_degrees", f"""{_BASE}, m AS (SELECT graph_id, max(degree) AS most FROM dg GROUP BY graph_id)
-    SELECT o_orderstatus, round(avg(most), 6) AS mean, median(most) AS median, round(stddev_pop(most), 6) AS std, CAST(min(most) AS BIGINT) AS least, CAST(max(most) AS BIGINT) AS most FROM m JOIN orders ON graph_id = o_orderkey GROUP BY o_orderstatus""")
+@register("class_degrees", f"""{_BASE}, m AS (SELECT graph_id, min(degree) AS least, max(degree) AS most FROM dg GROUP BY graph_id), k AS (SELECT graph_id, 'least' AS kind, least AS x FROM m UNION ALL SELECT graph_id, 'most', most FROM m)
+    SELECT o_orderstatus, kind, round(avg(x), 6) AS mean, median(x) AS median, round(stddev_pop(x), 6) AS std, CAST(min(x) AS BIGINT) AS least, CAST(max(x) AS BIGINT) AS most FROM k JOIN orders ON graph_id = o_orderkey GROUP BY o_orderstatus, kind""")
 def class_degrees(spark, d):
     g = order_graphs(spark, d).together()
-    deg = structure.degrees(g).groupBy("graph_id").agg(F.max("degree").alias("max_degree"))
+    deg = structure.degrees(g).groupBy("graph_id").agg(F.min("degree").alias("least"), F.max("degree").alias("most"))
+    both = deg.select("graph_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in ("least", "most")])).alias("k")).select("graph_id", "k.*")
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), "o_orderstatus")
-    return analytics.by_class(deg.join(o, "graph_id"), ["o_orderstatus"], "max_degree").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return analytics.by_class(both.join(o, "graph_id"), ["o_orderstatus", "kind"], "x").withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@register("ranking_quality", """WITH s AS (SELECT l_discount * 100 + l_tax AS s, CAST(l_returnflag = 'R' AS BIGINT) AS y FROM lineitem), c AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY s),
+    r AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS above, coalesce(sum(neg) OVER w, 0) AS wrong FROM c WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, round(sum(neg * (above + pos / 2.0)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)), 6) AS roc_auc, round(sum(pos * (above + pos) / CAST(above + pos + wrong + neg AS DOUBLE)) / sum(pos), 6) AS average_precision FROM r""")
+def ranking_quality(spark, d):
+    rows = read(spark, d, "lineitem").select((F.col("l_discount") * 100 + F.col("l_tax")).alias("score"), (F.col("l_returnflag") == "R").cast("long").alias("label"))
+    found = analytics.ranking_quality(rows, "score", "label")
+    return found.select(F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), *[F.round(c, 6).alias(c) for c in ("roc_auc", "average_precision")])
+
+
+_EMB_FEATURES = oracle.features(EMBEDDING_SQL, 1, 2, per_graph=True)
+
+
+@register("kernel_profiles", f"""WITH f AS ({_EMB_FEATURES}), n AS (SELECT graph_id, sqrt(sum(value * value)) AS norm FROM f GROUP BY graph_id), g AS (SELECT DISTINCT graph_id FROM f),
+    k AS (SELECT a.graph_id AS g1, b.graph_id AS g2, sum(a.value / na.norm * (b.value / nb.norm)) AS cosine FROM f a JOIN f b ON a.feature_id = b.feature_id JOIN n na ON na.graph_id = a.graph_id JOIN n nb ON nb.graph_id = b.graph_id GROUP BY ALL)
+    SELECT a.graph_id, round(median(coalesce(k.cosine, 0)), 6) AS value FROM g a CROSS JOIN g b LEFT JOIN k ON k.g1 = a.graph_id AND k.g2 = b.graph_id GROUP BY a.graph_id""")
+def kernel_profiles(spark, d):
+    kernel = vectors.cosine(features.graph_features(embedding_graphs(spark, d), radius=1, distance=2))
+    return analytics.kernel_profile(kernel).withColumn("value", F.round("value", 6))
 
 
 _SPLIT = sql.code("'split:5:' || o_orderkey")
@@ -336,11 +391,11 @@ def reduced_graph_vectors(spark, d):
     return GraphEncoder(distance=1, nbits=6, node_attribute_key="attr", attribute_dim=4, attribute_alphabet_size=5).fit_transform(embedding_graphs(spark, d))
 
 
-@register("stream_batches", f"""WITH f AS ({oracle.features(ORDER_SQL, 1, 1, nbits=8)}), b AS (SELECT o_orderkey AS graph_id, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS BIGINT) AS batch_id FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 10))
+@register("stream_batches", f"""WITH f AS ({oracle.features(ORDER_SQL, 1, 1, nbits=8)}), b AS (SELECT o_orderkey AS graph_id, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS BIGINT) AS batch_id FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 10))
     SELECT f.*, batch_id FROM f JOIN b USING (graph_id)""")
 def stream_batches(spark, d):
     index = read(spark, d, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_orderkey").alias("seq"))
-    return NodeEncoder(r=1, d=1, nbits=8).stream_from(order_graphs(spark, d), index, "seq", batch_size=64, limit=500, start_after_instance=10)
+    return NodeEncoder(r=1, d=1, nbits=8).stream_from(readers.Loaded(order_graphs(spark, d), index), batch_size=64, start_after_instance=10)
 
 
 #: Fitted or numeric: tested against NumPy instead of SQL.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import cut
 from ..sources.tables import Graphs
+from .selection import running_sums
 from .structure import degrees
 
 
@@ -52,3 +53,50 @@ def by_class(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, exact median, population deviation, least and largest of a column by class."""
     v = F.col(value)
     return values.groupBy(*keys).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def kernel_profile(kernel: DataFrame) -> DataFrame:
+    """(graph_id, value): the median of each graph's row of a symmetric kernel table (g1, g2,
+    cosine) with g1 < g2; a graph's kernel with itself is 1. Pairs without a row count as 0."""
+    ids = kernel.select(F.explode(F.array("g1", "g2")).alias("graph_id"), "cosine")
+    own = ids.groupBy("graph_id").agg(F.collect_list("cosine").alias("k"))
+    n = F.broadcast(own.agg(F.count(F.lit(1)).alias("n")))
+    row = F.array_sort(F.concat("k", F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), (F.col("n") - 1 - F.size("k")).cast("int"))))
+    half = F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")
+    return own.join(n).withColumn("row", row).select("graph_id", ((F.get("row", half[0]) + F.get("row", half[1])) / 2).alias("value"))
+
+
+def profiles(rows: DataFrame, at: str, value: str) -> DataFrame:
+    """(at, mean, std): mean and population deviation over repeats at each place."""
+    return rows.groupBy(at).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def ranking_quality(scores: DataFrame, score: str, label: str) -> DataFrame:
+    """One row (n_pos, n_neg, roc_auc, average_precision) of scores against a 0/1 label; tied
+    scores stand together, and rows with a null are left out. Scores are counted first and
+    summed by ranges, so no task sees all of them. Null with one class only."""
+    met = scores.select(F.col(score).cast("double").alias("s"), F.col(label).cast("long").alias("y")).dropna()
+    counts = met.groupBy((-F.col("s")).alias("order")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    placed = running_sums(counts, "order", ["pos", "neg"])
+    pos, neg, above, false_above = (F.col(c).cast("double") for c in ("pos", "neg", "before_pos", "before_neg"))
+    # negatives below each positive, and half of those at its score; precision at each score
+    placed = placed.select("pos", "neg", (neg * (above + pos / 2)).alias("won"), (pos * (above + pos) / (above + pos + false_above + neg)).alias("hit"))
+    n = placed.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"), F.sum("hit").alias("hit"))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return n.select("n_pos", "n_neg", F.when(both, F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"), F.when(both, F.col("hit") / F.col("n_pos")).alias("average_precision"))
+
+
+def throughput(progress: list) -> dict:
+    """Of a streaming query's recentProgress: graphs, batches, seconds and rates."""
+    rows = [p["numInputRows"] for p in progress if p["numInputRows"]]
+    seconds = sum(p["batchDuration"] for p in progress) / 1000
+    total = sum(rows)
+    return {
+        "graphs_streamed": total,
+        "batches": len(rows),
+        "elapsed_sec": seconds,
+        "graphs_per_sec": total / seconds if seconds else float("nan"),
+        "ms_per_graph": 1000 * seconds / total if total else float("nan"),
+        "mean_batch_rows": total / len(rows) if rows else float("nan"),
+        "max_batch_rows": max(rows, default=float("nan")),
+    }

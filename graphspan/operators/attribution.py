@@ -2,41 +2,138 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import feature_id
+from ..plans.storage import cut
 from ..sources.tables import Graphs
 from .features import edge_signatures, paired_signatures
-from .structure import distances, rooted_codes
+from .structure import ball, distances, induced_edges, path_edges, path_nodes, rooted_codes
 
 
-def occurrences(g: Graphs, radius: int = 1, distance: int = 3, connector: int = 0, nbits: int = 10, degree_threshold: int | None = None, use_edges: bool = True) -> DataFrame:
+#: Columns of an occurrence, before its provenance.
+OCCURRENCE = ("feature_id", "raw_signature", "feature_kind", "graph_id", "root_node", "target_node")
+
+
+def occurrences(g: Graphs, radius: int = 1, distance: int = 3, connector: int = 0, nbits: int = 10, degree_threshold: int | None = None, use_edges: bool = True, provenance: bool = False) -> DataFrame:
     """Every occurrence of every feature, before counting: feature_id, raw_signature,
-    feature_kind, graph_id, root_node, target_node."""
+    feature_kind, graph_id, root_node, target_node; with provenance also source_node_ids
+    (sorted array) and source_edge_ids (sorted array of u, v): where in the graph it lies."""
     g = g.together()
     cutoff = max(radius, connector)
-    dist_all = distances(g, max(distance, cutoff))
+    # all that an occurrence covers lies within this many hops of its root
+    reach = distance + cutoff if provenance else max(distance, cutoff)
+    dist_all = distances(g, reach)
+    if provenance or connector:
+        dist_all = cut(dist_all)
     dist = dist_all.filter(F.col("d") <= distance)
-    fid = feature_id(F.col("raw"), nbits).alias("feature_id")
-    row = [fid, F.col("raw").alias("raw_signature")]
+    near = dist_all.filter(F.col("d") <= max(distance, cutoff))
+    row = [feature_id(F.col("raw"), nbits).alias("feature_id"), F.col("raw").alias("raw_signature")]
     ends = ["graph_id", F.col("node_id").alias("root_node"), F.col("target").alias("target_node")]
-    out = paired_signatures(dist, rooted_codes(g, dist_all, cutoff, degree_threshold), connector).select(*row, F.lit("paired_rooted_subgraph").alias("feature_kind"), *ends)
-    if use_edges:
-        out = out.unionByName(edge_signatures(g, dist).select(*row, F.lit("edge_triplet").alias("feature_kind"), *ends))
+    paired = paired_signatures(dist, rooted_codes(g, near, cutoff, degree_threshold), connector)
+    triplets = edge_signatures(g, dist) if use_edges else None
+    kinds = (F.lit("paired_rooted_subgraph").alias("feature_kind"), F.lit("edge_triplet").alias("feature_kind"))
+    if not provenance:
+        out = paired.select(*row, kinds[0], *ends)
+        return out if triplets is None else out.unionByName(triplets.select(*row, kinds[1], *ends))
+    paths = path_unions(g, dist) if connector or use_edges else None
+    where = ["source_node_ids", "source_edge_ids"]
+    out = paired_provenance(g, dist_all, paired, paths, cutoff, connector, reach).select(*row, kinds[0], *ends, *where)
+    if triplets is not None:
+        met = triplets.join(paths, ["graph_id", "node_id", "target"])
+        edge = F.struct(F.least("target", "other").alias("u"), F.greatest("target", "other").alias("v"))
+        nodes = F.array_sort(F.array_union("path_nodes", F.array("target", "other")))
+        edges = F.array_sort(F.array_union("path_edges", F.array(edge)))
+        out = out.unionByName(met.select(*row, kinds[1], *ends, nodes.alias(where[0]), edges.alias(where[1])))
     return out
 
 
-def edge_provenance(g: Graphs, distance: int) -> DataFrame:
-    """(graph_id, root_node, target_node, other, raw_signature, source_node_ids) of the edge
-    triplets: nodes of all shortest paths from root to target, and the edge's ends."""
-    from .structure import path_nodes
+def path_unions(g: Graphs, dist: DataFrame) -> DataFrame:
+    """(graph_id, node_id, target, path_nodes, path_edges): sorted arrays of the nodes and the
+    edges on any shortest path between two nodes."""
+    key = ["graph_id", F.col("root").alias("node_id"), "target"]
+    nodes = path_nodes(dist).groupBy(*key).agg(F.array_sort(F.collect_list("node")).alias("path_nodes"))
+    edges = path_edges(g, dist).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("u", "v"))).alias("path_edges"))
+    none = F.array().cast("array<struct<u:bigint,v:bigint>>")
+    return nodes.join(edges, ["graph_id", "node_id", "target"], "left").withColumn("path_edges", F.coalesce("path_edges", none))
+
+
+def balls(dist: DataFrame, most: int) -> DataFrame:
+    """(graph_id, node, balls): for each radius from 0 to `most` the array of nodes within it."""
+    shell = F.array_sort(F.collect_list(F.struct("d", F.col("node").alias("n"))))
+    near = dist.filter(F.col("d") <= most).groupBy("graph_id", F.col("root").alias("node")).agg(shell.alias("s"))
+
+    def within(r: int) -> Column:
+        return F.transform(F.filter("s", lambda x: x["d"] <= r), lambda x: x["n"])
+
+    return near.select("graph_id", "node", F.array(*[within(r) for r in range(most + 1)]).alias("balls"))
+
+
+def local_edges(g: Graphs, dist: DataFrame, reach: int) -> DataFrame:
+    """(graph_id, node_id, local_edges): the edges among the nodes within `reach` of a node."""
+    inside = induced_edges(g, ball(dist, reach)).groupBy("graph_id", F.col("center").alias("node_id"))
+    return inside.agg(F.collect_list(F.struct("u", "v")).alias("local_edges"))
+
+
+def _inside(nodes: Column) -> Column:
+    """Of the row's local_edges those with both ends among nodes."""
+    return F.filter(F.coalesce("local_edges", F.array().cast("array<struct<u:bigint,v:bigint>>")), lambda e: F.array_contains(nodes, e["u"]) & F.array_contains(nodes, e["v"]))
 
-    g = g.together()
-    dist = distances(g, distance)
-    paths = path_nodes(dist).groupBy("graph_id", "root", "target").agg(F.collect_set("node").alias("nodes"))
-    e = edge_signatures(g, dist).withColumnRenamed("node_id", "root")
-    return e.join(paths, ["graph_id", "root", "target"]).select("graph_id", F.col("root").alias("root_node"), F.col("target").alias("target_node"), "other", F.col("raw").alias("raw_signature"), F.array_sort(F.array_union("nodes", F.array("target", "other"))).alias("source_node_ids"))
+
+def connector_provenance(dist: DataFrame, connect: int) -> DataFrame:
+    """(graph_id, node_id, target, connect, connector_nodes): nodes within connect - 1 hops
+    of any node on a shortest path between two nodes."""
+    around = dist.filter(F.col("d") <= connect - 1).select("graph_id", F.col("root").alias("node"), F.col("node").alias("member"))
+    met = path_nodes(dist).select("graph_id", "root", "target", "node").join(around, ["graph_id", "node"])
+    return met.groupBy("graph_id", F.col("root").alias("node_id"), "target").agg(F.collect_set("member").alias("connector_nodes")).withColumn("connect", F.lit(connect))
+
+
+def paired_provenance(g: Graphs, dist_all: DataFrame, paired: DataFrame, paths: DataFrame | None, cutoff: int, connector: int, reach: int) -> DataFrame:
+    """paired signatures with source_node_ids and source_edge_ids: both ends' balls and the
+    edges inside them; with a connector, also its nodes, their edges and the paths'."""
+    held = balls(dist_all, cutoff)
+    a = held.select("graph_id", F.col("node").alias("node_id"), F.col("balls").alias("ball_a"))
+    b = held.select("graph_id", F.col("node").alias("target"), F.col("balls").alias("ball_b"))
+    met = paired.join(a, ["graph_id", "node_id"]).join(b, ["graph_id", "target"]).join(local_edges(g, dist_all, reach), ["graph_id", "node_id"], "left")
+    nodes = F.array_union(F.get("ball_a", F.col("i")), F.get("ball_b", F.col("j")))
+    met = met.withColumn("nodes", nodes).withColumn("edges", _inside(F.col("nodes")))
+    if connector:
+        near = dist_all.filter(F.col("d") <= reach - cutoff)
+        made = [connector_provenance(near, k) for k in range(1, connector + 1)]
+        conn = made[0]
+        for m in made[1:]:
+            conn = conn.unionByName(m)
+        conn = conn.join(paths.select("graph_id", "node_id", "target", "path_edges"), ["graph_id", "node_id", "target"])
+        met = met.join(conn, ["graph_id", "node_id", "target", "connect"], "left")
+        linked = F.col("connector_nodes").isNotNull()
+        edges = F.when(linked, F.array_union(F.array_union("edges", _inside(F.col("connector_nodes"))), F.col("path_edges"))).otherwise(F.col("edges"))
+        met = met.withColumn("edges", edges).withColumn("nodes", F.when(linked, F.array_union("nodes", "connector_nodes")).otherwise(F.col("nodes")))
+    return met.withColumn("source_node_ids", F.array_sort("nodes")).withColumn("source_edge_ids", F.array_sort("edges"))
+
+
+def subgraph_nodes(g: Graphs, found: DataFrame) -> DataFrame:
+    """The nodes of occurrences with provenance: the occurrence's columns, original_node_id
+    and label (and whatever else the nodes carry)."""
+    rows = found.select(*OCCURRENCE, F.explode("source_node_ids").alias("original_node_id"))
+    return rows.join(g.nodes.withColumnRenamed("node_id", "original_node_id"), ["graph_id", "original_node_id"])
+
+
+def subgraph_edges(g: Graphs, found: DataFrame) -> DataFrame:
+    """The edges of occurrences with provenance: the occurrence's columns, the original u, v and label."""
+    rows = found.select(*OCCURRENCE, F.explode("source_edge_ids").alias("e")).select(*OCCURRENCE, "e.u", "e.v")
+    return rows.join(g.edges, ["graph_id", "u", "v"])
+
+
+def subgraphs(g: Graphs, found: DataFrame) -> DataFrame:
+    """The occurrences with their nodes (original_node_id, label) and edges (u, v, label) nested."""
+    key = [*OCCURRENCE, F.col("source_node_ids").alias("ids"), F.col("source_edge_ids").alias("eids")]
+    rows = found.select(*key)
+    names = [*OCCURRENCE, "ids", "eids"]
+    n = rows.withColumn("node_id", F.explode("ids")).join(g.nodes.select("graph_id", "node_id", "label"), ["graph_id", "node_id"]).groupBy(*names).agg(F.array_sort(F.collect_set(F.struct(F.col("node_id").alias("original_node_id"), "label"))).alias("nodes"))
+    e = rows.withColumn("e", F.explode("eids")).select(*names, "e.u", "e.v").join(g.edges.select("graph_id", "u", "v", "label"), ["graph_id", "u", "v"]).groupBy(*names).agg(F.array_sort(F.collect_set(F.struct("u", "v", "label"))).alias("edges"))
+    none = F.array().cast("array<struct<u:bigint,v:bigint,label:string>>")
+    return n.join(e, names, "left").select(*OCCURRENCE, "nodes", F.coalesce("edges", none).alias("edges"))
 
 
 def archive_summary(found: DataFrame) -> DataFrame:
@@ -50,8 +147,8 @@ def top_features(importance: DataFrame, found: DataFrame, top_k: int = 10, min_i
     shift: columns that stand before the features in the importance table."""
     imp = importance.select((F.col("feature_id") - shift).alias("feature_id"), "importance")
     best = imp.join(archive_summary(found), "feature_id").filter((F.col("importance") > 0) & (F.col("importance") >= min_importance)).orderBy(F.col("importance").desc(), "feature_id").limit(top_k)
-    first = found.join(F.broadcast(best.select("feature_id")), "feature_id").groupBy("feature_id").agg(F.min(F.struct("graph_id", "root_node", "target_node", "feature_kind", "raw_signature")).alias("o"))
-    return best.join(first, "feature_id").select("feature_id", "importance", "occurrence_count", "raw_signature_count", F.col("o.graph_id").alias("graph_id"), F.col("o.root_node").alias("root_node"), F.col("o.target_node").alias("target_node"))
+    first = found.join(F.broadcast(best.select("feature_id")), "feature_id").groupBy("feature_id").agg(F.min(F.struct("graph_id", "root_node", "target_node", "feature_kind", "raw_signature", *[c for c in ("source_node_ids", "source_edge_ids") if c in found.columns])).alias("o"))
+    return best.join(first, "feature_id").select("feature_id", "importance", "occurrence_count", "raw_signature_count", "o.*")
 
 
 def node_importance(features: DataFrame, importance: DataFrame, normalize: bool = True) -> DataFrame:
@@ -70,6 +167,13 @@ def edge_importance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, ["graph_id", "u"]).join(b, ["graph_id", "v"]).select("graph_id", "u", "v", (F.col("su") * F.col("sv")).alias("score"))
 
 
+def edge_features(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """(graph_id, u, v, feature_id, value): the sum of both ends' features."""
+    at = [edges.select("graph_id", "u", "v", F.col(end).alias("node_id")) for end in ("u", "v")]
+    met = at[0].unionByName(at[1]).join(features.select("graph_id", "node_id", "feature_id", "value"), ["graph_id", "node_id"])
+    return met.groupBy("graph_id", "u", "v", "feature_id").agg(F.sum("value").alias("value"))
+
+
 def postprocess(runs: DataFrame, quantile: float = 0.5) -> DataFrame:
     """(feature_id, importance) of (run, feature_id, importance): mean less deviation, not
     below zero, zero below the quantile, by the maximum."""

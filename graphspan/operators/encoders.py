@@ -7,15 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
+from ..sources import readers
 from ..sources.tables import Graphs
 from . import selection, vectors
 from .features import graph_features, node_features
 
+#: Estimators inside an encoder.
+PARTS = ("embedder", "clustering_predictor", "classifier")
+#: Trees of the default classifier.
+FOREST_TREES = 300
+
 
 def gram(attrs: DataFrame, column: str = "attr") -> np.ndarray:
     """Sums of outer products of an array column: one matrix for each task, added up on the
@@ -38,10 +47,15 @@ def gram(attrs: DataFrame, column: str = "attr") -> np.ndarray:
 
 class _Encoder:
     def __init__(self, radius: int = 1, distance: int = 3, connector: int = 0, nbits: int = 10, degree_threshold: int | None = None, dense: bool = True, parallel: bool = True, weight_key: str | None = None, node_attribute_key: str | None = None,
-                 edge_attribute_key: str | None = None, attribute_dim: int | None = None, attribute_alphabet_size: int | None = None, use_node_kernel: bool = False, sigma: float | None = None, use_edges_as_features: bool = True, r: int | None = None, d: int | None = None, c: int | None = None, seed: int = 0):
+                 edge_attribute_key: str | None = None, attribute_dim: int | None = None, attribute_alphabet_size: int | None = None, use_node_kernel: bool = False, sigma: float | None = None, use_edges_as_features: bool = True, r: int | None = None, d: int | None = None, c: int | None = None, seed: int = 0,
+                 embedder: Estimator | None = None, clustering_predictor: Estimator | None = None, classifier: Estimator | None = None):
         """r, d and c are short names of radius, distance and connector. dense, parallel and
         edge_attribute_key are accepted and change nothing: rows are long form, Spark deals
-        the work, and edge attributes are not used."""
+        the work, and edge attributes are not used.
+
+        embedder, clustering_predictor and classifier are Spark ML estimators used in place of
+        the own reduction, of k-means and of a forest of FOREST_TREES trees (Spark has no
+        extremely randomised ones). Their input, output and label columns are set here."""
         for name, short, default in (("radius", r, 1), ("distance", d, 3), ("connector", c, 0)):
             full = {"radius": radius, "distance": distance, "connector": connector}[name]
             if short is not None and full not in (default, short):
@@ -51,24 +65,45 @@ class _Encoder:
         self.weight_key, self.node_attribute_key, self.edge_attribute_key = weight_key, node_attribute_key, edge_attribute_key
         self.attribute_dim, self.attribute_alphabet_size, self.use_node_kernel = attribute_dim, attribute_alphabet_size, use_node_kernel
         self.sigma, self.use_edges_as_features, self.seed = sigma, use_edges_as_features, seed
+        self.embedder = embedder
+        self.clustering_predictor = clustering_predictor or (KMeans(k=attribute_alphabet_size, seed=seed) if attribute_alphabet_size else None)
+        self.classifier = classifier or (RandomForestClassifier(numTrees=FOREST_TREES, seed=seed) if attribute_alphabet_size else None)
+        self._own = {"embedder": embedder, "clustering_predictor": clustering_predictor, "classifier": classifier}
         self.components_: np.ndarray | None = None
-        self.clusters_ = None
+        self.reduction_ = self.classifier_ = None
+        self.loaded_balance_candidate_size_: int | None = None
+        self.loaded_label_counts_: dict | None = None
+        self.loaded_class_weight_: dict | None = None
 
     def get_params(self, deep: bool = True) -> dict:
-        return {p: getattr(self, p) for p in inspect.signature(_Encoder.__init__).parameters if p not in ("self", "r", "d", "c")}
+        """Parameters; with `deep` also those of the estimators inside, as embedder__name."""
+        names = [p for p in inspect.signature(_Encoder.__init__).parameters if p not in ("self", "r", "d", "c", *PARTS)]
+        out = {p: getattr(self, p) for p in names}
+        for part in PARTS if deep else ():
+            inside = getattr(self, part)
+            out |= {} if inside is None else {f"{part}__{p.name}": v for p, v in inside.extractParamMap().items()}
+        return out
 
     def set_params(self, **params):
-        """Changed parameters drop what was fitted."""
+        """Changed parameters drop what was fitted, and make new estimators but for those given
+        to the encoder. Names like classifier__numTrees go to the estimator inside."""
         long = {"r": "radius", "d": "distance", "c": "connector"}
-        new = self.get_params() | {long.get(k, k): v for k, v in params.items()}
-        self.__init__(**new)
+        nested = {k: v for k, v in params.items() if k.split("__")[0] in PARTS and "__" in k}
+        if own := {long.get(k, k): v for k, v in params.items() if k not in nested}:
+            self.__init__(**(self.get_params(deep=False) | self._own | own))
+        for key, value in nested.items():
+            part, _, name = key.partition("__")
+            inside = getattr(self, part)
+            if inside is not None:
+                inside.set(inside.getParam(name), value)
+                self.components_ = self.reduction_ = self.classifier_ = None
         return self
 
     def set_nbits(self, nbits: int):
         return self.set_params(nbits=nbits)
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.get_params().items())})"
+        return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.get_params(deep=False).items())})"
 
     @property
     def requires_fit(self) -> bool:
@@ -82,37 +117,50 @@ class _Encoder:
         return Graphs(nodes, g.edges)
 
     def fit(self, g: Graphs, targets=None):
-        """Directions of the largest second moments of the attributes, and clusters of the
-        attributes along them. Without either, nothing."""
+        """Directions of the largest second moments of the attributes, clusters of the
+        attributes along them, and a classifier of these clusters. Without either, nothing."""
         if not self.requires_fit:
             return self
         nodes = self._renamed(g).nodes
-        if self.attribute_dim:
+        if self.attribute_dim and self.embedder is not None:
+            self.reduction_ = self.embedder.copy({self.embedder.inputCol: "features", self.embedder.outputCol: "reduced"}).fit(nodes.select(array_to_vector("attr").alias("features")))
+        elif self.attribute_dim:
             values, vecs = np.linalg.eigh(gram(nodes))
             top = vecs[:, np.argsort(values)[::-1][: self.attribute_dim]].T
             self.components_ = top * np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
         if self.attribute_alphabet_size:
-            x = self._embedded(nodes).select(array_to_vector("attr").alias("features"))
-            self.clusters_ = KMeans(k=self.attribute_alphabet_size, seed=self.seed).fit(x)
+            x = cut(self.embed_attributes(nodes).select(array_to_vector("attr").alias("features")))
+            grouped = self.clustering_predictor.copy({self.clustering_predictor.featuresCol: "features", self.clustering_predictor.predictionCol: "label"}).fit(x).transform(x)
+            groups = cut(grouped.select("features", F.col("label").cast("double").alias("label")))
+            self.classifier_ = self.classifier.copy({self.classifier.featuresCol: "features", self.classifier.labelCol: "label"}).fit(groups)
         return self
 
-    def _embedded(self, nodes: DataFrame) -> DataFrame:
+    def embed_attributes(self, nodes: DataFrame) -> DataFrame:
+        """attr reduced, and the old one as original_attr."""
+        if self.reduction_ is not None:
+            kept = [c for c in nodes.columns if c != "attr"]
+            found = self.reduction_.transform(nodes.withColumn("features", array_to_vector("attr")))
+            return found.select(*kept, F.col("attr").alias("original_attr"), vector_to_array("reduced").alias("attr"))
         if self.components_ is None:
             return nodes
         directions = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in self.components_])
         product = F.transform(directions, lambda v: F.aggregate(F.zip_with("attr", v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
         return nodes.withColumn("original_attr", F.col("attr")).withColumn("attr", product)
 
+    def set_discrete_labels(self, nodes: DataFrame) -> DataFrame:
+        """label by what the fitted classifier predicts from attr."""
+        if self.classifier_ is None:
+            return nodes
+        kept = [c for c in nodes.columns if c != "label"]
+        found = self.classifier_.transform(nodes.select(*kept, array_to_vector("attr").alias("features")))
+        return found.select(*kept, F.col("prediction").cast("long").cast("string").alias("label"))
+
     def prepared(self, g: Graphs) -> Graphs:
-        """Attributes reduced (the old ones as original_attr) and labels by cluster, as fitted."""
-        if self.requires_fit and (self.attribute_dim and self.components_ is None or self.attribute_alphabet_size and self.clusters_ is None):
+        """Attributes reduced and labels by the classifier, as fitted."""
+        if self.requires_fit and (self.attribute_dim and self.components_ is None and self.reduction_ is None or self.attribute_alphabet_size and self.classifier_ is None):
             raise ValueError("fit the encoder before it transforms")
         g = self._renamed(g)
-        nodes = self._embedded(g.nodes)
-        if self.clusters_ is not None:
-            kept = nodes.columns
-            nodes = self.clusters_.transform(nodes.withColumn("features", array_to_vector("attr"))).withColumn("label", F.col("prediction").cast("string")).select(*kept)
-        return Graphs(nodes, g.edges).with_labels()
+        return Graphs(self.set_discrete_labels(self.embed_attributes(g.nodes)), g.edges).with_labels()
 
     def _params(self) -> dict:
         return {"radius": self.radius, "distance": self.distance, "connector": self.connector, "nbits": self.nbits, "degree_threshold": self.degree_threshold, "sigma": self.sigma, "use_edges": self.use_edges_as_features}
@@ -131,24 +179,41 @@ class _Encoder:
     def fit_transform(self, g: Graphs, targets=None) -> DataFrame:
         return self.fit(g, targets).transform(g)
 
-    def load_from(self, graphs: Graphs, index: DataFrame, seq: str, limit=None, balance: bool = False, label: str = "name", start_after_instance: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
-        """Features of the selected graphs, and class weights before balancing (or None).
-        index: a row for each graph (graph_id, seq, label). A share samples before balancing;
-        with balancing, a number is the balanced size."""
+    def _source(self, spark_of, uri, kind, reader, parse, mode, verbose) -> readers.Loaded:
+        if isinstance(uri, readers.Loaded):
+            return uri
+        spark = spark_of or SparkSession.active()
+        return readers.load(spark, uri, kind, reader, parse, verbose=verbose, mode=mode)
+
+    def load_from(self, uri, type: str | None = None, reader=None, limit=None, random_state: int = 0, verbose: bool = False, balance: bool = False, label_extractor=None, start_after_instance: int = 0, parse=None, spark: SparkSession | None = None) -> readers.Loaded:
+        """Graphs of a uri by type (smiles, sdf, pyg_pt), or by a reader called with the uri;
+        or a selection of graphs already loaded, given in place of the uri. After balanced
+        loading loaded_label_counts_, loaded_class_weight_ and loaded_balance_candidate_size_
+        tell of the graphs before it; after other loading they are None. A label is a
+        column of the index, its name, or a function of the index; by default the name."""
         selection.check_limit(limit)
-        pool = selection.offset_limit(index, seq, start_after_instance, limit if not balance or isinstance(limit, float) else None, seed)
-        weights = selection.class_weights(pool, label) if balance else None
-        if balance:
-            pool = selection.balanced(pool, seq, label, limit if isinstance(limit, int) else None, seed)
-        ids = pool.select("graph_id")
-        return self.transform(Graphs(graphs.nodes.join(ids, "graph_id", "left_semi"), graphs.edges.join(ids, "graph_id", "left_semi"))), weights
-
-    def stream_from(self, graphs: Graphs, index: DataFrame, seq: str, batch_size: int = 128, limit=None, start_after_instance: int = 0, seed: int = 0) -> DataFrame:
-        """Features with the batch_id of their graph: batches by the order of seq, in one job."""
-        chosen = selection.offset_limit(index, seq, start_after_instance, limit, seed)
-        ids = selection.batches(chosen.select("graph_id", seq), seq, batch_size).select("graph_id", "batch_id")
-        found = self.transform(Graphs(graphs.nodes.join(ids, "graph_id", "left_semi"), graphs.edges.join(ids, "graph_id", "left_semi")))
-        return found.join(ids, "graph_id")
+        if isinstance(uri, readers.Loaded):
+            out = readers.selected(uri, limit, start_after_instance, random_state, balance, label_extractor)
+        else:
+            out = readers.load(spark or SparkSession.active(), uri, type, reader, parse, limit, start_after_instance, random_state, balance, label_extractor, verbose)
+        rows = out.class_weight.collect() if out.class_weight is not None else None  # one row for each class
+        self.loaded_balance_candidate_size_ = out.candidate_size
+        self.loaded_label_counts_ = None if rows is None else {r["label"]: r["n"] for r in rows}
+        self.loaded_class_weight_ = None if rows is None else {r["label"]: r["weight"] for r in rows}
+        return out
+
+    def stream_from(self, uri, type: str | None = None, reader=None, limit=None, random_state: int = 0, batch_size: int = 128, verbose: bool = False, label_extractor=None, start_after_instance: int = 0, parse=None, spark: SparkSession | None = None):
+        """Features with the batch_id of their graph, batches by the order of the source, in
+        one job; with a label_extractor also (graph_id, batch_id, label) of the graphs. The
+        source is given as to load_from."""
+        if self.requires_fit and self.components_ is None and self.reduction_ is None and self.classifier_ is None:
+            raise ValueError("fit the encoder before it streams")
+        source = self._source(spark, uri, type, reader, parse, "stream", verbose)
+        chosen = readers.selected(source, limit, start_after_instance, random_state)
+        index = chosen.index if label_extractor is None else chosen.index.withColumn("label", readers.label_of(chosen.index, label_extractor))
+        placed = selection.batches(index, "seq", batch_size)
+        found = self.transform(chosen.graphs).join(placed.select("graph_id", "batch_id"), "graph_id")
+        return found if label_extractor is None else (found, placed.select("graph_id", "batch_id", "label"))
 
 
 class GraphEncoder(_Encoder):

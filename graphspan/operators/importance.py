@@ -52,10 +52,11 @@ class ImportanceEstimator:
             raise ValueError("fit before use")
         return self.importance_
 
-    def build_feature_archive(self, g: Graphs) -> DataFrame:
+    def build_feature_archive(self, g: Graphs, provenance: bool = False) -> DataFrame:
+        """All occurrences, with provenance the nodes and edges of each too."""
         self._fitted()
         e = self.encoder
-        self.archive_ = attribution.occurrences(e.prepared(g), e.radius, e.distance, e.connector, e.nbits, e.degree_threshold, e.use_edges_as_features)
+        self.archive_ = attribution.occurrences(e.prepared(g), e.radius, e.distance, e.connector, e.nbits, e.degree_threshold, e.use_edges_as_features, provenance)
         return self.archive_
 
     def get_top_features(self, top_k: int = 10, min_importance: float = 0.0) -> DataFrame:
@@ -68,3 +69,8 @@ class ImportanceEstimator:
         """Scores of nodes and of edges."""
         nodes = attribution.node_importance(self.encoder.transform(g), self._fitted(), self.normalize)
         return nodes, attribution.edge_importance(g.edges, nodes)
+
+    def features(self, g: Graphs) -> tuple[DataFrame, DataFrame]:
+        """Features of nodes, and of edges: the sums of their ends'."""
+        nodes = self.encoder.transform(g)
+        return nodes, attribution.edge_features(g.edges, nodes)

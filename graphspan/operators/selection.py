@@ -48,10 +48,24 @@ def offset_limit(df: DataFrame, seq: str, start_after: int = 0, limit: int | flo
     """Without the first start_after rows; then the first `limit`, or each with that share."""
     check_limit(limit)
     check_count("start_after_instance", start_after)
+    if start_after and not isinstance(limit, int):  # no global order: places are counted by ranges
+        df = numbered(df, seq, "__pos").filter(F.col("__pos") >= start_after).drop("__pos")
     if isinstance(limit, float):
-        return bernoulli(df.orderBy(seq).offset(start_after) if start_after else df, seq, limit, seed)
-    out = df.orderBy(seq).offset(start_after)
-    return out if limit is None else out.limit(limit)
+        return bernoulli(df, seq, limit, seed)
+    # a first number of rows is kept by each task, so what meets in one is at most that number
+    return df if limit is None else df.orderBy(seq).offset(start_after).limit(limit)
+
+
+def running_sums(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """df with before_<c> for each column: its sum over the rows before in a distinct order.
+    As in `ranked`, ranges are dealt once and start at the sums of the ranges before."""
+    parts = cut(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = parts.groupBy(F.col("__p").alias("__q")).agg(*[F.sum(c).alias(f"__s_{c}") for c in columns])
+    starts = sums.select("__q", *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in columns])
+    own = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(F.broadcast(starts), F.col("__p") == F.col("__q"))
+    return out.select(*df.columns, *[(F.col(f"__b_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"before_{c}") for c in columns])
 
 
 def draw(seq: Column, seed: int, purpose: str) -> Column:
@@ -86,7 +100,8 @@ def balanced(df: DataFrame, seq: str, label: str, target: int | None = None, see
     chosen = placed.filter(F.col("__rank") < per_class)
     rest = (per_class * k if target is None else min(target, total)) - per_class * k
     if rest > 0:
-        chosen = chosen.unionByName(placed.filter(F.col("__rank") >= per_class).orderBy("__draw", seq).limit(rest))
+        left = numbered(placed.filter(F.col("__rank") >= per_class).withColumn("__order", F.struct("__draw", seq)), "__order", "__pos")
+        chosen = chosen.unionByName(left.filter(F.col("__pos") < rest).drop("__order", "__pos"))
     return chosen.drop("__draw", "__rank")
 
 

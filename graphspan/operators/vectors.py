@@ -48,3 +48,14 @@ def cosine(features: DataFrame) -> DataFrame:
     unit = features.join(norm, "graph_id").select("graph_id", "feature_id", (F.col("value") / F.col("norm")).alias("x"))
     a, b = (unit.select(F.col("graph_id").alias(g), "feature_id", F.col("x").alias(x)) for g, x in (("g1", "x1"), ("g2", "x2")))
     return a.join(b, "feature_id").filter("g1 < g2").groupBy("g1", "g2").agg(F.sum(F.col("x1") * F.col("x2")).alias("cosine"))
+
+
+def edge_attributes(edges: DataFrame, column: str = "attr") -> DataFrame:
+    """(graph_id, u, v, dim, a): attribute vectors of edges."""
+    return edges.select("graph_id", "u", "v", F.posexplode(column).alias("dim", "a"))
+
+
+def reweighted_edges(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each edge's values (graph_id, u, v, feature_id, value) times its weight."""
+    key = ["graph_id", "u", "v"]
+    return features.join(edges.select(*key, "weight"), key).select(*key, "feature_id", (F.col("value") * F.col("weight")).alias("value"))

@@ -71,3 +71,30 @@ def features(base: str, radius: int, distance: int, connector: int = 0, nbits: i
             UNION ALL SELECT {key}, 1, CAST({'sum(degree)' if per_graph else 'degree'} AS {kind}) FROM dg {'GROUP BY graph_id' if per_graph else ''}
         )
         SELECT {key}, feature_id, {'round(value, 6) AS value' if sigma is not None else 'value'} FROM al WHERE value <> 0"""
+
+
+def provenance(base: str, radius: int, distance: int, connector: int = 0, nbits: int = 10) -> str:
+    """Every occurrence with the nodes and edges that it covers, as lists."""
+    cutoff = max(radius, connector)
+    union = "list_sort(list_distinct(list_concat({}, {})))"
+    inside = "[e FOR e IN es IF list_contains({0}, e.u) AND list_contains({0}, e.v)]"
+    ctes = [base, CODES, distances(distance + cutoff), f"dn AS (SELECT * FROM dist WHERE d <= {distance})", rooted(cutoff), connectors(connector).replace("JOIN dist st", "JOIN dn st")]
+    ctes.append(f"""
+        bl AS (SELECT graph_id, root AS node, r.r, list(node) AS members FROM dist JOIN (SELECT unnest(range(0, {cutoff + 1})) AS r) r ON d <= r.r GROUP BY graph_id, root, r.r),
+        le AS (SELECT a.graph_id, a.root, list({{'u': e.u, 'v': e.v}}) AS es FROM dist a JOIN edges e ON a.graph_id = e.graph_id AND a.node = e.u JOIN dist b ON b.graph_id = e.graph_id AND b.root = a.root AND b.node = e.v GROUP BY a.graph_id, a.root),
+        pl AS (SELECT graph_id, root, target, list(node) AS pns FROM pn GROUP BY graph_id, root, target),
+        pe AS (SELECT a.graph_id, a.root, st.node AS target, list(DISTINCT {{'u': least(j.src, j.dst), 'v': greatest(j.src, j.dst)}}) AS pes FROM dn a JOIN adj j ON a.graph_id = j.graph_id AND a.node = j.src JOIN dn b ON b.graph_id = j.graph_id AND b.root = j.dst
+               JOIN dn st ON st.graph_id = a.graph_id AND st.root = a.root AND st.node = b.node AND a.d + 1 + b.d = st.d GROUP BY a.graph_id, a.root, st.node),
+        pr AS (SELECT d.graph_id, d.root, d.node AS target, d.d, a.r AS i, b.r AS j, a.c AS ca, b.c AS cb, {union.format('x.members', 'y.members')} AS ns, coalesce(le.es, []) AS es
+               FROM dn d JOIN rc a ON d.graph_id = a.graph_id AND d.root = a.node_id JOIN rc b ON d.graph_id = b.graph_id AND d.node = b.node_id
+               JOIN bl x ON x.graph_id = d.graph_id AND x.node = d.root AND x.r = a.r JOIN bl y ON y.graph_id = d.graph_id AND y.node = d.node AND y.r = b.r LEFT JOIN le ON le.graph_id = d.graph_id AND le.root = d.root)""")
+    arms = [f"SELECT {sql.sequence_code('ca', 'd', 'cb')} AS raw, 'paired_rooted_subgraph' AS kind, graph_id, root, target, ns, list_sort({inside.format('ns')}) AS es FROM pr"]
+    for k in range(1, connector + 1):
+        ctes.append(f"cn{k} AS (SELECT p.graph_id, p.root, p.target, list(DISTINCT q.node) AS cns FROM pn p JOIN dist q ON q.graph_id = p.graph_id AND q.root = p.node AND q.d <= {k - 1} GROUP BY p.graph_id, p.root, p.target)")
+        edges = union.format(inside.format("ns"), f"list_concat({inside.format('cns')}, coalesce(pes, []))")
+        arms.append(f"SELECT {sql.sequence_code('ca', 'd', 'cb', 'uc')}, 'paired_rooted_subgraph', graph_id, root, target, {union.format('ns', 'cns')}, {edges} FROM pr JOIN uc{k} USING (graph_id, root, target) JOIN cn{k} USING (graph_id, root, target) LEFT JOIN pe USING (graph_id, root, target)")
+    arms.append(f"""SELECT {sql.sequence_code('d', 'triplet')}, 'edge_triplet', graph_id, root, target, {union.format('pns', '[target, other]')}, {union.format('coalesce(pes, [])', "[{'u': least(target, other), 'v': greatest(target, other)}]")}
+        FROM (SELECT d.graph_id, d.root, d.node AS target, d.d, t.other, t.triplet FROM dn d JOIN (SELECT graph_id, u AS target, v AS other, triplet FROM tr UNION ALL SELECT graph_id, v, u, triplet FROM tr WHERE u <> v) t ON d.graph_id = t.graph_id AND d.node = t.target)
+        JOIN pl USING (graph_id, root, target) LEFT JOIN pe USING (graph_id, root, target)""")
+    ctes.append("oc AS (" + " UNION ALL ".join(arms) + ")")
+    return f"WITH {', '.join(ctes)} SELECT {sql.feature_id('raw', nbits)} AS feature_id, raw AS raw_signature, kind AS feature_kind, graph_id, root AS root_node, target AS target_node, ns AS source_node_ids, es AS source_edge_ids FROM oc"

@@ -122,3 +122,41 @@ def test_selection(spark):
             selection.offset_limit(df, "seq", 0, bad)
     with pytest.raises(ValueError):
         selection.balanced(df.filter("name = 'x'"), "seq", "name")
+
+
+def test_provenance_against_sets(graphs):
+    """What every occurrence covers, by plain sets, over graphs with a cycle and parallel paths."""
+    connector, distance = 1, 2
+    rows = attribution.occurrences(graphs, 1, distance, connector, 8, provenance=True).collect()
+    want = Counter()
+    for gid, (labels, edges) in GRAPHS.items():
+        near = {n: set() for n in labels}
+        for u, v in edges:
+            near[u].add(v), near[v].add(u)
+        d = {}
+        for r in labels:
+            d[r], todo = {r: 0}, [r]
+            for n in todo:
+                for m in near[n] - d[r].keys():
+                    d[r][m] = d[r][n] + 1
+                    todo.append(m)
+        ball = lambda n, r: {m for m, x in d[n].items() if x <= r}  # noqa: B023, E731
+        inside = lambda s: {e for e in edges if s >= set(e)}  # noqa: B023, E731
+        for u in labels:
+            for v, x in d[u].items():
+                if x > distance:
+                    continue
+                path = {w for w in d[u] if w in d[v] and d[u][w] + d[v][w] == x}
+                steps = {e for e in edges for a, b in (e, e[::-1]) if a in d[u] and b in d[v] and d[u][a] + 1 + d[v][b] == x}
+                for n in near[v]:
+                    want[gid, "edge_triplet", u, v, tuple(sorted(path | {v, n})), tuple(sorted(steps | {tuple(sorted((v, n)))}))] += 1
+                for i in (0, 1):
+                    for j in (0, 1):
+                        held = ball(u, i) | ball(v, j)
+                        want[gid, "paired_rooted_subgraph", u, v, tuple(sorted(held)), tuple(sorted(inside(held)))] += 1
+                        want[gid, "paired_rooted_subgraph", u, v, tuple(sorted(held | path)), tuple(sorted(inside(held) | inside(path) | steps))] += 1
+    assert Counter((r.graph_id, r.feature_kind, r.root_node, r.target_node, tuple(r.source_node_ids), tuple((e.u, e.v) for e in r.source_edge_ids)) for r in rows) == want
+    few = attribution.occurrences(graphs, 1, 1, 0, 8, provenance=True).filter("graph_id = 2")
+    sub = attribution.subgraphs(graphs, few).collect()
+    assert all({n.original_node_id for n in r.nodes} >= {r.root_node, r.target_node} and all(e.label for e in r.edges) for r in sub)
+    assert attribution.subgraph_nodes(graphs, few).count() == few.select(F.sum(F.size("source_node_ids"))).first()[0]
