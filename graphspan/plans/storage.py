@@ -12,5 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     a later join see the same rows. A folder of our own only where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphspan-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphspan-checkpoint-"))
     return df.checkpoint(eager=True)
