@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import io
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parent.parent
+from ..plans.ship import ship_code
+
 #: Arrow batches hold at most so many rows and bytes (one row at least): whole texts of
 #: 10,000 rows, Spark's own limit, take some 100 MB on both sides of each worker.
 ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
-_shipped: dict[str, bool] = {}
 _own_dir: str | None = None
 _tables: dict[str, list[str]] = {}
 
@@ -31,17 +28,7 @@ def ship(spark: SparkSession) -> None:
         now = sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
-    if _shipped.get(sc.applicationId):
-        return
-    with contextlib.suppress(OSError):
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w") as z:
-            for p in sorted(_PACKAGE.rglob("*.py")):
-                z.writestr(zipfile.ZipInfo(f"{_PACKAGE.name}/{p.relative_to(_PACKAGE).as_posix()}"), p.read_bytes())
-        path = Path(tempfile.mkdtemp(prefix="graphspan-")).resolve() / "graphspan_code.zip"
-        path.write_bytes(buf.getvalue())
-        sc.addPyFile(str(path))
-    _shipped[sc.applicationId] = True
+    ship_code(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="graphspan-tables-")
     return f"file://{_own_dir}"
@@ -77,6 +66,16 @@ def tables_made(spark: SparkSession) -> list[str]:
     return list(_tables.get(spark.sparkContext.applicationId, []))
 
 
+def last_table(df: DataFrame, name: str, made_before: int) -> DataFrame:
+    """table(df), after which the tables made since there were `made_before` go: they were
+    steps on the way to this one."""
+    spark = df.sparkSession
+    steps = tables_made(spark)[made_before:]
+    out = table(df, name)
+    drop_tables(spark, steps)
+    return out
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import maybe_broadcast, ship, table, text_or_empty
-from .components import components
+from .common import free_name, last_table, maybe_broadcast, ship, table, tables_made, text_or_empty
+from .components import components, with_least
 from .gray_index import gray_rank, run_links
 from .substring_dedup import mixed
 
@@ -155,12 +155,12 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", most
     never the smallest unless it is alone with others of its kind (then null). Repeated
     rows stay. An empty table gives an empty result."""
     fps = table(fingerprints(docs, text, id_col, size), "fingerprints")
+    made = len(tables_made(docs.sparkSession))
     distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(links(distinct.select("fp"), most, hot_key))
     linked = table(linked.join(distinct, linked["node"] == distinct["fp"]).select("node", "root", "least"), "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("comp"))
-    of_fp = linked.select("node", "root").join(least.hint("merge"), "root").select(F.col("node").alias("fp"), "comp")
-    found = table(distinct.join(of_fp.hint("merge"), "fp", "left").select("fp", F.coalesce("comp", "least").alias("component_id")), "classes")
+    of_fp = with_least(linked, "root", "least", "comp", linked.count()).select(F.col("node").alias("fp"), "comp")
+    found = last_table(distinct.join(of_fp.hint("merge"), "fp", "left").select("fp", F.coalesce("comp", "least").alias("component_id")), "classes", made)
     return fps.join(found.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -286,3 +286,28 @@ def confirmed_copies(docs: DataFrame, most: int = MOST, size: int = 4, words: in
     other. Rows with a null id are left out."""
     linked = components(confirmed_links(docs, most, size, words, similarity, per_task).select(F.col("doc_id").alias("a"), F.col("keep_id").alias("b")))
     return linked.filter("node > root").select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+
+
+def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
+    """docs without those that confirmed_copies (which takes `params`) lists: of each group
+    of near-copies one row stays. All columns stay.
+
+    Rows whose doc_id is null or on several rows are documents of their own: they take
+    part under new ids, smaller than all others (in any order among themselves)."""
+    row, own = free_name(docs, "row"), F.col("doc_id").cast("long")
+    plain = docs.select(own.alias("doc_id"), text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    of_id = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again"))
+    again = table(of_id, "again")
+    n = again.count()
+    if n:
+        again = maybe_broadcast(again, n)
+        on = plain["doc_id"].eqNullSafe(again["again"])
+        least, most = (x or 0 for x in plain.agg(F.min("doc_id"), F.max("doc_id")).first())
+        k = F.monotonically_increasing_id()
+        new = F.lit(least - 1) - k if least > -(1 << 62) else F.lit(most + 1) + k
+        renamed = table(plain.join(again, on, "left_semi").withColumn("doc_id", new), "renamed")
+        plain = plain.join(again, on, "left_anti").unionByName(renamed)
+    made = len(tables_made(docs.sparkSession))
+    gone = last_table(confirmed_copies(plain.select("doc_id", "text"), **params).select(F.col("doc_id").alias("gone")).distinct(), "gone", made)
+    kept = plain.join(maybe_broadcast(gone, gone.count()), plain["doc_id"] == F.col("gone"), "left_anti")
+    return kept.select(f"{row}.*")
