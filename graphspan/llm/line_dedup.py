@@ -8,11 +8,13 @@ confirmation; a third drops them.
 from __future__ import annotations
 
 import hashlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def _hashes(keys) -> np.ndarray:
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1) -> DataFrame:
     """(key binary, n_docs, first_doc): digests of keys in at least min_docs (2 or more)
     documents, and the smallest doc_id among these. docs has doc_id and text."""
+    return _confirmed(docs, min_docs, least)[0]
+
+
+def _confirmed(docs: DataFrame, min_docs: int, least: int) -> tuple[DataFrame, Broadcast, int]:
+    """repeated_lines, the filter of lines seen twice, and the number of all lines."""
     spark = docs.sparkSession
     ship(spark)
     if min_docs < 2:
@@ -90,7 +97,8 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1) ->
         yield out()
 
     found = docs.select("doc_id", "text").mapInArrow(suspects, "key binary, n_docs long, first_doc long")
-    return table(found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc")).filter(F.col("n_docs") >= min_docs), "lines")
+    bad = table(found.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc")).filter(F.col("n_docs") >= min_docs), "lines")
+    return bad, twice, n_lines
 
 
 _OUT = "doc_id long, n_lines long, n_dropped long, kept string"
@@ -104,13 +112,15 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1, keep:
     Keys have at least `least` code points; empty lines always stay. Null and empty texts
     are one empty line. Rows with a null or repeated doc_id count as documents of their
     own; with keep="first", rows repeating the first doc_id all keep the line. Up to
-    `held_rows` dropped keys are broadcast. If there are more, each text's own dropped keys
-    are found by a shuffle of the suspects and joined to it by the text's digest."""
+    `held_rows` dropped keys are broadcast. If there are more, those in the most documents are,
+    still at most so many; of the others each text's own are found by a shuffle of its
+    suspects, in which no key has more than lines / held_rows rows, and joined to it by the
+    text's digest."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bad = repeated_lines(docs, min_docs, least)
+    bad, twice, n_lines = _confirmed(docs, min_docs, least)
 
     def cut(doc_id, text: str, first_of: dict[bytes, int]) -> tuple[int, int, str]:
         lines, keys = text.split("\n"), keys_of(text)
@@ -138,22 +148,27 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1, keep:
 
         return docs.mapInArrow(small, _OUT)
 
+    at = n_lines // max(1, held_rows) + 1  # fewer than held_rows keys are in more documents
+    often = spark.sparkContext.broadcast({bytes(r["key"]): r["first_doc"] for r in bad.filter(F.col("n_docs") > at).select("key", "first_doc").toLocalIterator()})
+
     def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0):
                 text = t.as_py()
-                keys = [digest(k) for k in _doc_keys(text, least)]
-                if keys:
+                keys = list(_doc_keys(text, least))
+                found = [digest(keys[i]) for i in np.flatnonzero(bloom.has(twice.value, _hashes(keys)))]
+                found = [k for k in found if k not in often.value]
+                if found:
                     td = hashlib.sha256(text.encode()).digest()
-                    yield pa.RecordBatch.from_arrays([pa.array([td] * len(keys), pa.binary()), pa.array(keys, pa.binary())], ["td", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array([td] * len(found), pa.binary()), pa.array(found, pa.binary())], ["td", "key"])
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
             own = [{bytes(x["key"]): x["first_doc"] for x in v or ()} for v in b.column(2).to_pylist()]
-            yield batch(ids, [cut(i, t.as_py(), o) for i, t, o in zip(ids, b.column(1), own, strict=True)])
+            yield batch(ids, [cut(i, t.as_py(), ChainMap(o, often.value)) for i, t, o in zip(ids, b.column(1), own, strict=True)])
 
-    pairs = docs.select("text").mapInArrow(own_keys, "td binary, key binary").distinct().join(bad, "key")
+    pairs = docs.select("text").mapInArrow(own_keys, "td binary, key binary").distinct().join(bad.filter(F.col("n_docs") <= at), "key")
     by_text = pairs.groupBy("td").agg(F.collect_list(F.struct("key", "first_doc")).alias("own"))
     marked = docs.withColumn("td", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     return marked.join(by_text.hint("merge"), "td", "left").select("doc_id", "text", "own").mapInArrow(large, _OUT)

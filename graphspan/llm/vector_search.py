@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tables_made
 
 K = 10
 SCALE = 1024
@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, query_block: int = QU
     asked = table(v.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n_blocks = -(-asked.count() * 5 // (4 * query_block))
     numbered = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_blocks))).alias("block"))
-    found = []
+    made = len(tables_made(spark))
     for block in range(n_blocks):
         mine = numbered.filter(F.col("block") == block).select("vec_id", "v").toArrow()
         if not mine.num_rows:
@@ -186,9 +186,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, query_block: int = QU
             at = np.nonzero(best.full)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q["id"][at[0]], best.id[at], best.score[at])], ["query_id", "vec_id", "score"])
 
-        found.append(sorted_v.select("vec_id", "v").mapInArrow(run, schema))
-    for f in found:
-        result = result.unionByName(f)
+        result = sorted_v.select("vec_id", "v").mapInArrow(run, schema)
+        if n_blocks > 1:  # each block's rows are written, so that the plan does not grow with their number
+            table(result, "found")
+    if n_blocks > 1:
+        result = spark.read.schema(schema).parquet(*tables_made(spark)[made:])
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return result.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
