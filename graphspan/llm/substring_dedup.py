@@ -11,38 +11,44 @@ alone after each pass:
    digit, and there windows are sorted by the anchor's place and then digit by digit of
    50 bytes. Groups of two or more after the last digit are the repeated windows.
 3. Digits too frequent for one task are counted by window instead, with map-side sums.
+   Misra-Gries summaries find those of a large share before anything is dealt by digit.
 
 Texts that are equal as a whole take part once: all their bytes are repeated.
 
-Repeated passages of a number of words are found by the same passes over 8-byte codes in
-place of the words; only windows that start at a word's code count.
+The passes work on sequences of symbols: a text's bytes, or, for repeated passages of a
+number of words, 32-bit codes of its words.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import bloom
-from .common import drop_tables, maybe_broadcast, ship, table, tables_made, text_or_empty
-from .exact_dedup import exact_dedup
+from .common import drop_tables, last_table, maybe_broadcast, ship, table, tables_made, text_or_empty
+from .exact_dedup import exact_dedup, heavy_candidates
 
 DEPTH = 400
-#: Bytes of an anchor, of the first digit, and of the following digits, for a depth of 400.
-GRAM, FIRST, DIGIT = 48, 200, 50
+
+
+def sizes(depth: int) -> tuple[int, int, int]:
+    """Symbols of an anchor, of the first digit, and of the following digits: of 400 bytes
+    48, 200 and 50."""
+    return max(1, 3 * depth // 25), max(1, depth // 2), max(1, depth // 8)
+
+
 #: Digits with more anchors than this are counted by window.
 HOT_DIGIT = 10_000
 
-_SEGMENT = 1 << 22  # longer texts are read in segments that overlap by depth - 1 bytes
+_SEGMENT = 1 << 22  # longer texts are read in segments that overlap by depth - 1 symbols
 _BUFFER = 1 << 20
-_POSITION = np.uint64((1 << 24) - 1)  # low bits of an anchor's hash: its place in a buffer no longer than this
+_POSITION = np.uint64((1 << 24) - 1)  # low bits of an anchor's hash: its place in a buffer, which is no longer than a segment
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -116,17 +122,18 @@ def _packed(p: np.ndarray, far: np.ndarray, near: np.ndarray, side: int) -> np.n
     return ((p * 1024 + far) * 1024 + near) * 2 + side
 
 
-def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int = GRAM, first: int = FIRST) -> tuple[np.ndarray, list[bytes], np.ndarray, list[tuple[bytes, int, int]]]:
-    """(digit, id, place) of the anchors of (id, text) pairs, and spans found within a text.
+def first_digits(texts: list[tuple[bytes, np.ndarray]], depth: int = DEPTH) -> tuple[np.ndarray, list[bytes], np.ndarray, list[tuple[bytes, int, int]]]:
+    """(digit, id, place) of the anchors of (id, symbols) pairs, and spans found within a text.
     A place is packed: anchor, its greatest and least distance from the starts of its
-    windows, side. Where all bytes around several anchors of a text are the same, as in
+    windows, side. Where all symbols around several anchors of a text are the same, as in
     periodic passages, they are repeated, and only the first of these anchors goes on."""
-    buffers: list[list[tuple[bytes, int, bytes]]] = [[]]  # of (id, place in the text, segment)
+    gram, first, _ = sizes(depth)
+    buffers: list[list[tuple[bytes, int, np.ndarray]]] = [[]]  # of (id, place in the text, segment)
     size = 0
     for key, text in texts:
         for a in range(0, max(1, len(text) - depth + 1), _SEGMENT - depth + 1):
             part = text[a : a + _SEGMENT]
-            if size + len(part) > int(_POSITION) and buffers[-1]:
+            if size + len(part) > _SEGMENT and buffers[-1]:
                 buffers.append([])
                 size = 0
             buffers[-1].append((key, a, part))
@@ -140,12 +147,12 @@ def first_digits(texts: list[tuple[bytes, bytes]], depth: int = DEPTH, gram: int
     return np.concatenate([x[0] for x in found]), [key for x in found for key in x[1]], np.concatenate([x[2] for x in found]), own
 
 
-def _buffer_digits(segments: list[tuple[bytes, int, bytes]], depth: int, gram: int, first: int) -> tuple[np.ndarray, list[bytes], np.ndarray, list[tuple[bytes, int, int]]]:
+def _buffer_digits(segments: list[tuple[bytes, int, np.ndarray]], depth: int, gram: int, first: int) -> tuple[np.ndarray, list[bytes], np.ndarray, list[tuple[bytes, int, int]]]:
     """The same of (id, place in the text, segment) that fit one buffer."""
     owner, parts = [x[0] for x in segments], [x[2] for x in segments]
     lengths = np.array([len(x) for x in parts], np.int64)
     shift = (np.array([x[1] for x in segments], np.int64) - (np.cumsum(lengths) - lengths)).tolist()
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    data = np.concatenate([*parts, np.empty(0, np.uint8)])
     ends = np.cumsum(lengths)
     p, lo, hi, h = anchors(data, ends, depth, gram)
     text_no = np.searchsorted(ends, p, side="right")
@@ -170,22 +177,23 @@ def _buffer_digits(segments: list[tuple[bytes, int, bytes]], depth: int, gram: i
     return digits, [owner[i] for i in numbers.tolist()], places, own
 
 
-def contexts(text: bytes, places: list[int], depth: int = DEPTH) -> Iterator[tuple[int, int, bytes]]:
-    """(start, distance of the first window to the anchor, bytes) of packed places."""
+def contexts(text: np.ndarray, places: list[int], depth: int = DEPTH) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, distance of the first window to the anchor, symbols) of packed places."""
     for place in places:
         place, near = divmod(place // 2, 1024)
         p, far = divmod(place, 1024)
         yield p - far, far, text[p - far : p - near + depth]
 
 
-def repeated_windows(groups: np.ndarray, far: np.ndarray, parts: list[bytes], depth: int = DEPTH, digit: int = DIGIT) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(groups: np.ndarray, far: np.ndarray, parts: list[np.ndarray], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(context, window in it) of the windows found twice or more within their group."""
+    digit = sizes(depth)[2]
     lengths = np.array([len(x) for x in parts], np.int64)
     offsets = np.cumsum(lengths) - lengths
     n = lengths - depth + 1
     who = np.repeat(np.arange(len(parts)), n)
     j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    h = Hashes(np.frombuffer(b"".join(parts), np.uint8))
+    h = Hashes(np.concatenate(parts))
     rank = groups[who] * 1024 + (far[who] - j)
     start = offsets[who] + j
     for d in range(-1, -(-depth // digit)):
@@ -221,26 +229,61 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: Bytes of a word's code.
-WORD = 8
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-_EDGES = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-
-
-def word_codes(text: bytes) -> bytes:
-    """XXH64 of each word, a run outside [\\x20\\x09-\\x0D], without ASCII punctuation at its
-    ends unless it is nothing else."""
-    h = [xxhash.xxh64_intdigest(w.strip(_EDGES) or w) for w in _WORDS.findall(text)]
-    return np.array(h, np.uint64).tobytes()
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_EDGE = np.isin(np.arange(256), np.frombuffer(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""", np.uint8)) | _BLANK
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words, runs outside [\x20\x09-\x0D]."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_BLANK[data]
+    turn = np.diff(inside)
+    return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+
+
+def word_codes(texts: list[bytes]) -> list[np.ndarray]:
+    """32-bit hashes of each text's words, without ASCII punctuation at a word's ends unless
+    it is nothing else."""
+    if len(texts) == 1 and len(texts[0]) > 2 * _SEGMENT:  # in parts that end at blanks
+        parts, at = [], 0
+        while at < len(texts[0]):
+            blank = texts[0].find(b" ", at + _SEGMENT)
+            end = blank if blank >= 0 else len(texts[0])
+            parts.append(texts[0][at:end])
+            at = end + 1
+        return [np.concatenate([_codes([p])[0] for p in parts])] if len(parts) > 1 else [_codes(texts)[0]]
+    return _codes(texts)
+
+
+def _codes(texts: list[bytes]) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    a, b = words_of(data)
+    if not len(a):
+        return [np.empty(0, np.uint32)] * len(texts)
+    inner = np.flatnonzero(~_EDGE[data])
+    if len(inner):
+        first, last = np.searchsorted(inner, a), np.searchsorted(inner, b) - 1
+        some = last >= first
+        a2, b2 = np.where(some, inner[np.minimum(first, len(inner) - 1)], a), np.where(some, inner[last] + 1, b)
+    else:
+        a2, b2 = a, b
+    h = Hashes(data)
+    codes = (mixed((h.sums[b2] - h.sums[a2]) * h.down[a2]) >> np.uint64(32)).astype(np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.split(codes, np.searchsorted(a, ends[:-1]))
 
 
 def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of word codes as spans of the text, from the first word's start to the last
-    one's end; at the text's ends with the blanks there."""
+    """Spans of words as spans of the text, from the first word's start to the last one's
+    end; at the text's ends with the blanks there."""
     if not spans:
         return []
-    at = [m.span() for m in _WORDS.finditer(text)]
-    return [(at[a // WORD][0] if a else 0, at[b // WORD - 1][1] if b < len(at) * WORD else len(text)) for a, b in spans]
+    first, ends = words_of(np.frombuffer(text, np.uint8))
+    return [(int(first[a]) if a else 0, int(ends[b - 1]) if b < len(ends) else len(text)) for a, b in spans]
+
+
+def byte_codes(texts: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint8) for t in texts]
 
 
 _SPAN = "td binary, start long, end long"
@@ -250,7 +293,7 @@ def _span_batch(ids: list[bytes], a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["td", "start", "end"])
 
 
-def _spans_of_cold(shipped: DataFrame, depth: int, step: int = 1) -> DataFrame:
+def _spans_of_cold(shipped: DataFrame, depth: int, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # digit, td, start, far, bytes
         size = 0
@@ -260,9 +303,8 @@ def _spans_of_cold(shipped: DataFrame, depth: int, step: int = 1) -> DataFrame:
                 return _span_batch([], [], [])
             groups = np.cumsum([0] + [x[0] != y[0] for x, y in zip(part, part[1:], strict=False)])
             # a digit found once here has lost its twin nowhere: it was alone in step 1's hash
-            who, j = repeated_windows(groups, np.array([x[3] for x in part]), [x[4] for x in part], depth)
-            whole = (np.array([x[2] for x in part], np.int64)[who] + j) % step == 0
-            who, a, b = _spans(who[whole], j[whole], depth)
+            who, j = repeated_windows(groups, np.array([x[3] for x in part]), [np.frombuffer(x[4], kind) for x in part], depth)
+            who, a, b = _spans(who, j, depth)
             return _span_batch([part[i][1] for i in who.tolist()], [part[i][2] + x for i, x in zip(who.tolist(), a.tolist(), strict=True)], [part[i][2] + x for i, x in zip(who.tolist(), b.tolist(), strict=True)])
 
         for batch in batches:
@@ -278,21 +320,49 @@ def _spans_of_cold(shipped: DataFrame, depth: int, step: int = 1) -> DataFrame:
     return dealt.select("digit", "td", "start", "far", "part").mapInArrow(run, _SPAN)
 
 
-def _spans_of_hot(shipped: DataFrame, depth: int, step: int = 1) -> DataFrame:
+def _spans_of_hot(shipped: DataFrame, depth: int, kind: type) -> DataFrame:
     """The same for digits with too many anchors for one task: windows are counted by
     their hash with map-side sums, and joined back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digit, td, start, far, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                j = np.arange(-start % step, len(part) - depth + 1, step)
-                h = Hashes(np.frombuffer(part, np.uint8)).at(j, depth)
+                symbols = np.frombuffer(part, kind)
+                j = np.arange(len(symbols) - depth + 1)
+                h = Hashes(symbols).at(j, depth)
                 h = mixed(h + mixed(np.uint64(digit & (1 << 64) - 1) + (far - j).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([td] * len(j), pa.binary()), pa.array(start + j, pa.int64())], ["h", "td", "start"])
 
     windows = table(shipped.select("digit", "td", "start", "far", "part").mapInArrow(run, "h long, td binary, start long"), "windows")
-    twice = table(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
-    return windows.join(twice.hint("merge"), "h", "left_semi").select("td", "start", (F.col("start") + depth).alias("end"))
+    twice = table(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    # windows of so many rows are known to all tasks; there are 100,000 of them at most
+    at = max(HOT_DIGIT, windows.count() // 100_000)
+    often = F.broadcast(twice.filter(F.col("n") > at).select("h"))
+    found = windows.join(often, "h", "left_semi").unionByName(windows.join(often, "h", "left_anti").join(twice.filter(F.col("n") <= at).select("h").hint("merge"), "h", "left_semi"))
+    return _touching(found.select("td", "start", (F.col("start") + depth).alias("end")))
+
+
+def _touching(spans: DataFrame) -> DataFrame:
+    """Spans of one text that touch or overlap as one, within each 64 KB of starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            ids, a, e = [], [], []
+            for td, start, end in zip(*(b.column(c).to_pylist() for c in ("td", "start", "end")), strict=True):
+                if now and now[0] == td and start <= now[2]:
+                    now = (td, now[1], max(end, now[2]))
+                    continue
+                if now:
+                    ids.append(now[0]), a.append(now[1]), e.append(now[2])
+                now = (td, start, end)
+            yield _span_batch(ids, a, e)
+        if now:
+            yield _span_batch([now[0]], [now[1]], [now[2]])
+
+    block = F.shiftright("start", 16).alias("block")
+    dealt = spans.select("td", block, "start", "end").repartition("td", "block").sortWithinPartitions("td", "block", "start")
+    return dealt.select("td", "start", "end").mapInArrow(run, _SPAN)
 
 
 def _in(column: Column, filt: np.ndarray, spark) -> Column:
@@ -305,52 +375,49 @@ def _in(column: Column, filt: np.ndarray, spark) -> Column:
     return might(F.xxhash64(column))
 
 
-def _same(text: bytes) -> bytes:
-    return text
-
-
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT, words: int | None = None) -> DataFrame:
     """cover: for each text's digest td with repeated bytes its spans (array of start and
     end), those of `words` word codes (word_spans), or, if several rows have that text, `whole`."""
     spark = docs.sparkSession
     ship(spark)
+    made = len(tables_made(spark))
     marked = docs.withColumn("td", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     copied = table(exact_dedup(docs).filter("group_size > 1").groupBy(F.substring("digest", 1, 16).alias("td")).agg(F.min("keep_id").alias("keep_id")), "copied")
     # of equal texts one row takes part: that of the kept id, and if ids repeat, any number
     # of them do no harm, since copied texts are decided as a whole
     one = marked.join(maybe_broadcast(copied.withColumnRenamed("td", "ctd"), copied.count()), F.col("td") == F.col("ctd"), "left").filter(F.col("ctd").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("td", "text")
     before = len(tables_made(spark))
-    spans = _found_spans(one.filter(F.octet_length("text") >= depth), depth, hot_digit, _same, 1).withColumn("of_words", F.lit(False))
+    spans = _found_spans(one.filter(F.octet_length("text") >= depth), depth, hot_digit, byte_codes, np.uint8).withColumn("of_words", F.lit(False))
     if words:
         # tables of one search go before the next makes its own
         spans = table(spans, "spans")
         drop_tables(spark, tables_made(spark)[before:-1])
-        spans = spans.unionByName(_found_spans(one.filter(F.octet_length("text") >= 2 * words - 1), words * WORD, hot_digit, word_codes, WORD).withColumn("of_words", F.lit(True)))
+        spans = spans.unionByName(_found_spans(one.filter(F.octet_length("text") >= 2 * words - 1), words, hot_digit, word_codes, np.uint32).withColumn("of_words", F.lit(True)))
     span = F.struct("start", "end")
     spans = spans.select("td", F.when(~F.col("of_words"), span).alias("span"), F.when(F.col("of_words"), span).alias("word_span"), F.lit(False).alias("whole"))
     none = F.lit(None).cast("struct<start:bigint,end:bigint>")
     whole = copied.select("td", none.alias("span"), none.alias("word_span"), F.lit(True).alias("whole"))
-    return table(spans.unionByName(whole).groupBy("td").agg(F.collect_list("span").alias("spans"), F.collect_list("word_span").alias("word_spans"), F.max("whole").alias("whole")), "cover")
+    return last_table(spans.unionByName(whole).groupBy("td").agg(F.collect_list("span").alias("spans"), F.collect_list("word_span").alias("word_spans"), F.max("whole").alias("whole")), "cover", made)
 
 
-def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[bytes], bytes], step: int) -> DataFrame:
-    """(td, start, end) of the strings of `depth` bytes of coded texts (td, text) that start
-    twice or more at multiples of `step`."""
+def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[list[bytes]], list[np.ndarray]], kind: type) -> DataFrame:
+    """(td, start, end) of the strings of `depth` symbols of coded texts (td, text) that start
+    twice or more."""
     spark = one.sparkSession
 
     def pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def done() -> pa.RecordBatch:
-            digits, ids, places, own = first_digits(held, depth)
-            own = [(td, a + -a % step, b - (b - depth) % step) for td, a, b in own if a + -a % step + depth <= b - (b - depth) % step]
+            symbols = code([text for _, text in held])
+            digits, ids, places, own = first_digits([(td, x) for (td, _), x in zip(held, symbols, strict=True)], depth)
             n = len(own)
             cols = [pa.array([*digits.view(np.int64).tolist(), *[None] * n], pa.int64()), pa.array([*ids, *[x[0] for x in own]], pa.binary()), pa.array([*places.tolist(), *[x[1] for x in own]], pa.int64()), pa.array([*[None] * len(ids), *[x[2] for x in own]], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, ["digit", "td", "place", "end"])
 
         for b in batches:
             for td, text in zip(b.column(0), b.column(1), strict=True):
-                held.append((td.as_py(), code(text.as_py().encode())))
+                held.append((td.as_py(), text.as_py().encode()))
                 size += len(held[-1][1])
                 if size > _BUFFER:
                     yield done()
@@ -388,8 +455,13 @@ def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[byt
     found = table(one.mapInArrow(pass_one, "digit long, td binary, place long, end long"), "digits")
     own = found.filter("end IS NOT NULL").select("td", F.col("place").alias("start"), "end")
     found = found.filter("end IS NULL").select("digit", "td", "place")
-    kept = table(found.repartition("digit").sortWithinPartitions("digit").mapInArrow(twice, "digit long, td binary, place long, n long"), "anchors")
-    # a digit's rows are numbered in its run, so one row tells that it is too frequent
+    # digits of a large share of all anchors are found before these are dealt; of the others, rows
+    # are numbered in their run, so one row tells that a digit is too frequent
+    suspects = heavy_candidates(found, found.count(), column="digit", kind="long")
+    heavy = table(found.join(F.broadcast(suspects), "digit").groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot_digit).select("digit"), "heavy")
+    dealt = found.join(F.broadcast(heavy), "digit", "left_anti").repartition("digit").sortWithinPartitions("digit")
+    known = found.join(F.broadcast(heavy), "digit", "left_semi").withColumn("n", F.lit(hot_digit).cast("long"))
+    kept = table(dealt.select("digit", "td", "place").mapInArrow(twice, "digit long, td binary, place long, n long").unionByName(known), "anchors")
     hot = table(kept.filter(F.col("n") == hot_digit).select("digit").distinct(), "hot")
     any_hot = hot.count()  # at most anchors / hot_digit
     by_text = kept.groupBy("td").agg(F.collect_list(F.struct("digit", "place")).alias("places"))
@@ -407,10 +479,10 @@ def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[byt
 
         for b in batches:
             for td, text, places in zip(*b.columns, strict=True):
-                td, text, places = td.as_py(), code(text.as_py().encode()), places.as_py()
+                td, text, places = td.as_py(), code([text.as_py().encode()])[0], places.as_py()
                 for x, (start, far, part) in zip(places, contexts(text, [x["place"] for x in places], depth), strict=True):
-                    out.append((x["digit"], td, start, far, part))
-                    size += len(part)
+                    out.append((x["digit"], td, start, far, part.tobytes()))
+                    size += part.nbytes
                 if size > 4 * _BUFFER:
                     yield done()
                     out, size = [], 0
@@ -420,63 +492,112 @@ def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[byt
     shipped = one.filter(has_places).join(by_text.hint("merge"), "td").select("td", "text", "places").mapInArrow(pass_two, "digit long, td binary, start long, far long, part binary")
     if any_hot:
         shipped = table(shipped, "shipped")
-        spans = _spans_of_cold(shipped.join(F.broadcast(hot), "digit", "left_anti") if any_hot <= 100_000 else shipped.join(hot, "digit", "left_anti"), depth, step)
-        spans = spans.unionByName(_spans_of_hot(shipped.join(maybe_broadcast(hot, any_hot), "digit", "left_semi"), depth, step))
+        spans = _spans_of_cold(shipped.join(F.broadcast(hot), "digit", "left_anti") if any_hot <= 100_000 else shipped.join(hot, "digit", "left_anti"), depth, kind)
+        spans = spans.unionByName(_spans_of_hot(shipped.join(maybe_broadcast(hot, any_hot), "digit", "left_semi"), depth, kind))
     else:
-        spans = _spans_of_cold(shipped, depth, step)
+        spans = _spans_of_cold(shipped, depth, kind)
     return spans.unionByName(own)
 
 
-_RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
+#: Columns that remove_repeated adds, and those that it adds with `words`.
+ADDED, OF_WORDS = ("n_bytes", "n_removed", "n_spans", "kept"), ("n_passages", "passage_bytes")
 
 
-def remove_repeated(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT, words: int | None = None) -> DataFrame:
-    """All columns of docs (with doc_id and text, null: empty), and n_bytes, n_removed,
-    n_spans (maximal removed runs) and kept (binary: the remaining bytes).
+def _widened(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of UTF-8 bytes with the whole of the characters at their ends."""
+    out = []
+    for a, b in spans:
+        while a and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        out.append((a, b))
+    return merged(out)
 
-    A byte goes if a string of `depth` bytes that covers it also starts anywhere else in
-    the texts' UTF-8 bytes, in the same text too (overlaps count). Every occurrence goes, the
-    first too; matches never cross texts and are judged on the input. Rows with a null or
-    repeated doc_id are texts of their own, so repeated rows are copies. Shorter texts
-    stay as they are. Columns of docs named like the new ones are replaced.
 
-    With `words`, passages of so many words that occur elsewhere go too, however short; their
-    blanks and the ASCII punctuation at words' ends may differ."""
-    new = ("n_bytes", "n_removed", "n_spans", "kept")
-    names = [c for c in docs.columns if c not in (*new, "td", "spans", "word_spans", "whole")]
-    docs = docs.select(*[text_or_empty().alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
-    cover = repeated_spans(docs.select("doc_id", "text"), depth, hot_digit, words)
-    marked = docs.withColumn("td", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
+def _judged(docs: DataFrame, depth: int, hot_digit: int, words: int | None, remove_words: bool, whole_characters: bool) -> DataFrame:
+    """(row: struct of docs' columns, text, *ADDED, *OF_WORDS); see remove_repeated."""
     spark = docs.sparkSession
+    td = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    cover = repeated_spans(plain.select("doc_id", "text"), depth, hot_digit, words)
+    marked = plain.select("row", "text", td.alias("td"))
     touched = _in(F.col("td"), bloom.member_filter(cover.select(F.xxhash64("td").alias("x")), "x", cover.count()), spark)
-    marked = marked.withColumn("__in", touched & (F.octet_length("text") >= (min(depth, 2 * words - 1) if words else depth)))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    marked = marked.withColumn("in", touched & (F.octet_length("text") >= (min(depth, 2 * words - 1) if words else depth)))
+    numbers = (*ADDED[:3], *OF_WORDS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, removed, runs, kept = [], [], [], []
+            counts: list[tuple[int, ...]] = []
+            kept = []
             for text, spans, by_word, whole in zip(*(b.column(c) for c in ("text", "spans", "word_spans", "whole")), strict=True):
                 text = text.as_py().encode()
                 if whole.as_py():
-                    gone = [(0, len(text))] if len(text) >= depth or words and len(_WORDS.findall(text)) >= words else []
+                    all_of_it = [(0, len(text))]
+                    gone = all_of_it if len(text) >= depth else []
+                    passages = all_of_it if words and len(words_of(np.frombuffer(text, np.uint8))[0]) >= words else []
                 else:
-                    found = [[(x["start"], x["end"]) for x in s.as_py() or ()] for s in (spans, by_word)]
-                    gone = merged(found[0] + word_spans(text, found[1]))
+                    gone, passages = ([(x["start"], x["end"]) for x in s.as_py() or ()] for s in (spans, by_word))
+                    gone, passages = merged(gone), merged(word_spans(text, passages))
+                if remove_words:
+                    gone = merged(gone + passages)
+                if whole_characters:
+                    gone = _widened(text, gone)
                 at, parts = 0, []
                 for a, e in gone:
                     parts.append(text[at:a])
                     at = e
                 parts.append(text[at:])
                 kept.append(b"".join(parts))
-                n.append(len(text)), removed.append(len(text) - len(kept[-1])), runs.append(len(gone))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(x, pa.int64()) for x in (n, removed, runs)], pa.array(kept, pa.binary())], [*names, *new])
-
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names]) + ", " + _RESULT
-    changed = marked.filter("__in").join(cover.hint("merge"), "td", "left").select(*[f"`{c}`" for c in names], "spans", "word_spans", "whole").mapInArrow(cut, schema)
-    same = marked.filter("NOT __in").select(*[f"`{c}`" for c in names], F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+                counts.append((len(text), len(text) - len(kept[-1]), len(gone), len(passages), sum(e - a for a, e in passages)))
+            cols = [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)] or [pa.array([], pa.int64())] * len(numbers)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), *cols, pa.array(kept, pa.binary())], ["row", "text", *numbers, "kept"])
+
+    schema = StructType([plain.schema["row"], StructField("text", StringType()), *[StructField(n, LongType()) for n in numbers], StructField("kept", BinaryType())])
+    changed = marked.filter("in").join(cover.hint("merge"), "td", "left").select("row", "text", "spans", "word_spans", "whole").mapInArrow(cut, schema)
+    none = F.lit(0).cast("long")
+    same = marked.filter("NOT in").select("row", "text", F.octet_length("text").cast("long").alias("n_bytes"), *[none.alias(n) for n in numbers[1:]], F.col("text").cast("binary").alias("kept"))
     return changed.unionByName(same)
 
 
+def remove_repeated(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIGIT, words: int | None = None, remove_words: bool = True) -> DataFrame:
+    """All columns of docs (with doc_id and text, null: empty), and n_bytes, n_removed,
+    n_spans (maximal removed runs) and kept (binary: the remaining bytes).
+
+    A byte goes if a string of `depth` bytes that covers it also starts anywhere else in
+    the texts' UTF-8 bytes, in the same text too (overlaps count). Every occurrence goes, the
+    first too; matches never cross texts and are judged on the input. Rows with a null or
+    repeated doc_id are texts of their own, so repeated rows are copies. Shorter texts
+    stay as they are. Columns of docs named like the new ones are replaced.
+
+    With `words`, passages of so many words that occur elsewhere are found too, however
+    short; their blanks and the ASCII punctuation at words' ends may differ. n_passages and
+    passage_bytes count them, and unless remove_words is false they go as well."""
+    added = (*ADDED, *(OF_WORDS if words else ()))
+    found = _judged(docs, depth, hot_digit, words, bool(words) and remove_words, False)
+    return found.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
+def without_repeated(docs: DataFrame, depth: int = DEPTH, words: int | None = None, hot_digit: int = HOT_DIGIT) -> DataFrame:
+    """docs with texts that lack what remove_repeated finds; characters of which only a part
+    would stay go as a whole. Rows of which nothing stays go, and so do no others: empty
+    texts stay. All columns stay as they are, but n_chars, if there, counts a changed text."""
+    found = _judged(docs, depth, hot_digit, words, bool(words), True).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    changed = F.col("n_removed") > 0
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    of = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    new = {"text": F.col("kept").cast("string"), "n_chars": F.length(F.col("kept").cast("string"))}
+    out = [F.when(changed, new[c].cast(kinds[c])).otherwise(of[c]).alias(c) if c in new else of[c].alias(c) for c in docs.columns]
+    return found.select(*out)
+
+
+#: Words of a repeated passage that op9 reports beside the contract's bytes: more than 50.
+PASSAGE = 51
+
+
 def op9(docs: DataFrame) -> DataFrame:
+    """The contract's columns look at 400 bytes alone; n_passages and passage_bytes tell of
+    repeated passages of PASSAGE words, which may be shorter."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return remove_repeated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeated(docs, words=PASSAGE, remove_words=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *OF_WORDS)
