@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspan.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
-from graphspan.llm.common import maybe_broadcast, table
+from graphspan.llm.common import free_name, table
 
 #: Words of the shortest passage that may not be repeated: more than 50.
 PASSAGE = 51
@@ -21,7 +21,8 @@ PASSAGE = 51
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the classifier, trained on the labels, rejects."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    score = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, out=score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,32 +33,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id. Groups
     are joined by links whose five-word shingles confirm a similarity of 0.8; fingerprints as
-    op4 links them, and bands of min-hashes, only propose them. Rows with a null id, which
-    cannot be told apart, all stay."""
-    return _without(docs, simhash.confirmed_copies(docs).select("doc_id"))
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = table(ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    op4 links them, and bands of min-hashes, only propose them. Rows with a null or repeated
+    id are documents of their own and stand before the others."""
+    return simhash.drop_near_copies(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without strings of 400 bytes and passages of PASSAGE words, in however few bytes, that
-    occur elsewhere too. Characters of which only a part
-    would stay go as a whole; documents of which nothing stays go."""
-    names = docs.columns
-    cut = substring_dedup.remove_repeated(docs, words=PASSAGE)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_clean(F.col("kept")))
-    out = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[f"`{c}`" for c in names])
-
-
-def _clean(kept):
-    """Bytes as text, without the replacement characters of split ones."""
-    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
+    occur elsewhere too. Characters of which only a part would stay go as a whole; documents
+    of which nothing stays go."""
+    return substring_dedup.without_repeated(docs, words=PASSAGE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

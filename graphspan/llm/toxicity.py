@@ -19,9 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens
-from .common import ship, table, text_or_empty
+from .common import free_name, ship, table, text_or_empty
 
 #: Labelled texts used for training at most (those with the smallest hashed ids).
 MAX_TRAIN = 8_000
@@ -176,10 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
             nested = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(only, nested), pa.array(other, nested)], ["toxic", "own", "a", "o"])
 
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    # of documents that share an id one, the least text, takes part
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("toxic", "text")
     seen = table(texts.mapInArrow(extract, "toxic int, own array<int>, a array<array<int>>, o array<array<int>>"), "features")
     y, rows, pairs = [], [], []
-    for r in seen.limit(2 * max_train).toLocalIterator():  # ids may repeat in docs; bounded all the same
+    for r in seen.toLocalIterator():  # max_train rows at most
         y.append(r["toxic"])
         rows.append(np.array(r["own"], np.int32))
         pairs += list(zip(r["a"], r["o"], strict=True))
@@ -191,17 +194,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     one pass without a shuffle; null counts as empty. A column of that name is replaced."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f for f in docs.columns if f != out]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    fields = [f for f in docs.schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         of = held.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([of(t.as_py()) for t in b.column(len(names))], pa.float64())], [*names, out])
+            scores = pa.array([of(t.as_py()) for t in b.column(len(fields))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*[f.name for f in fields], out])
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{out}` double"])
-    return docs.select(*[f"`{c}`" for c in names], text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    plain = docs.select(*[f"`{f.name}`" for f in fields], text_or_empty(text).alias(free_name(docs, "text")))
+    return plain.mapInArrow(run, StructType([*fields, StructField(out, DoubleType())]))
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
