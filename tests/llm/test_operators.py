@@ -171,7 +171,7 @@ def test_line_dedup(spark, rows):
             out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
         return sorted(out, key=str)
 
-    for held in (1000, 0):  # broadcast, and by a shuffle
+    for held in (1000, 0, 5):  # broadcast, by a shuffle, and some of both
         assert sorted(map(tuple, line_dedup.drop_lines(docs_of(spark, data), held_rows=held).collect()), key=str) == brute(10)
     first = line_dedup.drop_lines(docs_of(spark, data), keep="first").filter("kept LIKE '%Shared%'").collect()
     assert [r.doc_id for r in first] == [100]
@@ -198,13 +198,38 @@ def test_url_filter(spark):
     con = duckdb.connect()
     con.register("pages", pages)
     want = con.execute(url_filter.oracle_sql()).df()[["page_id", "host", "path", "rule", "verdict"]]
-    clean = lambda rows: sorted((None if r[0] is None or r[0] != r[0] else int(r[0]), r[1], r[2], r[3] if isinstance(r[3], str) else None, r[4]) for r in rows if r) if False else sorted(map(str, ((None if r[0] is None or r[0] != r[0] else int(r[0]), r[1], r[2], r[3] if isinstance(r[3], str) else None, r[4]) for r in rows)))
+    clean = lambda rows: sorted(str((None if r[0] is None or r[0] != r[0] else int(r[0]), r[1], r[2], r[3] if isinstance(r[3], str) else None, r[4])) for r in rows)
     assert clean(map(tuple, got)) == clean(want.itertuples(index=False))
     by = {r.page_id: r for r in got}
     assert by[2].host == "a.example.com:80" and by[3].rule == "example.com/en/7" and by[3].verdict == "allow" and by[6].verdict == "block" and by[8].path == ""
-    labels = spark.createDataFrame([(i, True) for i in range(12, 40)], "page_id long, bad boolean")
+    labels = spark.createDataFrame([(i, True) for i in range(12, 50)], "page_id long, bad boolean")
     learned = {r.page_id: r.verdict for r in url_filter.judge(df, labels, rules=()).collect()}
     assert learned[65] == "block" and learned[7] == "allow"
+    assert url_filter.op7(df.limit(0)).count() == 0
+
+
+def test_url_tree(spark):
+    """Deep branches are told apart, variable segments become wildcards at any depth, siblings
+    alike are merged and others are not; the SQL agrees where rules label the pages."""
+    import duckdb
+
+    urls = [f"http://h.com/a/b/c/good/x{i}" for i in range(30)] + [f"http://h.com/a/b/c/bad/y{i}" for i in range(30)]
+    urls += [f"http://h.com/u{i}/profile" for i in range(20)] + [f"http://h.com/u{i}/photos/{k}" for i in range(20) for k in "abc"]
+    urls += [f"http://g.com/en/{i}" for i in range(40)] + [f"http://g.com/fr/{i}.html" for i in range(20)] + [f"http://g.com/static/{k}/v{i}" for k in "pq" for i in range(20)] + ["http://g.com/<*>/", "http://g.com//en//", "http://g.com/" + "/".join("z" * 300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i >= 30) for i in range(60)] + [(140 + i, True) for i in range(40)], "page_id long, bad boolean")
+    got = {urls[r.page_id]: (r.template, r.verdict) for r in url_filter.judge(df, labels, rules=()).collect()}
+    assert got["http://h.com/a/b/c/good/x3"] == ("/a/b/c/good/<*>", "allow") and got["http://h.com/a/b/c/bad/y3"] == ("/a/b/c/bad/<*>", "block")
+    assert got["http://h.com/u3/profile"][0] == "/<*>/profile" and got["http://h.com/u4/photos/b"][0] == "/<*>/photos/<~a>"
+    assert got["http://g.com/en/7"] == got["http://g.com/fr/7.html"] == ("/<~en>/<*>", "block")
+    assert got["http://g.com/static/p/v1"] == ("/static/<~p>/<*>", "allow") and got["http://g.com/<*>/"][1] == "allow"
+    assert len(got) == len(set(urls))
+    rules = (("block", "g.com", "/en/"), ("block", "com", "/a/b/c/b"), ("allow", "h.com", "/a/"))
+    pages = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("pages", pages[pages.url != urls[-1]])
+    want = {r[0]: r[4] for r in con.execute(url_filter.oracle_sql(rules)).df()[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False)}
+    assert {r.page_id: r.verdict for r in url_filter.judge(df.filter(F.col("page_id") < len(urls) - 1), rules=rules).collect()} == want and want[190] == "block"
 
 
 def test_packing(spark, rows):
@@ -255,7 +280,7 @@ def test_suffix_dedup(spark, rows, hot):
 
 def test_anchors_of_texts_longer_than_their_position_bits(monkeypatch):
     a, shared, b = (prose(n, k).encode() for n, k in ((9000, 11), (200, 12), (3000, 13)))
-    texts = [(b"a", a + shared), (b"b", b + shared + b[:50]), (b"c", b"")]
+    texts = [(k, np.frombuffer(t, np.uint8)) for k, t in ((b"a", a + shared), (b"b", b + shared + b[:50]), (b"c", b""))]
     whole = substring_dedup.first_digits(texts)
     monkeypatch.setattr(substring_dedup, "_SEGMENT", 3000)
     monkeypatch.setattr(substring_dedup, "_POSITION", np.uint64((1 << 12) - 1))
@@ -272,6 +297,23 @@ def test_anchors_of_texts_longer_than_their_position_bits(monkeypatch):
     assert {(b"a", len(a)), (b"b", len(b)), (b"a", len(a) + len(shared) - 400)} <= again
 
 
+def test_word_codes_and_spans_of_odd_texts(monkeypatch):
+    texts = [b"", b" \t\n", "(one) two, \u00e9 -- 'x'".encode(), b"one two", b",,, one", b"x" * 50]
+    codes = substring_dedup.word_codes(texts)
+    words = [t.split() for t in texts]
+    bare = [[w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w for w in ws] for ws in words]
+    assert [len(c) for c in codes] == [len(w) for w in words]
+    of: dict = {}
+    for c, w in zip((int(x) for cs in codes for x in cs), (x for ws in bare for x in ws), strict=True):
+        assert of.setdefault(w, c) == c
+    assert len(set(of.values())) == len(of)
+    assert substring_dedup.word_spans(b" a bb  ccc ", [(0, 1), (1, 3)]) == [(0, 2), (3, 11)]
+    long = prose(3000, 8).encode()
+    whole = substring_dedup.word_codes([long])[0]
+    monkeypatch.setattr(substring_dedup, "_SEGMENT", 500)
+    assert (substring_dedup.word_codes([long])[0] == whole).all()
+
+
 def test_chat(spark):
     data = [(1, 1, "assistant", "a###b</turn>\\"), (1, 0, "user", None), (2, 0, None, ""), (2, 1, "assistant", "x"), (2, 1, "assistant", "#"), (3, None, "assistant", "é😀</" + "#" * 9), (None, 0, "sys: \\x", "q")]
     df = spark.createDataFrame([(*r, "z") for r in data], "conv_id long, turn long, role string, text string, ids string")
@@ -293,7 +335,7 @@ def test_pipeline_on_a_small_table(spark):
     bad, copy = prose(60, 5) + " idiot idiot idiot", prose(120, 6)
     texts = [(i, prose(50, 100 + i) + (" idiot scum idiot" if i % 4 == 0 else "")) for i in range(200)] + [(900, copy), (901, copy), (902, copy + " x"), (903, bad), (904, None)]
     d = tempfile.mkdtemp()
-    docs_of(spark, texts).drop("td", "digest", "kept").write.parquet(f"{d}/documents.parquet")
+    docs_of(spark, texts).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     got = corpus_pipeline.run(spark, d)
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
@@ -364,6 +406,122 @@ def test_repeated_passages_of_short_words(spark, hot):
     assert kept == {1: of[1].replace(long, ""), 2: of[2].replace(f"({long.replace(' ', '  ')}),", ""), 3: of[3], 4: of[4], 5: "", 6: "", 7: "", 8: " "}
     if hot > 2:
         corpus_pipeline = pytest.importorskip("corpus_pipeline")
-        staged = {r.doc_id: r.text for r in corpus_pipeline.substring_stage(spark, docs.drop("td", "digest", "kept"), "").collect()}
+        staged = {r.doc_id: r.text for r in corpus_pipeline.substring_stage(spark, docs, "").collect()}
         assert staged == {i: k for i, k in kept.items() if k}
         assert {r.doc_id for r in substring_dedup.remove_repeated(docs).filter("n_removed > 0").collect()} == {7, 8}
+
+
+ODD = ["td", "spans", "word_spans", "whole", "kept", "n_bytes", "n_removed", "n_spans", "row", "__text", "__toxicity", "__digest", "__d", "__row", "__id", "digest", "in"]
+
+
+def odd_docs(spark, rows, n_chars=True):
+    """Documents with extra columns named like those that operators use inside."""
+    made = [(i, t, len(t or ""), [k], *[f"{c}{k}" for c in ODD]) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, n_chars int, tags array<int>, " + ", ".join(f"`{c}` string" for c in ODD)
+    return spark.createDataFrame(made, schema)
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Clashing columns, repeated and null ids, empty and long texts, U+FFFD, no rows: each
+    stage keeps rows and columns as they are but for its own decisions."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    copy, shared = prose(200, 61), prose(52, 62)  # under 400 bytes
+    near = copy.split(" ")
+    near = " ".join(near[:100] + ["new"] + near[101:])
+    rows = [(1, copy), (2, near), (2, prose(80, 63)), (2, prose(80, 64)), (None, prose(70, 65)), (None, None), (5, ""), (6, "\ufffd alone \ufffd é"), (7, f"\ufffd {prose(30, 66)} {shared} é\ufffd"), (8, f"{shared} {prose(30, 67)}"), (9, prose(30_000, 68)), (10, " \n"), (11, prose(90, 69) + " idiot scum"), (6, "\ufffd alone \ufffd é")]
+    docs = odd_docs(spark, rows)
+    labels = [(i, 0, int(i == 11)) for i in (1, 7, 8, 9, 11)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        tags = {r.tags[0]: r for r in out.collect()}
+        for k, r in tags.items():  # what stays has its own columns
+            assert r.doc_id == rows[k][0] and all(r[c] == f"{c}{k}" for c in ODD)
+            if name != "suffix_array_dedup":
+                assert r.text == rows[k][1] and r.n_chars == len(rows[k][1] or "")
+        if name == "exact_dedup":  # null and empty are equal, the two rows of id 6 too
+            assert {0, 1, 2, 3, 4, 7, 8, 9, 10, 11, 12} - {7} <= set(tags) and len({5, 6} & set(tags)) == 1 and len({7, 13} & set(tags)) == 1
+        if name == "simhash_near_dedup":
+            assert set(tags) >= {2, 3, 4, 8, 9, 10, 12} and len({0, 1} & set(tags)) == 1 and len({7, 13} & set(tags)) == 1
+        if name == "suffix_array_dedup":
+            assert tags[8].text == rows[8][1].replace(shared, "") and tags[9].text == rows[9][1].replace(shared + " ", " ") and tags[8].n_chars == len(tags[8].text)
+            assert all(tags[k].text == rows[k][1] for k in (2, 3, 4, 5, 6, 7, 10, 12, 13))
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    packed = stages["packing"](spark, docs, str(tmp_path))
+    assert packed.filter("start = 0").count() == len(rows) and stages["packing"](spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def test_encode_beside_clashing_columns(spark):
+    df = odd_docs(spark, [(1, "a b"), (2, None)])
+    at = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    out = bpe.decode(bpe.encode(df, *at), *at, out="back")
+    assert out.schema.names == [*df.schema.names, "ids", "back"]
+    assert sorted(bytes(r.back) for r in out.collect()) == [b"", b"a b"]
+
+
+def test_fingerprints_by_hand(spark, rows):
+    """Every bit counted in plain Python, over whole texts, long ones too."""
+    def own(text):
+        words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+        shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+        h = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    got = {(r.doc_id, r.fp % (1 << 64)) for r in simhash.fingerprints(docs_of(spark, rows)).collect()}
+    assert got == {(i, own(t)) for i, t in rows}
+
+
+def test_scores_by_hand(spark, rows):
+    """Scores of the trained weights, summed in plain Python."""
+    texts = [(i, prose(30, i) + (" idiot scum" if i % 4 == 0 else "")) for i in range(200)]
+    df = docs_of(spark, texts + [(10_000 + k, t) for k, (_, t) in enumerate(rows)])
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int"))
+    for r in toxicity.score(df, model).collect():
+        n = Counter(s for w, k in toxicity.words(r.text).items() for s in toxicity.stems_of(w) for _ in range(k))
+        z = model.bias + sum(model.weights.get(4 * s + level, 0) for s, k in n.items() for level in range(min(3, k)))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_formatted_text_of_turns(spark):
+    """formatted_chars counts the text that the ids stand for, markers and escapes included."""
+    data = [(1, 0, "user", "a##b"), (1, 1, "assistant", "\\ </turn>"), (2, 0, "sys:x", "é😀")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    shown = {1: "### user: a#\\#b </turn>\n### assistant: \\\\ <\\/turn> </turn>\n", 2: "### sys\\:x: é😀 </turn>\n"}
+    got = {r.conv_id: r.formatted_chars for r in chat.op10(spark, df).collect()}
+    assert {k: got[k] for k in shown} == {k: len(t) for k, t in shown.items()}
+
+
+def test_recall_of_near_copies(spark):
+    """Of all pairs of a similarity of 0.8 or more, found by brute force over short and long
+    texts with a few words changed, at least 0.9 end in one group (here all)."""
+    r = random.Random(17)
+    texts = []
+    for k in range(60):
+        base = prose(r.choice([12, 40, 150, 600]), 1000 + k).split(" ")
+        texts.append(base)
+        for _ in range(3):
+            other = list(base)
+            for _ in range(r.randint(1, max(1, len(base) // 45))):
+                other[r.randrange(len(other))] = "changed" + str(r.random())
+            texts.append(other + ["end"] * r.randint(0, 1))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = dict(map(tuple, simhash.confirmed_copies(docs).collect()))
+    sets = [simhash.shingle_hashes(" ".join(t), 5) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = sum(root.get(a, a) == root.get(b, b) for a, b in pairs)
+    assert len(pairs) > 50 and found >= 0.9 * len(pairs)
+    linked = {frozenset(p) for p in pairs}
+    assert all(any(frozenset((a, c)) in linked for c in range(len(sets))) for a in root)
+
+
+def test_passages_of_a_very_long_text(spark):
+    """A repeat behind 16 MiB is found as any other."""
+    r = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8)
+    long, passage = letters[r.integers(0, 30, 19_000_000)].tobytes().decode(), prose(120, 71)
+    docs = spark.createDataFrame([(1, long + passage + " end"), (2, "start " + passage)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed) for x in substring_dedup.remove_repeated(docs).collect()}
+    n = len(passage.encode())
+    assert got[1][0] == 19_000_000 + n + 4 and n <= got[1][1] == got[2][1] <= n + 2
