@@ -89,7 +89,7 @@ def induced_edges(spark, d):
 
 @register("path_union_nodes", f"WITH {ORDER_SQL}, {oracle.distances(2)}, {oracle.PATHS} SELECT * FROM pn")
 def path_union_nodes(spark, d):
-    return structure.path_nodes(structure.distances(order_graphs(spark, d).together(), 2))
+    return structure.path_nodes(structure.distances(order_graphs(spark, d).together(), 2), 2)
 
 
 @register("path_union_edges", f"""WITH {ORDER_SQL}, {oracle.distances(2)} SELECT a.graph_id, a.root, st.node AS target, least(j.src, j.dst) AS u, greatest(j.src, j.dst) AS v FROM dist a
@@ -97,7 +97,7 @@ def path_union_nodes(spark, d):
     JOIN dist st ON st.graph_id = a.graph_id AND st.root = a.root AND st.node = b.node AND a.d + 1 + b.d = st.d""")
 def path_union_edges(spark, d):
     g = order_graphs(spark, d).together()
-    return structure.path_edges(g, structure.distances(g, 2))
+    return structure.path_edges(g, structure.distances(g, 2), 2)
 
 
 @register("rooted_codes", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(2)} SELECT * FROM rc")
@@ -116,7 +116,7 @@ def rooted_codes_threshold(spark, d):
 def connector_codes(spark, d):
     g = order_graphs(spark, d).together()
     dist = structure.distances(g, 2)
-    return structure.connector_codes(dist, structure.rooted_codes(g, dist, 1), 1)
+    return structure.connector_codes(dist, structure.rooted_codes(g, dist, 1), 1, 2)
 
 
 # --- features ---

@@ -31,13 +31,13 @@ def occurrences(g: Graphs, radius: int = 1, distance: int = 3, connector: int =
     near = dist_all.filter(F.col("d") <= max(distance, cutoff))
     row = [feature_id(F.col("raw"), nbits).alias("feature_id"), F.col("raw").alias("raw_signature")]
     ends = ["graph_id", F.col("node_id").alias("root_node"), F.col("target").alias("target_node")]
-    paired = paired_signatures(dist, rooted_codes(g, near, cutoff, degree_threshold), connector)
+    paired = paired_signatures(dist, rooted_codes(g, near, cutoff, degree_threshold), connector, distance)
     triplets = edge_signatures(g, dist) if use_edges else None
     kinds = (F.lit("paired_rooted_subgraph").alias("feature_kind"), F.lit("edge_triplet").alias("feature_kind"))
     if not provenance:
         out = paired.select(*row, kinds[0], *ends)
         return out if triplets is None else out.unionByName(triplets.select(*row, kinds[1], *ends))
-    paths = path_unions(g, dist) if connector or use_edges else None
+    paths = path_unions(g, dist, distance) if connector or use_edges else None
     where = ["source_node_ids", "source_edge_ids"]
     out = paired_provenance(g, dist_all, paired, paths, cutoff, connector, reach).select(*row, kinds[0], *ends, *where)
     if triplets is not None:
@@ -49,12 +49,12 @@ def occurrences(g: Graphs, radius: int = 1, distance: int = 3, connector: int =
     return out
 
 
-def path_unions(g: Graphs, dist: DataFrame) -> DataFrame:
+def path_unions(g: Graphs, dist: DataFrame, most: int | None = None) -> DataFrame:
     """(graph_id, node_id, target, path_nodes, path_edges): sorted arrays of the nodes and the
     edges on any shortest path between two nodes."""
     key = ["graph_id", F.col("root").alias("node_id"), "target"]
-    nodes = path_nodes(dist).groupBy(*key).agg(F.array_sort(F.collect_list("node")).alias("path_nodes"))
-    edges = path_edges(g, dist).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("u", "v"))).alias("path_edges"))
+    nodes = path_nodes(dist, most).groupBy(*key).agg(F.array_sort(F.collect_list("node")).alias("path_nodes"))
+    edges = path_edges(g, dist, most).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("u", "v"))).alias("path_edges"))
     none = F.array().cast("array<struct<u:bigint,v:bigint>>")
     return nodes.join(edges, ["graph_id", "node_id", "target"], "left").withColumn("path_edges", F.coalesce("path_edges", none))
 
@@ -81,11 +81,11 @@ def _inside(nodes: Column) -> Column:
     return F.filter(F.coalesce("local_edges", F.array().cast("array<struct<u:bigint,v:bigint>>")), lambda e: F.array_contains(nodes, e["u"]) & F.array_contains(nodes, e["v"]))
 
 
-def connector_provenance(dist: DataFrame, connect: int) -> DataFrame:
+def connector_provenance(dist: DataFrame, connect: int, most: int | None = None) -> DataFrame:
     """(graph_id, node_id, target, connect, connector_nodes): nodes within connect - 1 hops
     of any node on a shortest path between two nodes."""
     around = dist.filter(F.col("d") <= connect - 1).select("graph_id", F.col("root").alias("node"), F.col("node").alias("member"))
-    met = path_nodes(dist).select("graph_id", "root", "target", "node").join(around, ["graph_id", "node"])
+    met = path_nodes(dist, most).select("graph_id", "root", "target", "node").join(around, ["graph_id", "node"])
     return met.groupBy("graph_id", F.col("root").alias("node_id"), "target").agg(F.collect_set("member").alias("connector_nodes")).withColumn("connect", F.lit(connect))
 
 
@@ -100,7 +100,7 @@ def paired_provenance(g: Graphs, dist_all: DataFrame, paired: DataFrame, paths:
     met = met.withColumn("nodes", nodes).withColumn("edges", _inside(F.col("nodes")))
     if connector:
         near = dist_all.filter(F.col("d") <= reach - cutoff)
-        made = [connector_provenance(near, k) for k in range(1, connector + 1)]
+        made = [connector_provenance(near, k, reach - cutoff) for k in range(1, connector + 1)]
         conn = made[0]
         for m in made[1:]:
             conn = conn.unionByName(m)

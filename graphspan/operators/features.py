@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import check_nbits, feature_id, sequence_code
+from ..plans.storage import colocated, cut
 from ..sources.tables import Graphs
 from .structure import connector_codes, degrees, distances, rooted_codes, triplet_codes
 
@@ -21,7 +22,7 @@ def edge_signatures(g: Graphs, dist: DataFrame) -> DataFrame:
     return dist.withColumnRenamed("node", "target").join(both, ["graph_id", "target"]).select("graph_id", F.col("root").alias("node_id"), "target", "other", "d", sequence_code(F.col("d"), F.col("triplet")).alias("raw"))
 
 
-def paired_signatures(dist: DataFrame, rooted: DataFrame, connector: int = 0) -> DataFrame:
+def paired_signatures(dist: DataFrame, rooted: DataFrame, connector: int = 0, most: int | None = None, connectors: list[DataFrame] | None = None) -> DataFrame:
     """(graph_id, node_id, target, d, i, j, connect, raw) for all radii of both ends and
     each connect from 0 to connector. (Not grouped: for archives.)"""
     a = rooted.select("graph_id", F.col("node_id").alias("root"), F.col("r").alias("i"), F.col("c").alias("ci"))
@@ -30,7 +31,7 @@ def paired_signatures(dist: DataFrame, rooted: DataFrame, connector: int = 0) ->
     keep = ["graph_id", F.col("root").alias("node_id"), "target", "d", "i", "j"]
     out = pairs.select(*keep, F.lit(0).alias("connect"), sequence_code(F.col("ci"), F.col("d"), F.col("cj")).alias("raw"))
     for k in range(1, connector + 1):
-        joined = pairs.join(connector_codes(dist, rooted, k), ["graph_id", "root", "target"])
+        joined = pairs.join(connectors[k - 1] if connectors else connector_codes(dist, rooted, k, most), ["graph_id", "root", "target"])
         out = out.unionByName(joined.select(*keep, F.lit(k).alias("connect"), sequence_code(F.col("ci"), F.col("d"), F.col("cj"), F.col("uc")).alias("raw")))
     return out
 
@@ -48,13 +49,16 @@ def node_features(g: Graphs, radius: int = 1, distance: int = 3, connector: int
     Radii go up to the larger of radius and connector. Feature 0 is 1 and feature 1 the
     degree of every node. Values are whole numbers without sigma."""
     check_nbits(nbits)
-    g = g.together()
     cutoff = max(radius, connector)
-    dist_all = distances(g, max(distance, cutoff))
-    dist = dist_all.filter(F.col("d") <= distance)
-    rooted = rooted_codes(g, dist_all, cutoff, degree_threshold)
+    with colocated(g.nodes.sparkSession):
+        g = g.together()
+        g = Graphs(cut(g.nodes), cut(g.edges))
+        dist_all = cut(distances(g, max(distance, cutoff)))
+        rooted = cut(rooted_codes(g, dist_all, cutoff, degree_threshold))
+        dist = dist_all.filter(F.col("d") <= distance)
+        linked = [cut(connector_codes(dist, rooted, k, distance)) for k in range(1, connector + 1)]
     keys = ["graph_id"] if per_graph else ["graph_id", "node_id"]
-    raw = paired_signatures(dist, rooted, connector).select(*keys, "d", "raw")
+    raw = paired_signatures(dist, rooted, connector, distance, linked).select(*keys, "d", "raw")
     if use_edges:
         raw = raw.unionByName(edge_signatures(g, dist).select(*keys, "d", "raw"))
     found = _counted(raw, keys, nbits, sigma)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import code, list_code, sequence_code, set_code
+from ..plans.storage import cut
 from ..sources.tables import Graphs
 
 
@@ -27,6 +28,8 @@ def distances(g: Graphs, most: int) -> DataFrame:
     for d in range(1, most + 1):
         step = frontier.join(adj, ["graph_id", "node"]).select("graph_id", "root", F.col("dst").alias("node")).distinct()
         frontier = step.join(out.select("graph_id", "root", "node"), ["graph_id", "root", "node"], "left_anti")
+        if d < most:  # the next level reads it twice
+            frontier = cut(frontier)
         out = out.unionByName(frontier.withColumn("d", F.lit(d)))
     return out
 
@@ -42,22 +45,27 @@ def induced_edges(g: Graphs, members: DataFrame, by: str = "center") -> DataFram
     return one.join(m.withColumnRenamed("node", "v"), ["graph_id", by, "v"], "left_semi").select("graph_id", by, "u", "v")
 
 
-def path_nodes(dist: DataFrame) -> DataFrame:
+def path_nodes(dist: DataFrame, most: int | None = None) -> DataFrame:
     """(graph_id, root, target, node): nodes on any shortest path; `dist` tells which pairs
-    are looked at, and holds all distances up to theirs."""
+    are looked at, and holds all distances up to theirs. `most`, if known, is the largest: what
+    two distances exceed it leaves the first join at once."""
     st = dist.select("graph_id", "root", F.col("node").alias("target"), F.col("d").alias("dt"))
     a = dist.select("graph_id", "root", "node", F.col("d").alias("da"))
     b = dist.select("graph_id", F.col("root").alias("node"), F.col("node").alias("target"), F.col("d").alias("db"))
-    return a.join(b, ["graph_id", "node"]).join(st, ["graph_id", "root", "target"]).filter("da + db = dt").select("graph_id", "root", "target", "node", F.col("da").alias("d"))
+    met = a.join(b, ["graph_id", "node"])
+    met = met if most is None else met.filter(F.col("da") + F.col("db") <= most)
+    return met.join(st, ["graph_id", "root", "target"]).filter("da + db = dt").select("graph_id", "root", "target", "node", F.col("da").alias("d"))
 
 
-def path_edges(g: Graphs, dist: DataFrame) -> DataFrame:
-    """(graph_id, root, target, u, v): edges on any shortest path."""
+def path_edges(g: Graphs, dist: DataFrame, most: int | None = None) -> DataFrame:
+    """(graph_id, root, target, u, v): edges on any shortest path; `most` as in path_nodes."""
     st = dist.select("graph_id", "root", F.col("node").alias("target"), F.col("d").alias("dt"))
     a = dist.select("graph_id", "root", F.col("node").alias("src"), F.col("d").alias("da"))
     b = dist.select("graph_id", F.col("root").alias("dst"), F.col("node").alias("target"), F.col("d").alias("db"))
     adj = g.adjacency().select("graph_id", "src", "dst")
-    steps = a.join(adj, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).join(st, ["graph_id", "root", "target"]).filter("da + 1 + db = dt")
+    met = a.join(adj, ["graph_id", "src"]).join(b, ["graph_id", "dst"])
+    met = met if most is None else met.filter(F.col("da") + 1 + F.col("db") <= most)
+    steps = met.join(st, ["graph_id", "root", "target"]).filter("da + 1 + db = dt")
     return steps.select("graph_id", "root", "target", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
 
 
@@ -94,10 +102,10 @@ def rooted_codes(g: Graphs, dist: DataFrame, cutoff: int, degree_threshold: int
     return every.join(made, ["graph_id", "node_id", "r"], "left").select("graph_id", "node_id", "r", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
 
 
-def connector_codes(dist: DataFrame, rooted: DataFrame, connect: int) -> DataFrame:
+def connector_codes(dist: DataFrame, rooted: DataFrame, connect: int, most: int | None = None) -> DataFrame:
     """(graph_id, root, target, uc): code of the shortest-path union, each of its nodes by
     its distance and its rooted code of radius connect - 1."""
     if connect < 1:
         raise ValueError("connect must be 1 at least")
     at = rooted.filter(F.col("r") == connect - 1).select("graph_id", F.col("node_id").alias("node"), "c")
-    return path_nodes(dist).join(at, ["graph_id", "node"]).groupBy("graph_id", "root", "target").agg(set_code(F.collect_list(sequence_code(F.col("d"), F.col("c")))).alias("uc"))
+    return path_nodes(dist, most).join(at, ["graph_id", "node"]).groupBy("graph_id", "root", "target").agg(set_code(F.collect_list(sequence_code(F.col("d"), F.col("c")))).alias("uc"))

@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_SUBSET = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def colocated(spark: SparkSession) -> Iterator[None]:
+    """Within it, joins of tables dealt by some of their keys need no further shuffle. It holds
+    for what is run inside (as by cut), and the session's setting comes back after."""
+    before = spark.conf.get(_SUBSET)
+    spark.conf.set(_SUBSET, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SUBSET, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
