@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
+from ..plans.storage import cut, sparse_vectors
 from ..sources.tables import Graphs
 from . import attribution
 from .encoders import NodeEncoder
@@ -30,14 +29,14 @@ class ImportanceEstimator:
         rows = self.encoder.fit_transform(g).groupBy("graph_id", "feature_id").agg(F.sum("value").cast("double").alias("value"))
         if self.encoder.node_attribute_key:
             raise ValueError("importance is learned over structural features only")
-        held = rows.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+        held = rows.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
+        held = held.select("graph_id", F.transform("m", lambda x: x["feature_id"]).alias("at"), F.transform("m", lambda x: x["value"]).alias("values"))
         classes = targets.select("target").distinct().orderBy("target")
         number = {r.target: float(i) for i, r in enumerate(classes.limit(1001).collect())}
         if not 2 <= len(number) <= 1000:
             raise ValueError("targets have between 2 and 1000 classes")
         label = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("target"))
-        x = cut(held.join(targets, "graph_id").select("graph_id", array_to_vector(dense).alias("features"), label.alias("label")))
+        x = sparse_vectors(held.join(targets, "graph_id").select("graph_id", label.alias("label"), "at", "values"), "at", "values", width)
         runs = []
         for run in range(1, self.n_iter + 1):
             train = x.filter(F.pmod(draw(F.col("graph_id"), run, "forest"), F.lit(1000)) < 700)
