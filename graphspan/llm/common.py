@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ from ..plans.ship import ship_code
 #: 10,000 rows, Spark's own limit, take some 100 MB on both sides of each worker.
 ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _own_dir: str | None = None
-_tables: dict[str, list[str]] = {}
+_cleaned: set[str] = set()
+_tables: dict[tuple[str, int], list[str]] = {}  # by application and thread of the driver
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,17 +55,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables made by `table()`: those named, or all of this application."""
-    known = _tables.get(spark.sparkContext.applicationId, [])
-    for path in list(known if paths is None else paths):
-        with contextlib.suppress(Exception):
-            _delete(spark, path)
-        with contextlib.suppress(ValueError):
-            known.remove(path)
+    app = spark.sparkContext.applicationId
+    for (owner, _), known in list(_tables.items()):
+        for path in list(known) if owner == app else ():
+            if paths is None or path in paths:
+                with contextlib.suppress(Exception):
+                    _delete(spark, path)
+                known.remove(path)
+
+
+def _own(spark: SparkSession) -> list[str]:
+    return _tables.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def tables_made(spark: SparkSession) -> list[str]:
-    """Tables of this application that are still there, oldest first."""
-    return list(_tables.get(spark.sparkContext.applicationId, []))
+    """Tables made by this thread that are still there, oldest first. (Steps of a query that
+    another thread runs are none of ours.)"""
+    return list(_own(spark))
 
 
 def last_table(df: DataFrame, name: str, made_before: int) -> DataFrame:
@@ -85,10 +93,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/graphspan/{app}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    if app not in _tables:
-        _tables[app] = []
-        atexit.register(lambda: contextlib.suppress(Exception) and drop_tables_quietly(spark))
-    _tables[app].append(path)
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(drop_tables_quietly, spark)
+    _own(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
