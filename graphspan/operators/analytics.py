@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
+from ..plans.storage import colocated, cut
 from ..sources.tables import Graphs
 from .selection import running_sums
 from .structure import degrees
@@ -27,20 +27,22 @@ def nonzeros(features: DataFrame) -> DataFrame:
 
 
 def components(g: Graphs) -> DataFrame:
-    """(graph_id, node_id, component): the smallest node of each node's component. Each round
-    takes the smallest component among neighbours, then that of the component itself; the
-    sum of components falls until none changes."""
-    adj = cut(g.adjacency().select("graph_id", "src", F.col("dst").alias("node_id")))
-    now, was = cut(g.nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))), None
-    while True:
-        near = adj.join(now, ["graph_id", "node_id"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
-        low = now.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.least("component", "near").alias("component"))
-        up = low.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("above"))
-        now = cut(low.join(up, ["graph_id", "component"]).select("graph_id", "node_id", F.least("component", "above").alias("component")))
-        total = now.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if total == was:
-            return now
-        was = total
+    """(graph_id, node_id, component): the smallest node of each node's component. Edges are
+    turned into stars around ever smaller nodes, first towards larger neighbours and then
+    towards smaller ones, which takes a number of rounds logarithmic in the component's size."""
+    with colocated(g.nodes.sparkSession):
+        g = g.together()
+        e = cut(g.edges.filter("u <> v").select("graph_id", F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+        was = None
+        while (now := tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("graph_id", "a", "b").cast("decimal(38,0)"))).first())) != was and now[0]:
+            both = e.unionByName(e.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("graph_id", "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+            large = cut(both.join(least, ["graph_id", "a"]).filter("b > a AND b <> m").select("graph_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+            least = large.groupBy("graph_id", "a").agg(F.min("b").alias("m"))
+            down = large.join(least, ["graph_id", "a"]).filter("b <> m").select("graph_id", F.col("b").alias("a"), F.col("m").alias("b"))
+            e, was = cut(down.unionByName(least.withColumnRenamed("m", "b")).distinct()), now
+    root = e.select("graph_id", F.col("a").alias("node_id"), F.col("b").alias("component"))
+    return g.nodes.select("graph_id", "node_id").join(root, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def component_stats(g: Graphs) -> DataFrame:

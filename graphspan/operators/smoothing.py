@@ -46,3 +46,10 @@ def quadratic_loess(series: DataFrame, frac: float = 0.8, grid: DataFrame | None
         return pd.Series(np.einsum("ij,ij->i", np.linalg.pinv(a, rcond=1e-13, hermitian=True)[:, 0, :], t))
 
     return ww.groupBy("x").agg(*sums).select("x", level(*names).alias("fitted"))
+
+
+def series_with_band(rows: DataFrame, x: str, y: str, frac: float = 0.8) -> DataFrame:
+    """(x, mean, std, fitted) for a plot: mean and population deviation of y at each x, and the
+    means smoothed."""
+    band = rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"))
+    return band.join(quadratic_loess(band.select("x", F.col("mean").alias("y")), frac), "x")

@@ -280,6 +280,8 @@ def test_smoothing(spark):
         w = (1 - np.clip(far / np.sort(far)[span - 1], 0, 1) ** 3) ** 3
         a = np.vander(x - x0, 3, increasing=True)
         assert got[x0] == pytest.approx(np.linalg.lstsq(a * w[:, None], y * w, rcond=None)[0][0], abs=1e-6)
+    band = smoothing.series_with_band(spark.createDataFrame([(float(i), float(k + i)) for i in range(6) for k in (-1, 1)], "n double, v double"), "n", "v").collect()
+    assert {(r.x, r["mean"], r["std"]) for r in band} == {(float(i), float(i), 1.0) for i in range(6)} and all(r.fitted == pytest.approx(r.x, abs=1e-6) for r in band)
     for frac in (0, 1.5):
         with pytest.raises(ValueError):
             smoothing.quadratic_loess(spark.range(5).selectExpr("id x", "id y"), frac)
