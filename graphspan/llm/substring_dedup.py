@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import bloom
-from .common import drop_tables, last_table, maybe_broadcast, ship, table, tables_made, text_or_empty
+from .common import BROADCAST_ROWS, drop_tables, last_table, maybe_broadcast, ship, table, tables_made, text_or_empty
 from .exact_dedup import exact_dedup, heavy_candidates
 
 DEPTH = 400
@@ -365,6 +365,16 @@ def _touching(spans: DataFrame) -> DataFrame:
     return dealt.select("td", "start", "end").mapInArrow(run, _SPAN)
 
 
+def _may_be_in(docs: DataFrame, ids: DataFrame, out: str) -> DataFrame:
+    """docs (td, ...) with the column `out`: whether td is among ids (td, distinct). Up to
+    BROADCAST_ROWS ids are broadcast; of more a Bloom filter is, and some others pass too."""
+    n = ids.count()
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(ids.select("td", F.lit(True).alias(out))), "td", "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    filt = bloom.member_filter(ids.select(F.xxhash64("td").alias("x")), "x", n)
+    return docs.withColumn(out, _in(F.col("td"), filt, docs.sparkSession))
+
+
 def _in(column: Column, filt: np.ndarray, spark) -> Column:
     held = spark.sparkContext.broadcast(filt)
 
@@ -403,7 +413,6 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, hot_digit: int = HOT_DIG
 def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[list[bytes]], list[np.ndarray]], kind: type) -> DataFrame:
     """(td, start, end) of the strings of `depth` symbols of coded texts (td, text) that start
     twice or more."""
-    spark = one.sparkSession
 
     def pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -466,8 +475,7 @@ def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[lis
     any_hot = hot.count()  # at most anchors / hot_digit
     by_text = kept.groupBy("td").agg(F.collect_list(F.struct("digit", "place")).alias("places"))
     by_text = table(by_text, "places")
-    n_texts = by_text.count()
-    has_places = _in(F.col("td"), bloom.member_filter(by_text.select(F.xxhash64("td").alias("x")), "x", n_texts), spark)
+    placed = _may_be_in(one, by_text.select("td"), "placed").filter("placed")
 
     def pass_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -489,7 +497,7 @@ def _found_spans(one: DataFrame, depth: int, hot_digit: int, code: Callable[[lis
         if out:
             yield done()
 
-    shipped = one.filter(has_places).join(by_text.hint("merge"), "td").select("td", "text", "places").mapInArrow(pass_two, "digit long, td binary, start long, far long, part binary")
+    shipped = placed.join(by_text.hint("merge"), "td").select("td", "text", "places").mapInArrow(pass_two, "digit long, td binary, start long, far long, part binary")
     if any_hot:
         shipped = table(shipped, "shipped")
         spans = _spans_of_cold(shipped.join(F.broadcast(hot), "digit", "left_anti") if any_hot <= 100_000 else shipped.join(hot, "digit", "left_anti"), depth, kind)
@@ -517,13 +525,12 @@ def _widened(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 def _judged(docs: DataFrame, depth: int, hot_digit: int, words: int | None, remove_words: bool, whole_characters: bool) -> DataFrame:
     """(row: struct of docs' columns, text, *ADDED, *OF_WORDS); see remove_repeated."""
-    spark = docs.sparkSession
     td = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     cover = repeated_spans(plain.select("doc_id", "text"), depth, hot_digit, words)
     marked = plain.select("row", "text", td.alias("td"))
-    touched = _in(F.col("td"), bloom.member_filter(cover.select(F.xxhash64("td").alias("x")), "x", cover.count()), spark)
-    marked = marked.withColumn("in", touched & (F.octet_length("text") >= (min(depth, 2 * words - 1) if words else depth)))
+    marked = _may_be_in(marked, cover.select("td"), "touched")
+    marked = marked.withColumn("in", F.col("touched") & (F.octet_length("text") >= (min(depth, 2 * words - 1) if words else depth))).drop("touched")
     numbers = (*ADDED[:3], *OF_WORDS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
