@@ -293,7 +293,8 @@ def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
     of near-copies one row stays. All columns stay.
 
     Rows whose doc_id is null or on several rows are documents of their own: they take
-    part under new ids, smaller than all others (in any order among themselves)."""
+    part under new ids, smaller than all others or, where ids reach down to -2^62, larger (in
+    any order among themselves)."""
     row, own = free_name(docs, "row"), F.col("doc_id").cast("long")
     plain = docs.select(own.alias("doc_id"), text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
     of_id = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("again"))

@@ -30,6 +30,8 @@ SHARE = 20
 CHILDREN, MANY, LACK = 8, 100, 0.2
 #: Bad pages needed: 5 * bad >= 4 * (labelled + 2).
 PURITY = (5, 4, 2)
+#: Keys are broadcast up to so many bytes of text.
+BROADCAST_BYTES = 16 << 20
 #: Squared standard errors of labels, and deviations of the chi-square, within which a branch is like its siblings.
 SIMILAR, SPREAD = 4.0, 3.0
 
@@ -75,12 +77,12 @@ def _segments(joined: str) -> Column:
 
 def _by_key(rows: DataFrame, small: DataFrame, keys: list[str], total: int, pages: str) -> DataFrame:
     """rows with the columns of `small`, one row for each key, of which `pages` says how many
-    pages it has. Keys with many pages (100,000 keys at most) are joined map-side, so that no
-    task gets all rows of a large host; so are all keys if they are few."""
-    n = small.count()
-    if n <= BROADCAST_ROWS:
+    pages it has. Keys with many pages (20,000 keys at most) are joined map-side, so that no
+    task gets all rows of a large host; so are all keys if they take few bytes."""
+    n, text = small.agg(F.count(F.lit(1)), F.sum(sum((F.octet_length(k) for k in keys), F.lit(0)))).first()
+    if n <= BROADCAST_ROWS and (text or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(small), keys)
-    at = max(50_000, total // 100_000)
+    at = max(50_000, total // 20_000)
     big = F.broadcast(small.filter(F.col(pages) > at))
     far = rows.join(big.select(*keys), keys, "left_anti").join(small.filter(F.col(pages) <= at).hint("merge"), keys)
     return rows.join(big, keys).unionByName(far)
@@ -97,10 +99,9 @@ def templates(counts: DataFrame) -> DataFrame:
     open_, done, level = counts.withColumn("template", F.lit("")), None, 0
     key = ["host", "template"]
     while True:
-        seg = F.get(_segments("raw"), F.lit(level))
-        ends = open_.filter(seg.isNull())
+        here = table(open_.withColumn("seg", F.get(_segments("raw"), F.lit(level))), "open")
+        ends, deep = here.filter("seg IS NULL").drop("seg"), here.filter("seg IS NOT NULL")
         done = ends if done is None else done.unionByName(ends)
-        deep = table(open_.filter(seg.isNotNull()).withColumn("seg", seg), "deep")
         if deep.isEmpty():
             return done
         children = deep.groupBy(*key, "seg").agg(F.sum("n").alias("m"))
@@ -122,7 +123,7 @@ def templates(counts: DataFrame) -> DataFrame:
         met = met.withColumn("template", F.concat("template", F.lit("/"), name))
         kept = ["host", "raw", "n", "bad", "labelled", "template"]
         done = done.unionByName(met.filter("few").select(*kept))
-        open_ = table(met.filter("NOT few").select(*kept), "open")
+        open_ = met.filter("NOT few").select(*kept)
         level += 1
 
 

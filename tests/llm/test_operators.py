@@ -208,11 +208,14 @@ def test_url_filter(spark):
     assert url_filter.op7(df.limit(0)).count() == 0
 
 
-def test_url_tree(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_url_tree(spark, broadcast, monkeypatch):
     """Deep branches are told apart, variable segments become wildcards at any depth, siblings
     alike are merged and others are not; the SQL agrees where rules label the pages."""
     import duckdb
 
+    if not broadcast:
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", -1)
     urls = [f"http://h.com/a/b/c/good/x{i}" for i in range(30)] + [f"http://h.com/a/b/c/bad/y{i}" for i in range(30)]
     urls += [f"http://h.com/u{i}/profile" for i in range(20)] + [f"http://h.com/u{i}/photos/{k}" for i in range(20) for k in "abc"]
     urls += [f"http://g.com/en/{i}" for i in range(40)] + [f"http://g.com/fr/{i}.html" for i in range(20)] + [f"http://g.com/static/{k}/v{i}" for k in "pq" for i in range(20)] + ["http://g.com/<*>/", "http://g.com//en//", "http://g.com/" + "/".join("z" * 300)]
@@ -269,7 +272,9 @@ def removed(texts, depth):
 
 
 @pytest.mark.parametrize("hot", [10_000, 3])
-def test_suffix_dedup(spark, rows, hot):
+def test_suffix_dedup(spark, rows, hot, monkeypatch):
+    if hot == 3:  # and ids by a Bloom filter
+        monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", -1)
     shared = prose(90, 7)[:420]
     data = rows[:-4] + [(20 + k, prose(40, 30 + k) + shared + prose(40, 60 + k)) for k in range(6)] + [(30, "é" * 450), (31, prose(30, 90) + "é" * 230), (40, "x" * 399), (41, "x" * 399), (42, "y" * 400)]
     got = substring_dedup.remove_repeated(docs_of(spark, data), hot_digit=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
