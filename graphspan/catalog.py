@@ -62,22 +62,22 @@ def degrees(spark, d):
 
 @register("node_codes", f"{_BASE} SELECT * FROM nc")
 def node_codes(spark, d):
-    return structure.node_codes(order_graphs(spark, d).together())
+    return structure.node_codes(order_graphs(spark, d))
 
 
 @register("edge_triplets", f"{_BASE} SELECT * FROM tr")
 def edge_triplets(spark, d):
-    return structure.triplet_codes(order_graphs(spark, d).together())
+    return structure.triplet_codes(order_graphs(spark, d))
 
 
 @register("bfs_distances", f"WITH {ORDER_SQL}, {oracle.distances(3)} SELECT * FROM dist")
 def bfs_distances(spark, d):
-    return structure.distances(order_graphs(spark, d).together(), 3)
+    return structure.distances(order_graphs(spark, d), 3)
 
 
 @register("node_balls", f"WITH {SESSION_SQL}, {oracle.distances(2)} SELECT graph_id, root AS center, node FROM dist")
 def node_balls(spark, d):
-    return structure.ball(structure.distances(session_graphs(spark, d).together(), 2), 2)
+    return structure.ball(structure.distances(session_graphs(spark, d), 2), 2)
 
 
 @register("induced_edges", f"""WITH {SESSION_SQL}, {oracle.distances(2)} SELECT a.graph_id, a.root AS center, e.u, e.v FROM dist a
@@ -89,34 +89,29 @@ def induced_edges(spark, d):
 
 @register("path_union_nodes", f"WITH {ORDER_SQL}, {oracle.distances(2)}, {oracle.PATHS} SELECT * FROM pn")
 def path_union_nodes(spark, d):
-    return structure.path_nodes(structure.distances(order_graphs(spark, d).together(), 2), 2)
+    return structure.shortest_path_nodes(order_graphs(spark, d), 2)
 
 
 @register("path_union_edges", f"""WITH {ORDER_SQL}, {oracle.distances(2)} SELECT a.graph_id, a.root, st.node AS target, least(j.src, j.dst) AS u, greatest(j.src, j.dst) AS v FROM dist a
     JOIN adj j ON a.graph_id = j.graph_id AND a.node = j.src JOIN dist b ON b.graph_id = j.graph_id AND b.root = j.dst
     JOIN dist st ON st.graph_id = a.graph_id AND st.root = a.root AND st.node = b.node AND a.d + 1 + b.d = st.d""")
 def path_union_edges(spark, d):
-    g = order_graphs(spark, d).together()
-    return structure.path_edges(g, structure.distances(g, 2), 2)
+    return structure.shortest_path_edges(order_graphs(spark, d), 2)
 
 
 @register("rooted_codes", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(2)} SELECT * FROM rc")
 def rooted_codes(spark, d):
-    g = order_graphs(spark, d).together()
-    return structure.rooted_codes(g, structure.distances(g, 2), 2)
+    return structure.rooted_codes(order_graphs(spark, d), 2)
 
 
 @register("rooted_codes_threshold", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(2, 3)} SELECT * FROM rc")
 def rooted_codes_threshold(spark, d):
-    g = order_graphs(spark, d).together()
-    return structure.rooted_codes(g, structure.distances(g, 2), 2, 3)
+    return structure.rooted_codes(order_graphs(spark, d), 2, 3)
 
 
 @register("connector_codes", f"{_BASE}, {oracle.distances(2)}, {oracle.rooted(1)}, {oracle.connectors(1)} SELECT * FROM uc1")
 def connector_codes(spark, d):
-    g = order_graphs(spark, d).together()
-    dist = structure.distances(g, 2)
-    return structure.connector_codes(dist, structure.rooted_codes(g, dist, 1), 1, 2)
+    return structure.shortest_path_codes(order_graphs(spark, d), 2, 1, 1)
 
 
 # --- features ---
@@ -152,8 +147,7 @@ def node_features_sigma(spark, d):
 
 @register("weighted_features", f"SELECT f.graph_id, f.node_id, f.feature_id, round(f.value * e.value, 6) AS value FROM ({oracle.features(SESSION_SQL, 1, 1)}) f JOIN events e ON f.node_id = e.event_id")
 def weighted_features(spark, d):
-    g = session_graphs(spark, d)
-    return vectors.reweighted(features.node_features(g, radius=1, distance=1), g.nodes).withColumn("value", F.round("value", 6))
+    return vectors.weighted_features(session_graphs(spark, d), radius=1, distance=1).withColumn("value", F.round("value", 6))
 
 
 _EMB = oracle.features(EMBEDDING_SQL, 1, 1, nbits=6)
@@ -177,7 +171,7 @@ def attribute_node_vectors(spark, d):
 @register("node_kernel", f"""WITH f AS ({oracle.features(SESSION_SQL, 1, 1, nbits=6)}) SELECT a.graph_id, CAST(b.feature_id AS BIGINT) * 64 + a.feature_id AS feature_id, round(sqrt(abs(sum(a.value * b.value))), 6) AS value
     FROM f a JOIN f b USING (graph_id, node_id) GROUP BY a.graph_id, b.feature_id, a.feature_id""")
 def node_kernel(spark, d):
-    return vectors.node_kernel(features.node_features(session_graphs(spark, d), radius=1, distance=1, nbits=6), 6).withColumn("value", F.round("value", 6))
+    return vectors.graph_kernel(session_graphs(spark, d), radius=1, distance=1, nbits=6).withColumn("value", F.round("value", 6))
 
 
 @register("cosine_kernel", f"""WITH f AS ({oracle.features(EMBEDDING_SQL, 1, 2, per_graph=True)}), n AS (SELECT graph_id, sqrt(sum(value * value)) AS norm FROM f GROUP BY graph_id)
@@ -266,8 +260,7 @@ _SCORE = f"""WITH f AS ({oracle.features(ORDER_SQL, **_NODE)}), s AS (SELECT gra
 
 
 def _scores(spark, d):
-    f = features.node_features(order_graphs(spark, d), **_NODE)
-    return attribution.node_importance(f, _importance(spark, 10))
+    return attribution.graph_scores(order_graphs(spark, d), _importance(spark, 10), **_NODE)
 
 
 @register("node_importance", f"{_SCORE} SELECT graph_id, node_id, score FROM n")
@@ -278,14 +271,13 @@ def node_importance(spark, d):
 @register("edge_importance", f"""SELECT x.graph_id, x.u, x.v, a.score * b.score AS score FROM (WITH {ORDER_SQL} SELECT * FROM edges) x
     JOIN ({_SCORE} SELECT * FROM n) a ON x.graph_id = a.graph_id AND x.u = a.node_id JOIN ({_SCORE} SELECT * FROM n) b ON x.graph_id = b.graph_id AND x.v = b.node_id""")
 def edge_importance(spark, d):
-    return attribution.edge_importance(order_graphs(spark, d).edges, _scores(spark, d))
+    return attribution.graph_scores(order_graphs(spark, d), _importance(spark, 10), edges=True, **_NODE)
 
 
 @register("edge_feature_sums", f"""SELECT e.graph_id, e.u, e.v, f.feature_id, CAST(sum(f.value) AS BIGINT) AS value FROM (SELECT graph_id, u, v, unnest([u, v]) AS node_id FROM (WITH {SESSION_SQL} SELECT * FROM edges)) e
     JOIN ({oracle.features(SESSION_SQL, **_NODE)}) f USING (graph_id, node_id) GROUP BY e.graph_id, e.u, e.v, f.feature_id""")
 def edge_feature_sums(spark, d):
-    g = session_graphs(spark, d)
-    return attribution.edge_features(g.edges, features.node_features(g, **_NODE))
+    return attribution.edge_feature_sums(session_graphs(spark, d), **_NODE)
 
 
 @register("importance_by_class_part", f"""{_SCORE} SELECT o_orderstatus, part, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(stddev_pop(score), 6) AS std, round(min(score), 6) AS least, round(max(score), 6) AS most

@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import colocated, cut
 from ..sources.tables import Graphs
+from . import local
+from .local import by_graph
 from .selection import running_sums
-from .structure import degrees
 
 
 def graph_stats(g: Graphs) -> DataFrame:
     """(graph_id, n_nodes, n_edges, density, n_labels, min_degree, max_degree)."""
-    g = g.together()
-    n = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("label").alias("n_labels"))
-    e = g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    d = degrees(g).groupBy("graph_id").agg(F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
-    edges = F.coalesce("n_edges", F.lit(0)).cast("long")
-    density = F.when(F.col("n_nodes") > 1, 2 * edges / (F.col("n_nodes") * (F.col("n_nodes") - 1))).otherwise(0.0)
-    return n.join(e, "graph_id", "left").join(d, "graph_id").select("graph_id", "n_nodes", edges.alias("n_edges"), F.round(density, 6).alias("density"), "n_labels", "min_degree", "max_degree")
+    found = by_graph(g, local.stats, "graph_id, n_nodes long, n_edges long, density double, n_labels long, min_degree long, max_degree long")
+    return found.withColumn("density", F.round("density", 6))
 
 
 def nonzeros(features: DataFrame) -> DataFrame:
@@ -27,28 +22,14 @@ def nonzeros(features: DataFrame) -> DataFrame:
 
 
 def components(g: Graphs) -> DataFrame:
-    """(graph_id, node_id, component): the smallest node of each node's component. Edges are
-    turned into stars around ever smaller nodes, first towards larger neighbours and then
-    towards smaller ones, which takes a number of rounds logarithmic in the component's size."""
-    with colocated(g.nodes.sparkSession):
-        g = g.together()
-        e = cut(g.edges.filter("u <> v").select("graph_id", F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
-        was = None
-        while (now := tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("graph_id", "a", "b").cast("decimal(38,0)"))).first())) != was and now[0]:
-            both = e.unionByName(e.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("graph_id", "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-            large = cut(both.join(least, ["graph_id", "a"]).filter("b > a AND b <> m").select("graph_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-            least = large.groupBy("graph_id", "a").agg(F.min("b").alias("m"))
-            down = large.join(least, ["graph_id", "a"]).filter("b <> m").select("graph_id", F.col("b").alias("a"), F.col("m").alias("b"))
-            e, was = cut(down.unionByName(least.withColumnRenamed("m", "b")).distinct()), now
-    root = e.select("graph_id", F.col("a").alias("node_id"), F.col("b").alias("component"))
-    return g.nodes.select("graph_id", "node_id").join(root, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("component", "node_id").alias("component"))
+    """(graph_id, node_id, component): the smallest node of each node's component. The trees
+    found so far are hooked to their smallest neighbour and flattened, round by round."""
+    return by_graph(g, local.node_components, "graph_id, node_id long, component long")
 
 
 def component_stats(g: Graphs) -> DataFrame:
-    """(graph_id, n_components, connected)."""
-    roots = components(g).groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("size"))
-    return roots.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest")).withColumn("connected", F.col("n_components") == 1)
+    """(graph_id, n_components, largest, connected)."""
+    return by_graph(g, local.component_stats, "graph_id, n_components long, largest long, connected boolean")
 
 
 def by_class(values: DataFrame, keys: list[str], value: str) -> DataFrame:

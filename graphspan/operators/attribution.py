@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import feature_id
-from ..plans.storage import cut
+from ..functions.hashing import check_nbits
+from ..plans.ship import ship_code
 from ..sources.tables import Graphs
-from .features import edge_signatures, paired_signatures
-from .structure import ball, distances, induced_edges, path_edges, path_nodes, rooted_codes
+from . import local
+from .features import node_features
+from .local import by_graph
 
 
 #: Columns of an occurrence, before its provenance.
@@ -20,96 +26,11 @@ def occurrences(g: Graphs, radius: int = 1, distance: int = 3, connector: int =
     """Every occurrence of every feature, before counting: feature_id, raw_signature,
     feature_kind, graph_id, root_node, target_node; with provenance also source_node_ids
     (sorted array) and source_edge_ids (sorted array of u, v): where in the graph it lies."""
-    g = g.together()
-    cutoff = max(radius, connector)
-    # all that an occurrence covers lies within this many hops of its root
-    reach = distance + cutoff if provenance else max(distance, cutoff)
-    dist_all = distances(g, reach)
-    if provenance or connector:
-        dist_all = cut(dist_all)
-    dist = dist_all.filter(F.col("d") <= distance)
-    near = dist_all.filter(F.col("d") <= max(distance, cutoff))
-    row = [feature_id(F.col("raw"), nbits).alias("feature_id"), F.col("raw").alias("raw_signature")]
-    ends = ["graph_id", F.col("node_id").alias("root_node"), F.col("target").alias("target_node")]
-    paired = paired_signatures(dist, rooted_codes(g, near, cutoff, degree_threshold), connector, distance)
-    triplets = edge_signatures(g, dist) if use_edges else None
-    kinds = (F.lit("paired_rooted_subgraph").alias("feature_kind"), F.lit("edge_triplet").alias("feature_kind"))
-    if not provenance:
-        out = paired.select(*row, kinds[0], *ends)
-        return out if triplets is None else out.unionByName(triplets.select(*row, kinds[1], *ends))
-    paths = path_unions(g, dist, distance) if connector or use_edges else None
-    where = ["source_node_ids", "source_edge_ids"]
-    out = paired_provenance(g, dist_all, paired, paths, cutoff, connector, reach).select(*row, kinds[0], *ends, *where)
-    if triplets is not None:
-        met = triplets.join(paths, ["graph_id", "node_id", "target"])
-        edge = F.struct(F.least("target", "other").alias("u"), F.greatest("target", "other").alias("v"))
-        nodes = F.array_sort(F.array_union("path_nodes", F.array("target", "other")))
-        edges = F.array_sort(F.array_union("path_edges", F.array(edge)))
-        out = out.unionByName(met.select(*row, kinds[1], *ends, nodes.alias(where[0]), edges.alias(where[1])))
-    return out
-
-
-def path_unions(g: Graphs, dist: DataFrame, most: int | None = None) -> DataFrame:
-    """(graph_id, node_id, target, path_nodes, path_edges): sorted arrays of the nodes and the
-    edges on any shortest path between two nodes."""
-    key = ["graph_id", F.col("root").alias("node_id"), "target"]
-    nodes = path_nodes(dist, most).groupBy(*key).agg(F.array_sort(F.collect_list("node")).alias("path_nodes"))
-    edges = path_edges(g, dist, most).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("u", "v"))).alias("path_edges"))
-    none = F.array().cast("array<struct<u:bigint,v:bigint>>")
-    return nodes.join(edges, ["graph_id", "node_id", "target"], "left").withColumn("path_edges", F.coalesce("path_edges", none))
-
-
-def balls(dist: DataFrame, most: int) -> DataFrame:
-    """(graph_id, node, balls): for each radius from 0 to `most` the array of nodes within it."""
-    shell = F.array_sort(F.collect_list(F.struct("d", F.col("node").alias("n"))))
-    near = dist.filter(F.col("d") <= most).groupBy("graph_id", F.col("root").alias("node")).agg(shell.alias("s"))
-
-    def within(r: int) -> Column:
-        return F.transform(F.filter("s", lambda x: x["d"] <= r), lambda x: x["n"])
-
-    return near.select("graph_id", "node", F.array(*[within(r) for r in range(most + 1)]).alias("balls"))
-
-
-def local_edges(g: Graphs, dist: DataFrame, reach: int) -> DataFrame:
-    """(graph_id, node_id, local_edges): the edges among the nodes within `reach` of a node."""
-    inside = induced_edges(g, ball(dist, reach)).groupBy("graph_id", F.col("center").alias("node_id"))
-    return inside.agg(F.collect_list(F.struct("u", "v")).alias("local_edges"))
-
-
-def _inside(nodes: Column) -> Column:
-    """Of the row's local_edges those with both ends among nodes."""
-    return F.filter(F.coalesce("local_edges", F.array().cast("array<struct<u:bigint,v:bigint>>")), lambda e: F.array_contains(nodes, e["u"]) & F.array_contains(nodes, e["v"]))
-
-
-def connector_provenance(dist: DataFrame, connect: int, most: int | None = None) -> DataFrame:
-    """(graph_id, node_id, target, connect, connector_nodes): nodes within connect - 1 hops
-    of any node on a shortest path between two nodes."""
-    around = dist.filter(F.col("d") <= connect - 1).select("graph_id", F.col("root").alias("node"), F.col("node").alias("member"))
-    met = path_nodes(dist, most).select("graph_id", "root", "target", "node").join(around, ["graph_id", "node"])
-    return met.groupBy("graph_id", F.col("root").alias("node_id"), "target").agg(F.collect_set("member").alias("connector_nodes")).withColumn("connect", F.lit(connect))
-
-
-def paired_provenance(g: Graphs, dist_all: DataFrame, paired: DataFrame, paths: DataFrame | None, cutoff: int, connector: int, reach: int) -> DataFrame:
-    """paired signatures with source_node_ids and source_edge_ids: both ends' balls and the
-    edges inside them; with a connector, also its nodes, their edges and the paths'."""
-    held = balls(dist_all, cutoff)
-    a = held.select("graph_id", F.col("node").alias("node_id"), F.col("balls").alias("ball_a"))
-    b = held.select("graph_id", F.col("node").alias("target"), F.col("balls").alias("ball_b"))
-    met = paired.join(a, ["graph_id", "node_id"]).join(b, ["graph_id", "target"]).join(local_edges(g, dist_all, reach), ["graph_id", "node_id"], "left")
-    nodes = F.array_union(F.get("ball_a", F.col("i")), F.get("ball_b", F.col("j")))
-    met = met.withColumn("nodes", nodes).withColumn("edges", _inside(F.col("nodes")))
-    if connector:
-        near = dist_all.filter(F.col("d") <= reach - cutoff)
-        made = [connector_provenance(near, k, reach - cutoff) for k in range(1, connector + 1)]
-        conn = made[0]
-        for m in made[1:]:
-            conn = conn.unionByName(m)
-        conn = conn.join(paths.select("graph_id", "node_id", "target", "path_edges"), ["graph_id", "node_id", "target"])
-        met = met.join(conn, ["graph_id", "node_id", "target", "connect"], "left")
-        linked = F.col("connector_nodes").isNotNull()
-        edges = F.when(linked, F.array_union(F.array_union("edges", _inside(F.col("connector_nodes"))), F.col("path_edges"))).otherwise(F.col("edges"))
-        met = met.withColumn("edges", edges).withColumn("nodes", F.when(linked, F.array_union("nodes", "connector_nodes")).otherwise(F.col("nodes")))
-    return met.withColumn("source_node_ids", F.array_sort("nodes")).withColumn("source_edge_ids", F.array_sort("edges"))
+    columns = "feature_id int, raw_signature long, feature_kind string, graph_id, root_node long, target_node long"
+    params = {"nbits": check_nbits(nbits), "radius": radius, "distance": distance, "connector": connector, "degree_threshold": degree_threshold, "use_edges": use_edges}
+    if provenance:
+        return by_graph(g, local.provenance, f"{columns}, source_node_ids array<bigint>, source_edge_ids array<struct<u:bigint;v:bigint>>", **params)
+    return by_graph(g, local.occurrences, columns, **params)
 
 
 def subgraph_nodes(g: Graphs, found: DataFrame) -> DataFrame:
@@ -136,10 +57,69 @@ def subgraphs(g: Graphs, found: DataFrame) -> DataFrame:
     return n.join(e, names, "left").select(*OCCURRENCE, "nodes", F.coalesce("edges", none).alias("edges"))
 
 
+#: Signatures of a packed row lie this close, and a task packs so many occurrences at once.
+_SPAN, _PACKED = 1 << 20, 1 << 22
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences counted by feature, and their distinct signatures in short sorted lists."""
+    held, n = [], 0
+
+    def packed():
+        raw, fid = (np.concatenate(x) for x in zip(*held))
+        ids, counts = np.unique(fid, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"span": np.full(len(ids), -1, np.int32), "feature_id": ids, "n": counts, "at": pa.nulls(len(ids), pa.binary()), "ids": pa.nulls(len(ids), pa.binary())})
+        raw, first = np.unique(raw, return_index=True)
+        fid, cuts = fid[first], np.flatnonzero(np.diff(raw // _SPAN)) + 1
+        parts = list(zip(np.split(raw, cuts), np.split(fid, cuts)))
+        steps = [np.diff(r % _SPAN, prepend=0) for r, _ in parts]
+        small = lambda x: x.astype(np.uint8 if x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32)
+        rows = {"span": pa.array([int(r[0]) // _SPAN for r, _ in parts], pa.int32()), "feature_id": pa.nulls(len(parts), pa.int32()), "n": [len(r) for r, _ in parts]}
+        yield pa.RecordBatch.from_pydict(rows | {"at": [small(x).tobytes() for x in steps], "ids": [small(f).tobytes() for _, f in parts]})
+
+    for b in batches:
+        held.append((b["raw_signature"].to_numpy(), b["feature_id"].to_numpy()))
+        n += b.num_rows
+        if n >= _PACKED:
+            yield from packed()
+            held, n = [], 0
+    if n:
+        yield from packed()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists in order of their spans: the distinct signatures of each feature."""
+    now, ids = None, np.full(_SPAN, -1, np.int32)
+
+    def counted():
+        found, n = np.unique(ids[ids >= 0], return_counts=True)
+        return pa.RecordBatch.from_pydict({"feature_id": pa.array(found, pa.int32()), "occurrence_count": np.zeros(len(found), np.int64), "raw_signature_count": n.astype(np.int64)})
+
+    def wide(data: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n]).astype(np.int64)
+
+    for b in batches:
+        plain = b.filter(pc.less(b["span"], 0))
+        yield pa.RecordBatch.from_pydict({"feature_id": plain["feature_id"], "occurrence_count": plain["n"], "raw_signature_count": np.zeros(plain.num_rows, np.int64)})
+        for r in b.filter(pc.greater_equal(b["span"], 0)).select(["span", "n", "at", "ids"]).to_pylist():
+            if r["span"] != now and now is not None:
+                yield counted()
+                ids[:] = -1
+            now = r["span"]
+            ids[np.cumsum(wide(r["at"], r["n"]))] = wide(r["ids"], r["n"])
+    if now is not None:
+        yield counted()
+
+
 def archive_summary(found: DataFrame) -> DataFrame:
-    """Occurrences and distinct signatures of each feature."""
-    pre = found.groupBy("feature_id", "raw_signature").agg(F.count(F.lit(1)).alias("n"))
-    return pre.groupBy("feature_id").agg(F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("raw_signature_count"))
+    """Occurrences and distinct signatures of each feature. Signatures are codes of 30 bits, a
+    signature's feature is always the same: a task's distinct ones cross the shuffle in sorted
+    lists of some 3 bytes each, and meet in 1,024 spans."""
+    ship_code(found.sparkSession)
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = found.select(F.col("raw_signature").cast("long").alias("raw_signature"), F.col("feature_id").cast("int").alias("feature_id")).mapInArrow(_pack, "span int, feature_id int, n long, at binary, ids binary")
+    met = packed.repartition(n, "span").sortWithinPartitions("span").mapInArrow(_unpack, "feature_id int, occurrence_count long, raw_signature_count long")
+    return met.groupBy("feature_id").agg(F.sum("occurrence_count").alias("occurrence_count"), F.sum("raw_signature_count").alias("raw_signature_count"))
 
 
 def top_features(importance: DataFrame, found: DataFrame, top_k: int = 10, min_importance: float = 0.0, shift: int = 0) -> DataFrame:
@@ -161,6 +141,25 @@ def node_importance(features: DataFrame, importance: DataFrame, normalize: bool
     return every.withColumn("score", F.col("score") / F.when(most > 0, most).otherwise(1.0))
 
 
+#: Importances of so many features at most are sent to all tasks.
+TABLE = 1 << 20
+
+
+def graph_scores(g: Graphs, importance: DataFrame, normalize: bool = True, edges: bool = False, **params) -> DataFrame:
+    """node_importance of the graphs' own features, graph by graph; with edges their
+    edge_importance."""
+    params = local.PLAIN | params
+    width = 1 << check_nbits(params["nbits"])
+    if width > TABLE:
+        nodes = node_importance(node_features(g, **params), importance, normalize)
+        return edge_importance(g.edges, nodes) if edges else nodes
+    table = np.zeros(width)
+    for r in importance.filter(F.col("feature_id").between(0, width - 1)).filter("importance IS NOT NULL").groupBy("feature_id").agg(F.sum("importance").alias("x")).collect():
+        table[r.feature_id] = r.x
+    columns = "graph_id, u long, v long, score double" if edges else "graph_id, node_id long, score double"
+    return by_graph(g, local.edge_scores if edges else local.node_scores, columns, table=table, normalize=normalize, **params)
+
+
 def edge_importance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, u, v, score): the product of the ends' scores."""
     a, b = (nodes.select("graph_id", F.col("node_id").alias(e), F.col("score").alias(s)) for e, s in (("u", "su"), ("v", "sv")))
@@ -174,6 +173,13 @@ def edge_features(edges: DataFrame, features: DataFrame) -> DataFrame:
     return met.groupBy("graph_id", "u", "v", "feature_id").agg(F.sum("value").alias("value"))
 
 
+def edge_feature_sums(g: Graphs, **params) -> DataFrame:
+    """edge_features of the graphs' own features, graph by graph."""
+    params = local.PLAIN | params
+    check_nbits(params["nbits"])
+    return by_graph(g, local.edge_sums, f"graph_id, u long, v long, feature_id int, value {'long' if params['sigma'] is None else 'double'}", **params)
+
+
 def postprocess(runs: DataFrame, quantile: float = 0.5) -> DataFrame:
     """(feature_id, importance) of (run, feature_id, importance): mean less deviation, not
     below zero, zero below the quantile, by the maximum."""

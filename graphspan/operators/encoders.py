@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -111,10 +112,12 @@ class _Encoder:
 
     def _renamed(self, g: Graphs) -> Graphs:
         nodes = g.nodes
+        if not (self.node_attribute_key or self.weight_key):
+            return g
         for key, name in ((self.node_attribute_key, "attr"), (self.weight_key, "weight")):
             if key and key != name:
                 nodes = nodes.withColumn(name, F.col(key))
-        return Graphs(nodes, g.edges)
+        return replace(g, nodes=nodes)
 
     def fit(self, g: Graphs, targets=None):
         """Directions of the largest second moments of the attributes, clusters of the
@@ -160,7 +163,7 @@ class _Encoder:
         if self.requires_fit and (self.attribute_dim and self.components_ is None and self.reduction_ is None or self.attribute_alphabet_size and self.classifier_ is None):
             raise ValueError("fit the encoder before it transforms")
         g = self._renamed(g)
-        return Graphs(self.set_discrete_labels(self.embed_attributes(g.nodes)), g.edges).with_labels()
+        return replace(g, nodes=self.set_discrete_labels(self.embed_attributes(g.nodes)), rows=None if self.requires_fit else g.rows).with_labels()
 
     def _params(self) -> dict:
         return {"radius": self.radius, "distance": self.distance, "connector": self.connector, "nbits": self.nbits, "degree_threshold": self.degree_threshold, "sigma": self.sigma, "use_edges": self.use_edges_as_features}
@@ -176,6 +179,12 @@ class _Encoder:
     def transform(self, g: Graphs) -> DataFrame:
         raise NotImplementedError
 
+    def _placed(self, g: Graphs, placed: DataFrame) -> DataFrame:
+        """transform with the batch_id of placed. Plain features take it along by graph."""
+        if self.node_attribute_key or self.weight_key or self.use_node_kernel:
+            return self.transform(g).join(placed, "graph_id")
+        return node_features(self.prepared(g), per_graph=isinstance(self, GraphEncoder), tags=placed, tag="batch_id", **self._params())
+
     def fit_transform(self, g: Graphs, targets=None) -> DataFrame:
         return self.fit(g, targets).transform(g)
 
@@ -212,7 +221,7 @@ class _Encoder:
         chosen = readers.selected(source, limit, start_after_instance, random_state)
         index = chosen.index if label_extractor is None else chosen.index.withColumn("label", readers.label_of(chosen.index, label_extractor))
         placed = selection.batches(index, "seq", batch_size)
-        found = self.transform(chosen.graphs).join(placed.select("graph_id", "batch_id"), "graph_id")
+        found = self._placed(chosen.graphs, placed.select("graph_id", "batch_id"))
         return found if label_extractor is None else (found, placed.select("graph_id", "batch_id", "label"))
 
 
@@ -223,6 +232,8 @@ class GraphEncoder(_Encoder):
         g = self.prepared(g)
         if not (self.use_node_kernel or self.node_attribute_key or self.weight_key):
             return graph_features(g, **self._params())
+        if not (self.node_attribute_key or self.weight_key):
+            return vectors.graph_kernel(g, **self._params())
         rows = self._node_rows(g)
         if self.use_node_kernel:
             matrix = vectors.attribute_node_vectors(rows, g.nodes, self._dims(g.nodes)) if self.node_attribute_key else None

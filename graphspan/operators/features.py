@@ -2,72 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import check_nbits, feature_id, sequence_code
-from ..plans.storage import colocated, cut
+from ..functions.hashing import check_nbits
 from ..sources.tables import Graphs
-from .structure import connector_codes, degrees, distances, rooted_codes, triplet_codes
+from . import local
+from .local import by_graph
 
 
-def gaussian(d: Column, sigma: float | None) -> Column:
-    return F.lit(1.0) if sigma is None else F.exp(-(d * d) / F.lit(float(sigma) * float(sigma)))
-
-
-def edge_signatures(g: Graphs, dist: DataFrame) -> DataFrame:
-    """(graph_id, node_id, target, other, d, raw): an edge is seen from each of its ends."""
-    t = triplet_codes(g)
-    both = t.select("graph_id", F.col("u").alias("target"), F.col("v").alias("other"), "triplet").unionByName(t.filter("u <> v").select("graph_id", F.col("v").alias("target"), F.col("u").alias("other"), "triplet"))
-    return dist.withColumnRenamed("node", "target").join(both, ["graph_id", "target"]).select("graph_id", F.col("root").alias("node_id"), "target", "other", "d", sequence_code(F.col("d"), F.col("triplet")).alias("raw"))
-
-
-def paired_signatures(dist: DataFrame, rooted: DataFrame, connector: int = 0, most: int | None = None, connectors: list[DataFrame] | None = None) -> DataFrame:
-    """(graph_id, node_id, target, d, i, j, connect, raw) for all radii of both ends and
-    each connect from 0 to connector. (Not grouped: for archives.)"""
-    a = rooted.select("graph_id", F.col("node_id").alias("root"), F.col("r").alias("i"), F.col("c").alias("ci"))
-    b = rooted.select("graph_id", F.col("node_id").alias("target"), F.col("r").alias("j"), F.col("c").alias("cj"))
-    pairs = dist.withColumnRenamed("node", "target").join(a, ["graph_id", "root"]).join(b, ["graph_id", "target"])
-    keep = ["graph_id", F.col("root").alias("node_id"), "target", "d", "i", "j"]
-    out = pairs.select(*keep, F.lit(0).alias("connect"), sequence_code(F.col("ci"), F.col("d"), F.col("cj")).alias("raw"))
-    for k in range(1, connector + 1):
-        joined = pairs.join(connectors[k - 1] if connectors else connector_codes(dist, rooted, k, most), ["graph_id", "root", "target"])
-        out = out.unionByName(joined.select(*keep, F.lit(k).alias("connect"), sequence_code(F.col("ci"), F.col("d"), F.col("cj"), F.col("uc")).alias("raw")))
-    return out
-
-
-def _counted(raw: DataFrame, keys: list[str], nbits: int, sigma: float | None) -> DataFrame:
-    """Signatures are counted first, so that each distinct one is hashed once for its keys."""
-    n = raw.groupBy(*keys, "d", "raw").agg(F.count(F.lit(1)).alias("n"))
-    value = F.sum(F.col("n") * gaussian(F.col("d"), sigma))
-    return n.groupBy(*keys, feature_id(F.col("raw"), nbits).alias("feature_id")).agg((value if sigma is not None else F.sum("n")).alias("value"))
-
-
-def node_features(g: Graphs, radius: int = 1, distance: int = 3, connector: int = 0, nbits: int = 10, degree_threshold: int | None = None, sigma: float | None = None, use_edges: bool = True, per_graph: bool = False) -> DataFrame:
+def node_features(g: Graphs, radius: int = 1, distance: int = 3, connector: int = 0, nbits: int = 10, degree_threshold: int | None = None, sigma: float | None = None, use_edges: bool = True, per_graph: bool = False, tags: DataFrame | None = None, tag: str = "tag") -> DataFrame:
     """(graph_id, node_id, feature_id, value), or sums over nodes with per_graph.
 
     Radii go up to the larger of radius and connector. Feature 0 is 1 and feature 1 the
-    degree of every node. Values are whole numbers without sigma."""
+    degree of every node. Values are whole numbers without sigma. With tags (graph_id, and a
+    whole number named by `tag`) only their graphs, each with its tag."""
     check_nbits(nbits)
-    cutoff = max(radius, connector)
-    with colocated(g.nodes.sparkSession):
-        g = g.together()
-        g = Graphs(cut(g.nodes), cut(g.edges))
-        dist_all = cut(distances(g, max(distance, cutoff)))
-        rooted = cut(rooted_codes(g, dist_all, cutoff, degree_threshold))
-        dist = dist_all.filter(F.col("d") <= distance)
-        linked = [cut(connector_codes(dist, rooted, k, distance)) for k in range(1, connector + 1)]
-    keys = ["graph_id"] if per_graph else ["graph_id", "node_id"]
-    raw = paired_signatures(dist, rooted, connector, distance, linked).select(*keys, "d", "raw")
-    if use_edges:
-        raw = raw.unionByName(edge_signatures(g, dist).select(*keys, "d", "raw"))
-    found = _counted(raw, keys, nbits, sigma)
     kind = "double" if sigma is not None else "long"
-    deg = degrees(g)
-    fixed = deg.select(*keys, F.lit(0).alias("feature_id"), F.lit(1).cast(kind).alias("value")).unionByName(deg.select(*keys, F.lit(1).alias("feature_id"), F.col("degree").cast(kind).alias("value")))
-    if per_graph:
-        fixed = fixed.groupBy("graph_id", "feature_id").agg(F.sum("value").alias("value"))
-    return found.unionByName(fixed).filter("value <> 0")
+    columns = f"graph_id, feature_id int, value {kind}" if per_graph else f"graph_id, node_id long, feature_id int, value {kind}"
+    make = local.features
+    if tags is not None:
+        g, make, columns = g.tagged(tags.select("graph_id", F.col(tag).alias("extra"))), local.tagged, f"{columns}, {tag} long"
+    return by_graph(g, make, columns, per_graph=per_graph, nbits=nbits, sigma=sigma, radius=radius, distance=distance, connector=connector, degree_threshold=degree_threshold, use_edges=use_edges)
 
 
 def graph_features(g: Graphs, **params) -> DataFrame:

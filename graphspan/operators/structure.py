@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import code, list_code, sequence_code, set_code
-from ..plans.storage import cut
+from ..functions.hashing import sequence_code, set_code
 from ..sources.tables import Graphs
+from . import local
+from .local import by_graph
 
 
 def degrees(g: Graphs) -> DataFrame:
@@ -20,18 +21,17 @@ def degrees(g: Graphs) -> DataFrame:
 def distances(g: Graphs, most: int) -> DataFrame:
     """(graph_id, root, node, d): hops between all nodes at most `most` apart. Level by
     level: the frontier's neighbours without what has been reached."""
-    adj = g.adjacency().select("graph_id", F.col("src").alias("node"), "dst")
-    frontier = g.nodes.select("graph_id", F.col("node_id").alias("root"), F.col("node_id").alias("node"))
-    out = frontier.withColumn("d", F.lit(0))
-    if most < 0:
-        return out.filter("false")
-    for d in range(1, most + 1):
-        step = frontier.join(adj, ["graph_id", "node"]).select("graph_id", "root", F.col("dst").alias("node")).distinct()
-        frontier = step.join(out.select("graph_id", "root", "node"), ["graph_id", "root", "node"], "left_anti")
-        if d < most:  # the next level reads it twice
-            frontier = cut(frontier)
-        out = out.unionByName(frontier.withColumn("d", F.lit(d)))
-    return out
+    return by_graph(g, local.distances, "graph_id, root long, node long, d int", most=most)
+
+
+def shortest_path_nodes(g: Graphs, most: int) -> DataFrame:
+    """path_nodes of all pairs at most `most` apart, graph by graph."""
+    return by_graph(g, local.path_nodes, "graph_id, root long, target long, node long, d int", most=most)
+
+
+def shortest_path_edges(g: Graphs, most: int) -> DataFrame:
+    """path_edges of all pairs at most `most` apart, graph by graph."""
+    return by_graph(g, local.path_edges, "graph_id, root long, target long, u long, v long", most=most)
 
 
 def ball(dist: DataFrame, radius: int) -> DataFrame:
@@ -69,37 +69,27 @@ def path_edges(g: Graphs, dist: DataFrame, most: int | None = None) -> DataFrame
     return steps.select("graph_id", "root", "target", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
 
 
-def label_codes(g: Graphs) -> DataFrame:
-    return g.nodes.select("graph_id", "node_id", code(F.col("label")).alias("lh"))
-
-
 def node_codes(g: Graphs) -> DataFrame:
     """(graph_id, node_id, lh, nh): codes of the label, and of label and neighbourhood."""
-    labels = label_codes(g)
-    near = g.adjacency().join(labels.select("graph_id", F.col("node_id").alias("dst"), F.col("lh").alias("other")), ["graph_id", "dst"])
-    own = near.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.collect_list(sequence_code(F.col("other"), code(F.col("label")))).alias("codes"))
-    empty = F.array().cast("array<bigint>")
-    return labels.join(own, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "lh", sequence_code(F.col("lh"), set_code(F.coalesce("codes", empty))).alias("nh"))
+    return by_graph(g, local.node_codes, "graph_id, node_id long, lh long, nh long")
 
 
 def triplet_codes(g: Graphs) -> DataFrame:
     """(graph_id, u, v, triplet) of every edge."""
-    labels = label_codes(g)
-    e = g.edges.join(labels.select("graph_id", F.col("node_id").alias("u"), F.col("lh").alias("hu")), ["graph_id", "u"]).join(labels.select("graph_id", F.col("node_id").alias("v"), F.col("lh").alias("hv")), ["graph_id", "v"])
-    return e.select("graph_id", "u", "v", set_code(F.array("hu", code(F.col("label")), "hv")).alias("triplet"))
+    return by_graph(g, local.triplets, "graph_id, u long, v long, triplet long")
 
 
-def rooted_codes(g: Graphs, dist: DataFrame, cutoff: int, degree_threshold: int | None = None) -> DataFrame:
+def rooted_codes(g: Graphs, cutoff: int, degree_threshold: int | None = None) -> DataFrame:
     """(graph_id, node_id, r, c) for r from 0 to cutoff: the code of the shells up to r, 0
     beyond the last shell, and beyond r = 0 for nodes of more neighbours than the threshold."""
-    near = dist.filter(F.col("d") <= cutoff).join(node_codes(g).withColumnRenamed("node_id", "node"), ["graph_id", "node"])
-    shells = near.groupBy("graph_id", "root", "d").agg(set_code(F.collect_list(F.when(F.col("d") == 0, F.col("lh")).otherwise(F.col("nh")))).alias("shell"))
-    w = Window.partitionBy("graph_id", "root").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    made = shells.select("graph_id", F.col("root").alias("node_id"), F.col("d").alias("r"), list_code(F.collect_list("shell").over(w)).alias("c"))
-    if degree_threshold is not None:
-        made = made.join(degrees(g), ["graph_id", "node_id"]).filter((F.col("r") == 0) | (F.col("neighbours") <= degree_threshold)).select("graph_id", "node_id", "r", "c")
-    every = g.nodes.select("graph_id", "node_id", F.explode(F.sequence(F.lit(0), F.lit(cutoff))).alias("r"))
-    return every.join(made, ["graph_id", "node_id", "r"], "left").select("graph_id", "node_id", "r", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    return by_graph(g, local.rooted, "graph_id, node_id long, r int, c long", cutoff=cutoff, degree_threshold=degree_threshold)
+
+
+def shortest_path_codes(g: Graphs, most: int, cutoff: int, connect: int) -> DataFrame:
+    """connector_codes of all pairs at most `most` apart, graph by graph."""
+    if connect < 1:
+        raise ValueError("connect must be 1 at least")
+    return by_graph(g, local.connectors, "graph_id, root long, target long, uc long", most=most, cutoff=cutoff, connect=connect)
 
 
 def connector_codes(dist: DataFrame, rooted: DataFrame, connect: int, most: int | None = None) -> DataFrame:

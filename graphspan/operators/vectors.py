@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import check_nbits
+from ..sources.tables import Graphs
+from . import local
+from .local import by_graph
+
 
 def reweighted(features: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each node's values times its weight, reserved columns too."""
@@ -42,6 +47,17 @@ def node_kernel(features: DataFrame, nbits: int, matrix: DataFrame | None = None
     return s.select("graph_id", (F.col("m").cast("long") * (1 << nbits) + F.col("feature_id")).alias("feature_id"), F.sqrt(F.abs(F.col("v"))).alias("value"))
 
 
+def graph_kernel(g: Graphs, nbits: int, **params) -> DataFrame:
+    """node_kernel of the graphs' own features, graph by graph."""
+    return by_graph(g, local.kernel, "graph_id, feature_id long, value double", **(local.PLAIN | params | {"nbits": check_nbits(nbits)}))
+
+
+def weighted_features(g: Graphs, **params) -> DataFrame:
+    """Node features times each node's weight, reserved columns too."""
+    check_nbits(params.get("nbits", local.PLAIN["nbits"]))
+    return by_graph(g, local.weighted, "graph_id, node_id long, feature_id int, value double", extra="weight", **(local.PLAIN | params))
+
+
 def cosine(features: DataFrame) -> DataFrame:
     """(g1, g2, cosine) of graphs, g1 < g2, that share a feature: a join on features."""
     norm = features.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

@@ -396,7 +396,7 @@ def selected(source: Loaded, limit=None, start_after: int = 0, seed: int = 0, ba
         weights, size = selection.class_weights(pool, "__label"), pool.count()
         pool = selection.balanced(pool, "seq", "__label", limit if whole else None, seed).drop("__label")
     ids = pool.select("graph_id")
-    kept = Graphs(*(df.join(ids, "graph_id", "left_semi") for df in (source.graphs.nodes, source.graphs.edges)))
+    kept = source.graphs.only(ids)
     return Loaded(kept, pool, None, source.errors, size, weights)
 
 
