@@ -17,6 +17,7 @@ DATA = "/root/testdata/sf0.001"
 #: Exchanges that are no broadcasts, and eager jobs' tables aside.
 SHUFFLES = {
     "bfs_distances": 1,
+    "archive_summary": 3,
 }
 
 
