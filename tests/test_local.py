@@ -18,6 +18,7 @@ DATA = "/root/testdata/sf0.001"
 SHUFFLES = {
     "bfs_distances": 1,
     "archive_summary": 3,
+    "path_union_edges": 1,
 }
 
 
