@@ -19,6 +19,7 @@ SHUFFLES = {
     "bfs_distances": 1,
     "archive_summary": 3,
     "path_union_edges": 1,
+    "path_union_nodes": 1,
 }
 
 
