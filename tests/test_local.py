@@ -20,6 +20,7 @@ SHUFFLES = {
     "archive_summary": 3,
     "path_union_edges": 1,
     "path_union_nodes": 1,
+    "rooted_codes": 1,
 }
 
 
