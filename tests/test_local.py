@@ -21,6 +21,7 @@ SHUFFLES = {
     "path_union_edges": 1,
     "path_union_nodes": 1,
     "rooted_codes": 1,
+    "rooted_codes_threshold": 1,
 }
 
 
