@@ -22,6 +22,7 @@ SHUFFLES = {
     "path_union_nodes": 1,
     "rooted_codes": 1,
     "rooted_codes_threshold": 1,
+    "edge_importance": 1,
 }
 
 
