@@ -23,6 +23,7 @@ SHUFFLES = {
     "rooted_codes": 1,
     "rooted_codes_threshold": 1,
     "edge_importance": 1,
+    "connector_codes": 1,
 }
 
 
