@@ -24,6 +24,7 @@ SHUFFLES = {
     "rooted_codes_threshold": 1,
     "edge_importance": 1,
     "connector_codes": 1,
+    "feature_nonzeros": 2,
 }
 
 
