@@ -25,6 +25,7 @@ SHUFFLES = {
     "edge_importance": 1,
     "connector_codes": 1,
     "feature_nonzeros": 2,
+    "graph_features": 1,
 }
 
 
