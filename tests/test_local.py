@@ -26,6 +26,7 @@ SHUFFLES = {
     "connector_codes": 1,
     "feature_nonzeros": 2,
     "graph_features": 1,
+    "graph_features_threshold": 1,
 }
 
 
