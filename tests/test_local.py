@@ -27,6 +27,7 @@ SHUFFLES = {
     "feature_nonzeros": 2,
     "graph_features": 1,
     "graph_features_threshold": 1,
+    "graph_features_connector": 1,
 }
 
 
