@@ -28,6 +28,7 @@ SHUFFLES = {
     "graph_features": 1,
     "graph_features_threshold": 1,
     "graph_features_connector": 1,
+    "importance_by_class_part": 4,
 }
 
 
