@@ -29,6 +29,7 @@ SHUFFLES = {
     "graph_features_threshold": 1,
     "graph_features_connector": 1,
     "importance_by_class_part": 4,
+    "node_features": 1,
 }
 
 
