@@ -30,6 +30,7 @@ SHUFFLES = {
     "graph_features_connector": 1,
     "importance_by_class_part": 4,
     "node_features": 1,
+    "node_importance": 1,
 }
 
 
