@@ -31,6 +31,7 @@ SHUFFLES = {
     "importance_by_class_part": 4,
     "node_features": 1,
     "node_importance": 1,
+    "stream_batches": 9,
 }
 
 
