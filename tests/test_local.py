@@ -32,6 +32,7 @@ SHUFFLES = {
     "node_features": 1,
     "node_importance": 1,
     "stream_batches": 9,
+    "top_features": 9,
 }
 
 
