@@ -33,6 +33,7 @@ SHUFFLES = {
     "node_importance": 1,
     "stream_batches": 9,
     "top_features": 9,
+    "node_kernel": 1,
 }
 
 
