@@ -34,6 +34,7 @@ SHUFFLES = {
     "stream_batches": 9,
     "top_features": 9,
     "node_kernel": 1,
+    "archive_provenance": 1,
 }
 
 
