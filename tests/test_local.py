@@ -35,6 +35,7 @@ SHUFFLES = {
     "top_features": 9,
     "node_kernel": 1,
     "archive_provenance": 1,
+    "edge_feature_sums": 1,
 }
 
 
