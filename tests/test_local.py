@@ -36,6 +36,7 @@ SHUFFLES = {
     "node_kernel": 1,
     "archive_provenance": 1,
     "edge_feature_sums": 1,
+    "archive_subgraph_edges": 4,
 }
 
 
