@@ -37,6 +37,7 @@ SHUFFLES = {
     "archive_provenance": 1,
     "edge_feature_sums": 1,
     "archive_subgraph_edges": 4,
+    "node_codes": 1,
 }
 
 
