@@ -38,6 +38,7 @@ SHUFFLES = {
     "edge_feature_sums": 1,
     "archive_subgraph_edges": 4,
     "node_codes": 1,
+    "graph_components": 1,
 }
 
 
