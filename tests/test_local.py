@@ -39,6 +39,7 @@ SHUFFLES = {
     "archive_subgraph_edges": 4,
     "node_codes": 1,
     "graph_components": 1,
+    "edge_triplets": 1,
 }
 
 
