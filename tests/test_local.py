@@ -40,6 +40,7 @@ SHUFFLES = {
     "node_codes": 1,
     "graph_components": 1,
     "edge_triplets": 1,
+    "node_features_sigma": 1,
 }
 
 
