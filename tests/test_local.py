@@ -41,6 +41,7 @@ SHUFFLES = {
     "graph_components": 1,
     "edge_triplets": 1,
     "node_features_sigma": 1,
+    "graph_stats": 1,
 }
 
 
