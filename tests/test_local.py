@@ -42,6 +42,7 @@ SHUFFLES = {
     "edge_triplets": 1,
     "node_features_sigma": 1,
     "graph_stats": 1,
+    "weighted_features": 1,
 }
 
 
