@@ -157,3 +157,24 @@ def test_summary_counts_distinct_signatures(spark, monkeypatch):
     want = {k: (n, len({r for r in raw if r % 9 + 2 == k})) for k, n in Counter(r % 9 + 2 for r in raw).items()}
     assert {r.feature_id: (r.occurrence_count, r.raw_signature_count) for r in attribution.archive_summary(found).collect()} == want
     assert attribution.archive_summary(found.filter("false")).count() == 0
+
+
+def test_many_texts_hashed_at_once(monkeypatch):
+    """Codes of many texts, of no, one and several blocks, are those of hashlib, and few are hashed one by one."""
+    from hashlib import sha256
+
+    import pyarrow as pa
+
+    from graphspan.functions import block_hash, block_sha
+
+    one, left = block_sha._one_by_one, []
+    monkeypatch.setattr(block_sha, "_one_by_one", lambda x: left.append(len(x)) or one(x))
+    monkeypatch.setattr(block_sha, "ROWS", 1_000)
+    k = np.random.default_rng(2).integers(0, 1 << 30, (30_000, 2))
+    texts = [f"({a}, {b})" for a, b in k.tolist()] + [f"{'7, ' * (i % 75)}{i}" for i in range(30_000)] + ["é" * (i % 40) for i in range(20_000)] + [""] * 10
+    want = [int.from_bytes(sha256(x.encode()).digest()[28:], "big") & ((1 << 30) - 1) for x in texts]
+    for held, w in ((pa.array(texts), want), (pa.array(texts).slice(31), want[31:]), (pa.array(texts[:5]), want[:5]), (pa.array([], pa.string()), [])):
+        assert block_hash.codes(held).tolist() == w
+    assert sum(left) < 2 * block_sha.FEW
+    monkeypatch.setattr(block_sha, "FEW", 1)
+    assert block_hash.codes(pa.array(texts)).tolist() == want
