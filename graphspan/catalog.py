@@ -228,13 +228,12 @@ _OCC = f"{_BASE}, {oracle.distances(1)}, {oracle.rooted(1)}, {oracle.raw(1)}, oc
 
 @register("archive_summary", f"{_OCC} SELECT feature_id, count(*) AS occurrence_count, count(DISTINCT raw) AS raw_signature_count FROM oc GROUP BY feature_id")
 def archive_summary(spark, d):
-    return attribution.archive_summary(attribution.occurrences(order_graphs(spark, d), radius=1, distance=1, nbits=8))
+    return attribution.graph_summary(order_graphs(spark, d), radius=1, distance=1, nbits=8)
 
 
 @register("top_features", f"{_OCC} SELECT feature_id, {_IMPORTANCE_SQL} AS importance, count(*) AS occurrence_count, count(DISTINCT raw) AS raw_signature_count FROM oc GROUP BY feature_id HAVING {_IMPORTANCE_SQL} > 0 ORDER BY importance DESC, feature_id LIMIT 10")
 def top_features(spark, d):
-    occ = attribution.occurrences(order_graphs(spark, d), radius=1, distance=1, nbits=8)
-    return attribution.top_features(_importance(spark, 8), occ).select("feature_id", "importance", "occurrence_count", "raw_signature_count")
+    return attribution.top_graph_features(_importance(spark, 8), order_graphs(spark, d), radius=1, distance=1, nbits=8).select("feature_id", "importance", "occurrence_count", "raw_signature_count")
 
 
 _PROVENANCE = {"radius": 1, "distance": 1, "nbits": 10}

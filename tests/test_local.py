@@ -178,3 +178,22 @@ def test_many_texts_hashed_at_once(monkeypatch):
     assert sum(left) < 2 * block_sha.FEW
     monkeypatch.setattr(block_sha, "FEW", 1)
     assert block_hash.codes(pa.array(texts)).tolist() == want
+
+
+@pytest.mark.parametrize("provenance", [False, True])
+def test_top_features_make_occurrences_once(spark, odd, provenance):
+    """The first occurrence is found in the pass that counts: one pass in the plan, the same rows as by a join."""
+    occ = attribution.occurrences(odd, radius=1, distance=2, nbits=4, provenance=provenance)
+    imp = spark.range(16).select(F.col("id").cast("int").alias("feature_id"), (F.col("id") % 5 / 8).alias("importance"))
+    got = attribution.top_features(imp, occ, top_k=7)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow run(") == 1
+    counts = occ.groupBy("feature_id").agg(F.count("*").alias("occurrence_count"), F.countDistinct("raw_signature").alias("raw_signature_count"))
+    order = ["graph_id", "root_node", "target_node", "feature_kind", "raw_signature", *occ.columns[6:]]
+    first = occ.groupBy("feature_id").agg(F.min(F.struct(*order)).alias("o"))
+    want = imp.filter("importance > 0").join(counts, "feature_id").join(first, "feature_id").select("feature_id", "importance", "occurrence_count", "raw_signature_count", "o.*").orderBy(F.desc("importance"), "feature_id").limit(7)
+    rows = sorted(map(tuple, want.collect()))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == rows
+    if not provenance:
+        fused = attribution.top_graph_features(imp, odd, top_k=7, radius=1, distance=2, nbits=4)
+        assert fused.columns == want.columns and sorted(map(tuple, fused.collect())) == rows
+        assert fused._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # made, counted and packed in one
