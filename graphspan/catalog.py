@@ -250,8 +250,7 @@ def archive_provenance(spark, d):
 @register("archive_subgraph_edges", f"""SELECT o.* EXCLUDE (source_node_ids, source_edge_ids, e), o.e.u AS u, o.e.v AS v, x.label FROM (SELECT *, unnest(source_edge_ids) AS e FROM ({oracle.provenance(SESSION_SQL, **_PROVENANCE)})) o
     JOIN (WITH {SESSION_SQL} SELECT * FROM edges) x ON x.graph_id = o.graph_id AND x.u = o.e.u AND x.v = o.e.v""")
 def archive_subgraph_edges(spark, d):
-    g = session_graphs(spark, d)
-    return attribution.subgraph_edges(g, attribution.occurrences(g, provenance=True, **_PROVENANCE))
+    return attribution.occurrence_edges(session_graphs(spark, d), **_PROVENANCE)
 
 
 _SCORE = f"""WITH f AS ({oracle.features(ORDER_SQL, **_NODE)}), s AS (SELECT graph_id, node_id, sum(value * {_IMPORTANCE_SQL}) AS score FROM f GROUP BY graph_id, node_id),

@@ -56,6 +56,12 @@ def subgraph_edges(g: Graphs, found: DataFrame) -> DataFrame:
     return rows.join(g.edges, ["graph_id", "u", "v"])
 
 
+def occurrence_edges(g: Graphs, **params) -> DataFrame:
+    """subgraph_edges of the graphs' own occurrences, whose blocks hold the labels."""
+    columns = "graph_id, u long, v long, feature_id int, raw_signature long, feature_kind string, root_node long, target_node long, label string"
+    return by_graph(g, local.provenance_edges, columns, **_occurrence_params(**params))
+
+
 def subgraphs(g: Graphs, found: DataFrame) -> DataFrame:
     """The occurrences with their nodes (original_node_id, label) and edges (u, v, label) nested."""
     key = [*OCCURRENCE, F.col("source_node_ids").alias("ids"), F.col("source_edge_ids").alias("eids")]

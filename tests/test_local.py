@@ -197,3 +197,16 @@ def test_top_features_make_occurrences_once(spark, odd, provenance):
         fused = attribution.top_graph_features(imp, odd, top_k=7, radius=1, distance=2, nbits=4)
         assert fused.columns == want.columns and sorted(map(tuple, fused.collect())) == rows
         assert fused._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # made, counted and packed in one
+
+
+def test_edges_of_occurrences_need_no_join(spark, odd):
+    """The labels come from the graphs' blocks: one shuffle, and the rows of the join, at loops and
+    repeated edges too."""
+    assert exchanges(entry.queries()["archive_subgraph_edges"](spark, DATA)) == 1
+    more = spark.createDataFrame([(1, 0, 1, "+"), (3, 7, 7, "-")], "graph_id long, u long, v long, label string")
+    g = replace(odd, edges=odd.edges.unionByName(more))
+    params = {"radius": 1, "distance": 2, "connector": 1, "nbits": 6}
+    want = attribution.subgraph_edges(g, attribution.occurrences(g, provenance=True, **params))
+    got = attribution.occurrence_edges(g, **params)
+    assert got.columns == want.columns and got.count() > 100
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
