@@ -210,3 +210,20 @@ def test_edges_of_occurrences_need_no_join(spark, odd):
     got = attribution.occurrence_edges(g, **params)
     assert got.columns == want.columns and got.count() > 100
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_medians_by_class_need_no_task_with_a_class(spark, monkeypatch, bins):
+    """No aggregate that holds a class's values; ties, nulls and numbers that are not finite."""
+    monkeypatch.setattr(F, "median", None)
+    monkeypatch.setattr(analytics, "BINS", bins, raising=False)
+    r = np.random.default_rng(3)
+    classes = {"odd": r.normal(size=301), "even": r.normal(size=300), "ties": r.integers(0, 3, 200) / 1.0, "one": [0.25], "gap": [-1e308, 1.7e308, -1.7e308, 1e308], "tiny": [0.0, 5e-324, 1e-323], "last": [1.0, float("nan"), float("nan")], "far": [float("-inf"), 2.0, float("inf"), float("inf")], None: [1.0, 2.0, 4.0, 1e9], "none": []}
+    rows = [(k, float(x)) for k, found in classes.items() for x in found] + [("none", None), ("odd", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    wanted = {r["k"]: r for r in df.groupBy("k").agg(F.expr("median(x)").alias("median"), F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most")).collect()}
+    found = {r["k"]: r for r in analytics.by_class(df, ["k"], "x").collect()}
+    assert found.keys() == wanted.keys()
+    for k, row in found.items():
+        for c in ("median", "mean", "least", "most"):
+            assert row[c] == wanted[k][c] or np.isclose(row[c], wanted[k][c], rtol=1e-12, equal_nan=True), (k, c)
